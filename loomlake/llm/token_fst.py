@@ -88,14 +88,23 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
-def chunk_maps(symbols: np.ndarray) -> np.ndarray:
-    """symbols (steps, chunks) -> (states, chunks): the state after each chunk for each state before it."""
-    n = symbols.shape[1]
-    state = np.repeat(np.arange(13, dtype=np.uint8)[:, None], n, 1)
+def chunk_maps(symbols: np.ndarray, head: int = 12) -> np.ndarray:
+    """symbols (steps, chunks) -> (states, chunks): the state after each chunk for each state before it.
+
+    Most chunks lead all states to one within a few symbols; the rest of such a chunk is run once, not 13 times.
+    """
     flat = STEP.ravel()
-    for c in symbols:
-        state = flat[state * np.uint8(12) + c]
-    return state
+
+    def run(state: np.ndarray, part: np.ndarray) -> np.ndarray:
+        for c in part:
+            state = flat[state * np.uint8(12) + c]
+        return state
+
+    maps = run(np.repeat(np.arange(13, dtype=np.uint8)[:, None], symbols.shape[1], 1), symbols[:head])
+    one = (maps == maps[0]).all(0)
+    maps[:, one] = run(maps[0, one], symbols[head:, one])
+    maps[:, ~one] = run(maps[:, ~one], symbols[head:, ~one])
+    return maps
 
 
 def scan(maps: np.ndarray) -> np.ndarray:
@@ -107,7 +116,7 @@ def scan(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
-def word_starts(symbols: np.ndarray, chunk: int = 256) -> np.ndarray:
+def word_starts(symbols: np.ndarray, chunk: int = 512) -> np.ndarray:
     """True where a pre-token starts. symbols: classes of all characters, RESET behind each text."""
     n = len(symbols)
     padded = np.full(-(-max(n, 1) // chunk) * chunk, RESET, np.uint8)
