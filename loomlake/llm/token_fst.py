@@ -157,6 +157,8 @@ class Encoder:
         for rank, pair in enumerate(model["merges"]):
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             self.merges[id_of[a], id_of[b]] = (rank, id_of[a + b])
+        self.rank = {t: rank for rank, t in self.merges.values()}
+        self.halves = {t: pair for pair, (_, t) in self.merges.items()}
         self.byte_id = [id_of[bytes([b])] for b in range(256)]
         nodes: dict[bytes, int] = {b"": 0}
         self.child: dict[int, int] = {}
@@ -169,7 +171,7 @@ class Encoder:
                     self.child[up << 8 | t[i - 1]] = nodes[t[:i]]
                     self.open.add(up)
         self.token_at = {nodes[b]: i for i, b in self.bytes_of.items() if self.bpe(b) == [i]}
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}
         self.max_states = max_states
         self.forget()
 
@@ -184,11 +186,31 @@ class Encoder:
         return ids
 
     def may_follow(self, a: int, b: int) -> bool:
-        known = self.neighbours.get((a, b))
-        if known is None:
-            if len(self.neighbours) > 4_000_000:
-                self.neighbours.clear()
-            known = self.neighbours[a, b] = self.bpe(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        """Whether byte-pair encoding of the two tokens' bytes gives just them.
+
+        Merges inside the tokens are undone, the last first; the pieces that then meet at the border must not have a
+        merge that would have come earlier (of equal ranks the left one comes first).
+        """
+        known = self.neighbours.get(a << 20 | b)
+        if known is not None:
+            return known
+        key, limit = a << 20 | b, 1 << 60
+        while True:
+            merge = self.merges.get((a, b))
+            if merge is not None and merge[0] < limit:
+                known = False
+                break
+            ra, rb = self.rank.get(a, -1), self.rank.get(b, -1)
+            if ra < 0 and rb < 0:
+                known = True
+                break
+            if ra > rb:
+                limit, a = ra, self.halves[a][1]
+            else:
+                limit, b = rb + 1, self.halves[b][0]
+        if len(self.neighbours) > 4_000_000:
+            self.neighbours.clear()
+        self.neighbours[key] = known
         return known
 
     def forget(self) -> None:
