@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +50,12 @@ def drop_cut(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the JVM has collected them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as UTF-8; null is empty."""
     if isinstance(column, pa.ChunkedArray):
