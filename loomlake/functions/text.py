@@ -112,11 +112,9 @@ def first_period(text: Column) -> Column:
     """If the text without spaces repeats a phrase, the phrase as it first stands; else the text."""
     bare = F.regexp_replace(text, r"\s+", "")
     period = F.length(F.regexp_extract(bare, r"^(.+?)\1+$", 1))
-    # the shortest beginning with as many characters that are no space
-    upto = F.regexp_extract(text, F.lit(r"^((?:\s*\S)*)"), 1)
     chars = F.split(text, "")
     cut = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), lambda a, c: F.when(a["n"] >= period, a).otherwise(F.struct((a["n"] + F.when(c.rlike(r"^\S"), 1).otherwise(0)).alias("n"), F.concat(a["s"], c).alias("s"))), lambda a: a["s"])
-    return F.when(period > 0, F.trim(cut)).otherwise(F.coalesce(text, upto))
+    return F.when(period > 0, F.trim(cut)).otherwise(text)
 
 
 def is_iso_date(text: Column) -> Column:

@@ -53,7 +53,7 @@ def success_rate(ok: Column, total: Column) -> Column:
 def grouped_lists(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row for each key with the lists of the other columns, in order (several turns on one image)."""
     rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return df.groupBy(key).agg(rows.alias("_r")).select(key, *[F.transform("_r", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return df.groupBy(key).agg(rows.alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
 def bbox_union(df: DataFrame, *group: str) -> DataFrame:

@@ -32,10 +32,12 @@ def reading_order(boxes: DataFrame, page: str = "page", n_col: int = 3) -> DataF
     by equal-width columns, left to right, and downwards in each."""
     w = Window.partitionBy(page)
     x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    inner = F.when(F.col("has_neighbour"), x)
-    low, high = F.min(inner).over(w), F.max(inner).over(w)
-    column = F.when(~F.col("has_neighbour"), -1).when(high == low, n_col - 1).otherwise(F.least(F.floor((x - low) / (high - low) * n_col), F.lit(n_col - 1)))
-    return boxes.withColumn("col", column.cast("int")).withColumn("reading_order", F.row_number().over(w.orderBy("col", y, "box_id")))
+    inner = F.when(F.col("has_neighbour"), F.col("_x"))
+    spread = boxes.withColumns({"_x": x, "_y": y}).withColumns({"_low": F.min(inner).over(w), "_high": F.max(inner).over(w)})
+    placed = F.least(F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * n_col), F.lit(n_col - 1))
+    column = F.when(~F.col("has_neighbour"), -1).when(F.col("_high") == F.col("_low"), n_col - 1).otherwise(placed)
+    ordered = spread.withColumn("col", column.cast("int")).withColumn("reading_order", F.row_number().over(w.orderBy("col", "_y", "box_id")))
+    return ordered.drop("_x", "_y", "_low", "_high")
 
 
 def line_order(words: DataFrame, page: str = "page") -> DataFrame:

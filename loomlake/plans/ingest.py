@@ -119,13 +119,13 @@ class Ingest:
         if not file.exists():
             raise ValueError("no upload metadata")
         meta = json.loads(file.read_text(encoding="utf-8"))
-        df = self.spark.read.parquet(str(directory))
+        df = self.spark.read.parquet(f"{directory}/data")
         if meta.get("has_images") and "image" in df.columns:
             df = self._store(df, "image", F.lit("jpg"), meta, "")
         if meta.get("has_files") and "file_path" in df.columns:
-            content = self.spark.read.format("binaryFile").load([r[0] for r in df.select("file_path").where("file_path is not null").distinct().collect()]).select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.col("content").alias("_content"))
-            df = df.join(content, "file_path", "left")
-            df = self._store(df, "_content", F.regexp_replace(suffix(F.col("file_path")), r"^\.", ""), meta, "file_" if meta.get("has_images") else "").drop("file_path")
+            content = self.spark.read.format("binaryFile").load([r[0] for r in df.select("file_path").where("file_path is not null").distinct().collect()]).select(F.regexp_replace("path", "^file:/*", "/").alias("_source"), F.col("content").alias("_content"))
+            df = df.withColumnRenamed("file_path", "_source").join(content, "_source", "left")
+            df = self._store(df, "_content", F.regexp_replace(suffix(F.col("_source")), r"^\.", ""), meta, "file_" if meta.get("has_images") else "").drop("_source")
         return write_catalog(df, str(self.root / "catalog"), meta)
 
     def _store(self, df: DataFrame, column: str, ext, meta: dict, prefix: str) -> DataFrame:

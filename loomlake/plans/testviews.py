@@ -53,13 +53,23 @@ spotter as (select row_id, hash, path, dataset,
   from catalog where provider = 'docs' and n_chars <= 2000)"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with one row for each order and line number."""
+    own = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in own])
+
+
+LINES_SQL = """lines as (select l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey, min(l_quantity) l_quantity,
+  min(l_returnflag) l_returnflag from lineitem group by 1, 2)"""
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as boxes on pages: an order is a page."""
-    return read(spark, sf_dir, "lineitem").selectExpr(
+    """Lines as boxes on pages: an order is a page."""
+    return lines(spark, sf_dir).selectExpr(
         "l_orderkey as page", "l_linenumber as box_id", "l_partkey % 1000 as x1", "l_suppkey % 100 * 7 as y1",
         "l_partkey % 1000 + cast(l_quantity as int) * 4 as x2", "l_suppkey % 100 * 7 + cast(l_quantity as int) as y2", "l_partkey", "l_suppkey", "l_returnflag",
     )
 
 
-BOXES_SQL = """boxes as (select l_orderkey page, l_linenumber box_id, l_partkey % 1000 x1, l_suppkey % 100 * 7 y1,
-  l_partkey % 1000 + l_quantity::int * 4 x2, l_suppkey % 100 * 7 + l_quantity::int y2, l_partkey, l_suppkey, l_returnflag from lineitem)"""
+BOXES_SQL = LINES_SQL + """, boxes as (select l_orderkey page, l_linenumber box_id, l_partkey % 1000 x1, l_suppkey % 100 * 7 y1,
+  l_partkey % 1000 + l_quantity::int * 4 x2, l_suppkey % 100 * 7 + l_quantity::int y2, l_partkey, l_suppkey, l_returnflag from lines)"""

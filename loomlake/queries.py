@@ -15,7 +15,7 @@ from loomlake.operators import sampling as S
 from loomlake.operators import search as SR
 from loomlake.operators import windows as W
 from loomlake.plans import schema as SC
-from loomlake.plans.testviews import BOXES_SQL, SPOTTER_SQL, SQL, boxes, catalog, read, spotter
+from loomlake.plans.testviews import BOXES_SQL, LINES_SQL, SPOTTER_SQL, SQL, boxes, catalog, lines, read, spotter
 from loomlake.streaming.drain import windowed_counts
 
 QUERIES: dict = {}
@@ -173,13 +173,13 @@ def distinct_hash_path(spark, sf):
     return W.distinct_assets(catalog(spark, sf))
 
 
-@query("select l_orderkey, l_linenumber, case when max((l_suppkey % 3 <> 0)::int) over (partition by l_orderkey) = 1 then l_suppkey % 3 else row_number() over (partition by l_orderkey order by l_linenumber) end idx from lineitem")
+@query(f"with {LINES_SQL} select l_orderkey, l_linenumber, case when max((l_suppkey % 3 <> 0)::int) over (partition by l_orderkey) = 1 then l_suppkey % 3 else row_number() over (partition by l_orderkey order by l_linenumber) end idx from lines")
 def element_index(spark, sf):
-    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("p"))
+    df = lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 3).alias("p"))
     return W.element_index(df, "l_orderkey", "l_linenumber", "p").drop("p")
 
 
-_NEAR = "select page, box_id, exists (select 1 from boxes b where b.page = a.page and b.box_id <> a.box_id and least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0 and least(a.y2, b.y2) - greatest(a.y1, b.y1) >= 0.2 * least(a.y2 - a.y1, b.y2 - b.y1)) has_neighbour"
+_NEAR = "select page, box_id, exists (select 1 from boxes b where b.page = a.page and b.box_id <> a.box_id and least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0 and least(a.y2, b.y2) - greatest(a.y1, b.y1) >= 0.2::double * least(a.y2 - a.y1, b.y2 - b.y1)) has_neighbour"
 
 
 @query(f"with {BOXES_SQL} {_NEAR} from boxes a")
@@ -279,7 +279,7 @@ def unique_counts(spark, sf):
 
 @query("select date_trunc('hour', ts) as \"start\", event_type, count(*) n, round(sum(value), 6) total from events group by all")
 def windowed_events(spark, sf):
-    return windowed_counts(read(spark, sf, "events")).withColumn("total", F.round("total", 6))
+    return windowed_counts(read(spark, sf, "events")).withColumns({"total": F.round("total", 6), "start": F.col("start").cast("timestamp_ntz")})
 
 
 # --- joins
@@ -336,32 +336,32 @@ def containment_first_match(spark, sf):
     return JN.first_container(words, shapes).select("page", "word_id", "shape_id")
 
 
-@query("with b as (select l_orderkey doc_id, l_suppkey % 2 page, l_linenumber idx, l_partkey % 7 parent from lineitem), n as (select *, row_number() over (partition by doc_id, page order by idx) - 1 new_idx from b) select n.doc_id, n.page, n.new_idx, coalesce(m.new_idx, -1) new_parent from n left join n m on n.doc_id = m.doc_id and n.page = m.page and n.parent = m.idx")
+@query(f"with {LINES_SQL}, b as (select l_orderkey doc_id, l_suppkey % 2 page, l_linenumber idx, l_partkey % 7 parent from lines), n as (select *, row_number() over (partition by doc_id, page order by idx) - 1 new_idx from b) select n.doc_id, n.page, n.new_idx, coalesce(m.new_idx, -1) new_parent from n left join n m on n.doc_id = m.doc_id and n.page = m.page and n.parent = m.idx")
 def parent_remap(spark, sf):
-    b = read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "l_suppkey % 2 as page", "cast(l_linenumber as long) as idx", "l_partkey % 7 as parent")
+    b = lines(spark, sf).selectExpr("l_orderkey as doc_id", "l_suppkey % 2 as page", "cast(l_linenumber as long) as idx", "l_partkey % 7 as parent")
     return JN.remap_parents(b).select("doc_id", "page", "new_idx", "new_parent")
 
 
-@query("with a as (select l_orderkey doc_id, l_linenumber ann_id, case when l_partkey % 5 = 0 then ' ' else 't' || l_partkey % 50 end as text, case when l_linenumber > 1 then l_linenumber - 1 end link from lineitem) select doc_id, \"key\", arg_max(v, ann_id) \"value\" from (select a.doc_id, k.text as \"key\", a.text v, a.ann_id from a join a k on a.doc_id = k.doc_id and a.link = k.ann_id where trim(a.text) <> '') group by all")
+@query(f"with {LINES_SQL}, a as (select l_orderkey doc_id, l_linenumber ann_id, case when l_partkey % 5 = 0 then ' ' else 't' || l_partkey % 50 end as text, case when l_linenumber > 1 then l_linenumber - 1 end link from lines) select doc_id, \"key\", arg_max(v, ann_id) \"value\" from (select a.doc_id, k.text as \"key\", a.text v, a.ann_id from a join a k on a.doc_id = k.doc_id and a.link = k.ann_id where trim(a.text) <> '') group by all")
 def link_key_values(spark, sf):
-    a = read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "l_linenumber as ann_id", "if(l_partkey % 5 = 0, ' ', concat('t', l_partkey % 50)) as text", "if(l_linenumber > 1, l_linenumber - 1, null) as link")
+    a = lines(spark, sf).selectExpr("l_orderkey as doc_id", "l_linenumber as ann_id", "if(l_partkey % 5 = 0, ' ', concat('t', l_partkey % 50)) as text", "if(l_linenumber > 1, l_linenumber - 1, null) as link")
     return JN.key_values(a)
 
 
-@query("with m as (select l_orderkey doc_id, l_suppkey % 3 link_id, l_linenumber node, 2 + l_partkey % 2 lab, 't' || l_partkey % 40 as text from lineitem) select k.doc_id, k.node key_node, k.text as \"key\", array_to_string(list(distinct v.text order by v.text), ',') as \"values\" from m k join m v on k.doc_id = v.doc_id and k.link_id = v.link_id and k.lab = 2 and v.lab = 3 group by k.doc_id, k.node, k.text")
+@query(f"with {LINES_SQL}, m as (select l_orderkey doc_id, l_suppkey % 3 link_id, l_linenumber node, 2 + l_partkey % 2 lab, 't' || l_partkey % 40 as text from lines) select k.doc_id, k.node key_node, k.text as \"key\", array_to_string(list(distinct v.text order by v.text), ',') as \"values\" from m k join m v on k.doc_id = v.doc_id and k.link_id = v.link_id and k.lab = 2 and v.lab = 3 group by k.doc_id, k.node, k.text")
 def link_group_pairs(spark, sf):
-    b = read(spark, sf, "lineitem")
+    b = lines(spark, sf)
     links = b.selectExpr("l_orderkey as doc_id", "l_suppkey % 3 as link_id", "l_linenumber as node")
     nodes = b.selectExpr("l_orderkey as doc_id", "l_linenumber as node", "2 + l_partkey % 2 as label", "concat('t', l_partkey % 40) as text")
     return JN.link_pairs(links, nodes).withColumn("values", F.array_join("values", ","))
 
 
-@query("select l_orderkey doc_id, l_suppkey % 2 line_id, string_agg(n_name, ' ' order by l_linenumber) as text from lineitem join nation on l_partkey % 30 = n_nationkey group by all")
+@query(f"with {LINES_SQL} select l_orderkey doc_id, l_suppkey % 2 line_id, string_agg(n_name, ' ' order by l_linenumber) as text from lines join nation on l_partkey % 30 = n_nationkey group by all")
 def id_list_expand(spark, sf):
-    b = read(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "l_suppkey % 2 as line_id", "l_linenumber", "cast(l_partkey % 30 as int) as w")
-    lines = b.groupBy("doc_id", "line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "w"))), lambda x: x["w"]).alias("word_ids"))
+    b = lines(spark, sf).selectExpr("l_orderkey as doc_id", "l_suppkey % 2 as line_id", "l_linenumber", "cast(l_partkey % 30 as int) as w")
+    wanted = b.groupBy("doc_id", "line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "w"))), lambda x: x["w"]).alias("word_ids"))
     words = b.select("doc_id").distinct().join(F.broadcast(read(spark, sf, "nation").selectExpr("n_nationkey as word_id", "n_name as text")))
-    return JN.expand_ids(lines, words)
+    return JN.expand_ids(wanted, words)
 
 
 @query("select p_partkey, levenshtein(p_name, p_type) / length(p_type) cer from part where length(p_type) > 0")
@@ -514,7 +514,7 @@ def json_remove_none(spark, sf):
     return _labels(spark, sf).select("p_partkey", J.json_remove_none("label").alias("label"))
 
 
-@query(f"""select p_partkey, '{{"item":[{{"nm":{_BOX},"cnt":null}}],"total":' || case when p_size % 2 = 0 then 'null' else '{{"<|value|>":"' || p_size || '","<|bbox|>":[]}}' end || '}}' label from part""")
+@query(f"""select p_partkey, '{{"item":[{{"nm":{_BOX.replace(",0.2,0.3,0.4", "")},"cnt":null}}],"total":' || case when p_size % 2 = 0 then 'null' else '{{"<|value|>":"' || p_size || '","<|bbox|>":[]}}' end || '}}' label from part""")
 def json_truncate_lists(spark, sf):
     return _labels(spark, sf).select("p_partkey", J.json_truncate_lists("label").alias("label"))
 

@@ -70,7 +70,8 @@ def scan_catalog(spark: SparkSession, root: str, filename: bool = False) -> Data
     for group in by_schema.values():
         df = spark.read.option("basePath", root).parquet(*group)
         frames.append(df.withColumn("filename", F.col("_metadata.file_path")) if filename else df)
-    return union_by_name(frames)
+    df = union_by_name(frames)
+    return df.select(*[c for c in df.columns if c not in PARTITION_KEYS], *[k for k in PARTITION_KEYS if k in df.columns])
 
 
 def scan_glob(spark: SparkSession, root: str) -> DataFrame:
@@ -133,7 +134,8 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) of an annotation file."""
     doc = read_json_documents(spark, path)
-    return tuple(doc.select(F.explode(k).alias("x")).select("x.*") for k in ("images", "annotations", "categories"))
+    star = lambda k: "x.*" if isinstance(doc.schema[k].dataType.elementType, T.StructType) else "x"
+    return tuple(doc.select(F.explode(k).alias("x")).select(star(k)) for k in ("images", "annotations", "categories"))
 
 
 def read_assets(spark: SparkSession, root: str) -> DataFrame:

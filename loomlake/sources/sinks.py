@@ -37,7 +37,7 @@ def write_json(spark, path: str, value) -> None:
 def write_staging(df: DataFrame, path: str, metadata: dict) -> None:
     """An upload: data and its metadata. Nothing stays if either fails."""
     try:
-        df.write.parquet(path)
+        df.write.parquet(f"{path}/data")
         (Path(path) / "upload_metadata.json").write_text(json.dumps(metadata, ensure_ascii=False, indent=2), encoding="utf-8")
     except Exception:
         shutil.rmtree(path, ignore_errors=True)

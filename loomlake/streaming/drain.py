@@ -27,6 +27,7 @@ def drain_staging(spark: SparkSession, ingest, checkpoint: str) -> dict:
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events for each window and type; rows later than the watermark are left out when it is a stream."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     stream = events.withWatermark("ts", late) if events.isStreaming else events
     return stream.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
