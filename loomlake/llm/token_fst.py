@@ -397,7 +397,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def groups(texts: list[bytes], most: int = 4_000_000):
+def groups(texts: list[bytes], most: int = 1_000_000):
     """Index ranges of texts with about so many bytes."""
     at, total = 0, 0
     for i, t in enumerate(texts):
