@@ -17,6 +17,7 @@ BATCH_ROWS = 512
 def tune(spark: SparkSession) -> None:
     """Short Arrow batches: a worker holds one batch of whole texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
