@@ -3,7 +3,9 @@
 A small network predicts each word of a text from the two words before and the two behind it. The sum of the log
 probabilities of all words, each masked in turn, scores the document.
 
-* Vocabulary: the most frequent words by counts over all documents; all others are one token.
+* Vocabulary: the most frequent words by counts over all documents; all others are one token to the network, and are
+  spelled: to that token's log probability comes that of each byte, and of the word's end, after the byte before. Byte
+  pairs are counted over all such words of all documents, so every word costs its own log probability.
 * Network, in numpy: an embedding for each of four places, their sum through tanh, and a softmax over classes of words,
   then over the words of the class.
 * Training: each task trains a copy from the same start on all windows of its documents (AdaGrad); the copies are
@@ -20,21 +22,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import batches, joined, span_hashes, texts_of
+from loomlake.llm.common import batches, joined, ragged, span_hashes, texts_of
 from loomlake.llm.ngram_join import _LOWER, _SPACE
 from loomlake.llm.token_fst import groups
 
 PLACES = (-2, -1, 1, 2)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and how many each text has."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes in lower case, where words start and end, and how many words each text has."""
     data, offsets = joined([t + b" " for t in texts])
     data = _LOWER[data]
     inside = np.concatenate([[False], ~_SPACE[data]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    return span_hashes(data, starts, ends), np.diff(np.searchsorted(starts, offsets))
+    return data, starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many each text has."""
+    data, starts, ends, n = word_spans(texts)
+    return span_hashes(data, starts, ends), n
+
+
+#: Stands before the first and behind the last byte of a word.
+_END = 256
+_SYMBOLS = 257
+
+
+def byte_pairs(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(word, pair) of the byte pairs of all words outside the sorted hashes, and the number of all words."""
+    data, starts, ends, _ = word_spans(texts)
+    h = span_hashes(data, starts, ends)
+    unknown = np.flatnonzero(~np.isin(h, words))
+    size = ends[unknown] - starts[unknown] + 1
+    at = ragged(starts[unknown], size)
+    last = np.cumsum(size) - 1
+    after = data[at].astype(np.int64)
+    after[last] = _END
+    before = data[at - 1].astype(np.int64)
+    before[last - size + 1] = _END
+    return np.repeat(unknown, size), before * _SYMBOLS + after, len(h)
+
+
+def spelling(docs: DataFrame, network) -> np.ndarray:
+    """The log probability of each byte pair, from the words of docs (text) outside the broadcast network's vocabulary."""
+
+    def run(rows):
+        out = np.zeros(_SYMBOLS * _SYMBOLS, np.int64)
+        for b in batches(rows):
+            texts = texts_of(b.column(0))
+            for i, j in groups(texts, 1_000_000):
+                out += np.bincount(byte_pairs(texts[i:j], network.value.words)[1], minlength=len(out))
+        at = np.flatnonzero(out)
+        if len(at):
+            yield _counts(at, out[at])
+
+    counts = np.full(_SYMBOLS * _SYMBOLS, 0.1)
+    for r in docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect():
+        counts[r.h] += r.n
+    counts = counts.reshape(_SYMBOLS, _SYMBOLS)
+    return np.log(counts / counts.sum(1, keepdims=True)).ravel()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -70,12 +118,14 @@ def _counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 class Network:
-    """Token 0 stands for words outside the vocabulary, token ``size`` for what is beyond a text's ends."""
+    """Token 0 stands for words outside the vocabulary, token ``size`` for what is beyond a text's ends; ``pairs`` holds
+    the log probabilities of the byte pairs of words outside the vocabulary."""
 
     NAMES = ("embed", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
     def __init__(self, vocabulary: np.ndarray, width: int = 16, per_class: int = 32, seed: int = 3):
         self.words = np.sort(vocabulary.astype(np.uint64))
+        self.pairs = np.full(_SYMBOLS * _SYMBOLS, -np.log(_SYMBOLS))
         self.per_class = per_class
         self.classes = -(-(len(vocabulary) + 1) // per_class)
         self.size = self.classes * per_class
@@ -110,6 +160,11 @@ class Network:
         out[np.arange(len(h)) + 2 * text + 2] = token
         return out, n
 
+    def spelled(self, texts: list[bytes]) -> np.ndarray:
+        """The log probability of each word's bytes, 0 for words of the vocabulary."""
+        word, pair, n = byte_pairs(texts, self.words)
+        return np.bincount(word, self.pairs[pair], n)
+
     def _hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.tanh(sum(self.embed[k][tokens[at + p]] for k, p in enumerate(PLACES)) + self.bias)
 
@@ -223,6 +278,7 @@ def fit(docs: DataFrame, vocabulary: int = 1023, slices: int = 16, **shape) -> N
     means = {r.slice: np.frombuffer(r.mean) for r in copies.repartition("slice").mapInArrow(add, "slice int, mean binary").collect()}
     if means:
         net.load(np.concatenate([means[k] for k in range(slices)]))
+        net.pairs = spelling(docs, start)
     return net
 
 
@@ -238,7 +294,7 @@ def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str
             texts, sums, counts = texts_of(b.column(1)), [], []
             for i, j in groups(texts, 1_000_000):
                 tokens, n = shared.value.tokens(texts[i:j])
-                p = shared.value.log_probabilities(tokens, places(n)).astype(np.float64)
+                p = shared.value.log_probabilities(tokens, places(n)).astype(np.float64) + shared.value.spelled(texts[i:j])
                 ends = np.concatenate([[0.0], np.cumsum(p)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums.append(ends[at[1:]] - ends[at[:-1]])

@@ -60,3 +60,20 @@ def test_scores(spark):
     usual = np.mean([got[i].mean_logprob for i, _, _ in rows])
     assert usual > math.log(1 / 11) and got[903].mean_logprob < usual - 0.5
     assert P.score(df.limit(0), P.fit(df.limit(0))).count() == 0
+
+
+def test_unknown_words_are_spelled(spark):
+    r = random.Random(1)
+    stems = [a + b + c for a in ("ma", "re", "to", "li") for b in ("na", "ter", "so") for c in ("da", "ling", "n", "ro")]
+    prose = lambda: " ".join(r.choice(["the", "a"]) + " " + r.choice(stems) for _ in range(30))
+    rows = [(i, prose()) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = P.fit(df, vocabulary=3, per_class=2)
+    more = [(900, " ".join("".join(r.choices("qxzjkvw0987#%", k=8)) for _ in range(60))), (901, "the manada"), (902, "the qzxj#9")]
+    got = {x.doc_id: x for x in P.score(df.union(spark.createDataFrame(more, df.schema)), net).collect()}
+    assert got[900].mean_logprob < min(got[i].mean_logprob for i in range(200)) - 1
+    assert got[901].sum_logprob > got[902].sum_logprob + 1
+    tokens, n = net.tokens([b"the qzxj#9"])
+    plain = net.log_probabilities(tokens, P.places(n)).sum()
+    word = [256, *b"qzxj#9", 256]
+    assert abs(got[902].sum_logprob - plain - sum(net.pairs[a * 257 + b] for a, b in zip(word, word[1:]))) < 1e-3
