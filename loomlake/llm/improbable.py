@@ -2,7 +2,8 @@
 
 Every 64-byte window of a text has an entropy. How rare each entropy level is comes from a count over all windows of
 all documents, frozen before fingerprints are made. A window is selected if it is the rarest (first on ties) of its
-neighbourhood for at least ``POPULAR`` of 64 consecutive neighbourhoods. Selected windows are hashed and inserted, in
+neighbourhood for at least ``POPULAR`` of 64 consecutive neighbourhoods. A text of a window or more where none is so
+popular has the rarest window of each ``POPULAR`` consecutive ones (of all, if there are fewer) instead. Selected windows are hashed and inserted, in
 order, into a chain of Bloom filters of 2048 bits, 160 features each. Likeness is the overlap of bits, less what chance
 gives, over the most there could be: for each filter of the shorter chain the best of the other, averaged.
 
@@ -87,8 +88,15 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, 64-bit hash) of each selected window, in order."""
+def rare_windows(text: bytes, rank: np.ndarray) -> np.ndarray:
+    """Where the rarest of each POPULAR consecutive windows starts, for a text of at least one window."""
+    key = rank[entropy_levels(np.frombuffer(text, np.uint8))] << 40 | np.arange(len(text) - WINDOW + 1)
+    span = np.lib.stride_tricks.sliding_window_view(key, min(POPULAR, len(key)))
+    return np.unique(span.min(1) & (1 << 40) - 1)
+
+
+def features(texts: list[bytes], rank: np.ndarray, rare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(text, 64-bit hash) of each selected window, in order. rare: rare_windows() where no window is popular."""
     data, offsets = joined(texts)
     size = np.diff(offsets)
     short = np.flatnonzero((size > 0) & (size < 2 * WINDOW - 1))
@@ -111,9 +119,16 @@ def features(texts: list[bytes], rank: np.ndarray) -> tuple[np.ndarray, np.ndarr
         chosen.append(best[edge[:-1][keep]])
     starts = np.concatenate([*chosen, np.zeros(0, np.int64)])
     text = np.searchsorted(offsets, starts, side="right") - 1
-    # texts with no popular window: their first bytes
+    # texts with no popular window: rare windows, or their first bytes
     lone = np.setdiff1d(np.flatnonzero(size >= 2 * WINDOW - 1), text)
-    starts = np.concatenate([starts, offsets[lone], offsets[short]])
+    at = offsets[lone]
+    if rare:
+        lone = np.concatenate([lone, short[size[short] >= WINDOW]])
+        short = short[size[short] < WINDOW]
+        found = [rare_windows(texts[i], rank) for i in lone]
+        at = np.concatenate([np.zeros(0, np.int64), *(offsets[i] + f for i, f in zip(lone, found))])
+        lone = np.repeat(lone, [len(f) for f in found])
+    starts = np.concatenate([starts, at, offsets[short]])
     ends = np.concatenate([starts[: len(starts) - len(short)] + WINDOW, offsets[short] + size[short]])
     owner = np.concatenate([text, lone, short])
     order = np.lexsort((starts, owner))
@@ -124,7 +139,7 @@ def filters(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """The chain of Bloom filters of each text, (filters, 256) bytes."""
     out: list[np.ndarray] = []
     for i, j in groups(texts, 1_000_000):
-        owner, h = features(texts[i:j], rank)
+        owner, h = features(texts[i:j], rank, rare=True)
         n = np.bincount(owner, minlength=j - i)
         first = np.concatenate([[0], np.cumsum(n)])
         chain = -(-n // PER_FILTER)

@@ -69,3 +69,17 @@ def test_rows(spark):
     one = S.compare_edited(df.limit(1)).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert S.compare_edited(df.limit(0)).count() == 0
+
+
+def test_texts_without_popular_windows():
+    r = random.Random(7)
+    rank = S.rarity(np.random.default_rng(0).integers(0, 1000, S.LEVELS))
+    head = bytes(r.choices(b"etaoin shrdlu", k=64))
+    for size in (100, 127, 135, 141):
+        a, b = (head + bytes(r.choices(b"etaoin shrdlu", k=size - 64)) for _ in range(2))
+        x, y, part = S.filters([a, b, a[: size - size // 5] + b[size - size // 5 :]], rank)
+        assert S.likeness(x, y) < 0.8 and (size < 127 or S.likeness(x, part) > 0.2)
+    a, b = head + b"cc by " * 50, head + b"gpl 2 " * 50
+    assert S.likeness(*S.filters([a, b], rank)) < 1
+    whole = S.filters([a, b, head], rank)
+    assert all((p == S.filters([t], rank)[0]).all() for t, p in zip([a, b, head], whole))
