@@ -39,19 +39,33 @@ catalog1 as (select *, sha256(coalesce(label, meta)) hash from catalog0),
 catalog as (select *, 'provider=' || provider || '/dataset=' || dataset || '/' || hash[1:2] || '/' || hash || '.jpg' path from catalog1)"""
 
 
-def spotter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as spotter JSON: the words of a text as an array at $.word.text.content, of its lines at $.line."""
-    base = catalog(spark, sf_dir).where("provider = 'docs' and n_chars <= 2000")
+def _spots(base: DataFrame) -> DataFrame:
     content = lambda c: F.struct(F.struct(c.alias("content")).alias("text"))
     spot = F.to_json(F.struct(content(F.split("label", " ")).alias("word"), content(F.split("label", "\n")).alias("line")))
     return base.select("row_id", "hash", "path", "dataset", spot.alias("spot"))
 
 
+def spotter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of at most 2000 characters as spotter JSON: the words of a text as an array at $.word.text.content, of
+    its lines at $.line."""
+    return _spots(catalog(spark, sf_dir).where("provider = 'docs' and n_chars <= 2000"))
+
+
+def spotter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _spots(catalog(spark, sf_dir).where("provider = 'docs'"))
+
+
 SPOTTER_SQL = SQL + """,
 spotter as (select row_id, hash, path, dataset,
   to_json({'word': {'text': {'content': string_split(label, ' ')}}, 'line': {'text': {'content': string_split(label, chr(10))}}})::varchar spot
   from catalog where provider = 'docs' and n_chars <= 2000)"""
 
+SPOTTER_WHOLE_SQL = SQL + """,
+spotter as (select row_id, hash, path, dataset,
+  to_json({'word': {'text': {'content': string_split(label, ' ')}}, 'line': {'text': {'content': string_split(label, chr(10))}}})::varchar spot
+  from catalog where provider = 'docs')"""
+
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with one row for each order and line number."""

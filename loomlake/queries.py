@@ -15,7 +15,7 @@ from loomlake.operators import sampling as S
 from loomlake.operators import search as SR
 from loomlake.operators import windows as W
 from loomlake.plans import schema as SC
-from loomlake.plans.testviews import BOXES_SQL, LINES_SQL, SPOTTER_SQL, SQL, boxes, catalog, lines, read, spotter
+from loomlake.plans.testviews import BOXES_SQL, LINES_SQL, SPOTTER_SQL, SPOTTER_WHOLE_SQL, SQL, boxes, catalog, lines, read, spotter, spotter_whole
 from loomlake.streaming.drain import windowed_counts
 
 QUERIES: dict = {}
@@ -115,6 +115,24 @@ def search_variants_union(spark, sf):
     return SR.search_variants(spotter(spark, sf), "spot", ["word", "line"], "ing")
 
 
+# the same over documents of any length
+
+
+@query(f"with {SPOTTER_WHOLE_SQL} " + _json_hits("word", "the"))
+def search_json_array_text_whole(spark, sf):
+    return SR.search_json_text(spotter_whole(spark, sf), "spot", "$.word.text.content", "the")
+
+
+@query(f"with {SPOTTER_WHOLE_SQL} " + _json_hits("line", None) + " and dataset = 'src3'")
+def search_valid_content_whole(spark, sf):
+    return SR.search_content(spotter_whole(spark, sf), "spot", "$.line.text.content", {"dataset": "src3"})
+
+
+@query(f"with {SPOTTER_WHOLE_SQL} " + " union all ".join(f"({_json_hits(v, 'ing')})" for v in ("word", "line")))
+def search_variants_union_whole(spark, sf):
+    return SR.search_variants(spotter_whole(spark, sf), "spot", ["word", "line"], "ing")
+
+
 @query(C + "select row_id, cast(json_extract(meta, '$.k') as bigint) k from catalog where provider = 'log'")
 def json_value(spark, sf):
     return catalog(spark, sf).where("provider = 'log'").select("row_id", F.get_json_object("meta", "$.k").cast("long").alias("k"))
