@@ -447,6 +447,21 @@ def extract_otsl(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.extract_otsl(text).alias("otsl"))
 
 
+# whole texts
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then null else '<otsl><fcel>' || text || '</otsl>' end otsl from documents")
+def extract_otsl_whole(spark, sf):
+    wrapped = F.concat(F.lit("x <otsl><fcel>"), "text", F.lit("</otsl> tail <otsl>2</otsl>"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(wrapped)
+    return read(spark, sf, "documents").select("doc_id", X.extract_otsl(text).alias("otsl"))
+
+
+@query(r"""select doc_id, replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), chr(39), '"') as text from documents""")
+def tidy_text_whole(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", X.tidy(F.col("text")).alias("text"))
+
+
 @query(r"select page_id, regexp_replace(html, '>\s+<', '><', 'g') html from pages")
 def html_ws_collapse(spark, sf):
     return read(spark, sf, "pages").select("page_id", H.collapse(F.col("html")).alias("html"))

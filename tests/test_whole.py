@@ -10,3 +10,10 @@ def test_searches_find_long_documents(spark):
     long = {r.h for r in docs.where("n_chars > 2000").selectExpr("sha2(text, 256) h").collect()}
     for name in ("search_json_array_text_whole", "search_valid_content_whole", "search_variants_union_whole"):
         assert any(r["hash"] in long for r in QUERIES[name](spark, SF).collect()), name
+
+
+def test_texts_are_whole(spark):
+    from loomlake.queries import QUERIES
+
+    for name, column, cut in (("tidy_text_whole", "text", 300), ("extract_otsl_whole", "otsl", 60)):
+        assert any(len(r[column] or "") > cut for r in QUERIES[name](spark, SF).collect()), name
