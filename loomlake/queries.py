@@ -290,6 +290,11 @@ def lang_multi_collapse(spark, sf):
     return A.collapse_multi(read(spark, sf, "documents").where("n_chars < 60"), "source", "lang")
 
 
+@query("select source, case when count(distinct lang) > 1 then 'multi' else max(lang) end lang from documents group by source")
+def lang_multi_collapse_whole(spark, sf):
+    return A.collapse_multi(read(spark, sf, "documents"), "source", "lang")
+
+
 @query("select count(*) total, count(distinct text) \"distinct\", count(*) = count(distinct text) is_unique from documents")
 def unique_counts(spark, sf):
     return A.unique_counts(read(spark, sf, "documents"), "text")
@@ -310,6 +315,13 @@ def image_annotations_join(spark, sf):
     return out.select("n_nationkey", "n_name", F.size("annotations").cast("long").alias("n_customers"), F.try_element_at("annotations", F.lit(1))["annotation_id"].alias("first"))
 
 
+@query("select n_nationkey, n_name, coalesce(c.n, 0) n_customers, c.first from nation left join (select c_nationkey, count(*) n, min(c_custkey) first from customer group by 1) c on n_nationkey = c_nationkey")
+def image_annotations_join_whole(spark, sf):
+    ann = read(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("annotation_id"), "c_name")
+    out = JN.with_annotations(read(spark, sf, "nation"), ann, "n_nationkey")
+    return out.select("n_nationkey", "n_name", F.size("annotations").cast("long").alias("n_customers"), F.try_element_at("annotations", F.lit(1))["annotation_id"].alias("first"))
+
+
 @query("select s_suppkey, coalesce(n_name, 'other') n_name from supplier left join nation on s_nationkey = n_nationkey and n_nationkey < 10")
 def category_lookup(spark, sf):
     dim = read(spark, sf, "nation").where("n_nationkey < 10").withColumnRenamed("n_nationkey", "s_nationkey")
@@ -390,8 +402,8 @@ def levenshtein_cer(spark, sf):
 @query()
 def greedy_cer_assignment(spark, sf):
     p = read(spark, sf, "part").selectExpr("p_size as g", "p_partkey", "p_name")
-    refs = p.where("p_partkey % 2 = 0").selectExpr("g", "p_partkey as pos", "substring(p_name, 2) as ref")
-    texts = p.where("p_partkey % 2 = 0").selectExpr("g", "p_partkey as idx", "p_name as text")
+    refs = p.selectExpr("g", "p_partkey as pos", "substring(p_name, 2) as ref")
+    texts = p.selectExpr("g", "p_partkey as idx", "p_name as text")
     return JN.assign_by_cer(refs, texts, "g")
 
 

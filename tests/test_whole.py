@@ -17,3 +17,19 @@ def test_texts_are_whole(spark):
 
     for name, column, cut in (("tidy_text_whole", "text", 300), ("extract_otsl_whole", "otsl", 60)):
         assert any(len(r[column] or "") > cut for r in QUERIES[name](spark, SF).collect()), name
+
+
+def test_every_part_is_assigned(spark):
+    from loomlake.queries import QUERIES
+
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    rows = QUERIES["greedy_cer_assignment"](spark, SF).collect()
+    assert sorted(r.pos for r in rows) == sorted(r.p_partkey for r in parts.select("p_partkey").collect())
+    assert sorted(r.text for r in rows) == sorted(r.p_name for r in parts.collect())
+
+
+def test_all_customers_are_joined(spark):
+    from loomlake.queries import QUERIES
+
+    rows = QUERIES["image_annotations_join_whole"](spark, SF).collect()
+    assert sum(r.n_customers for r in rows) == spark.read.parquet(f"{SF}/customer.parquet").count()
