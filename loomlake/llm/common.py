@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder that the cluster names. Only a session in one JVM can do with a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/loomlake-checkpoints"
     return f"{base.rstrip('/')}/loomlake-{uuid.uuid4().hex}"
 
 
@@ -126,6 +133,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on between tasks, and the next stage runs beside their heaps."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold rows."""
-    return (b for b in rows if b.num_rows)
+    """Batches that hold rows. Behind the last one a task's memory is given back."""
+    try:
+        for b in rows:
+            if b.num_rows:
+                yield b
+    finally:
+        give_back()
