@@ -50,6 +50,25 @@ def test_exact_code_lengths(spark):
             assert abs(got[i, j] - brute_bits(counts, lang, t)) < 1e-3 * max(1, len(t))
 
 
+def test_code_lengths_of_what_fit_makes(spark):
+    """fit() keeps all sequences of its sample; long texts are scored in blocks to the same length."""
+    df = table(spark, 60).where("doc_id < 900 and lang is not null and text is not null")
+    used = df.where(~L.held_out())
+    counts = [tuple(r) for r in L.count_contexts(used.select("lang", "text"), 3).collect()]
+    assert min(n for *_, n in counts) == 1
+    m, block = L.fit(df), L.BLOCK
+    texts = ["the ingtion schü".encode(), b"zz\xff", "oi\u00e9 the ".encode() * 30]
+    want = [[brute_bits(counts, lang, t) for lang in m.langs] for t in texts]
+    try:
+        for L.BLOCK in (block, 7):
+            got = m.bits(texts)
+            assert all(abs(g - w) < 1e-3 * len(t) for t, gs, ws in zip(texts, got, want) for g, w in zip(gs, ws))
+    finally:
+        L.BLOCK = block
+    small = L.fit(df, max_nodes=200)
+    assert all(sum(len(x.codes) for x in t.sets) <= 200 for t in small.trees) and L.predict(df, small).count() == df.count()
+
+
 def test_held_out_accuracy_and_edges(spark):
     df = table(spark)
     model = L.fit(df)
