@@ -10,17 +10,19 @@ Two transducers run one after the other.
    followed that byte-pair encoding itself gives (a sequence is its encoding exactly if all its neighbours are), so
    one token can end at each byte. A transition is annotated with the change of the number of tokens and the token
    that ends there. States are compiled when text first reaches them; past ``max_states`` all are forgotten and
-   compiled anew, which bounds memory and changes no result.
+   compiled anew, which bounds memory and changes no result. Pre-tokens are lanes run in step; a long one is cut in
+   chunks, each a map of entry states to exit states and token counts, and these maps are composed by the prefix scan.
 
 Counts equal those of the ``tokenizers`` library for byte-level vocabularies with the usual split pattern, and so do
 the ids that ``Encoder.encode`` reads off the transitions. Added special tokens in a text are single tokens, as the
 library has it. Null texts count as empty; empty texts have 0 tokens; repeated rows give repeated results; an empty
-table gives an empty table; other columns are not looked at.
+table gives an empty table; very long texts and words are taken whole; other columns, of whatever name, are not looked at.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -32,6 +34,8 @@ from loomlake.llm.common import batches, joined, ragged, span_hashes, texts_of
 # Character classes and states of the word transducer.
 STMD, R, V, E, L, LETTER, NUMBER, SPACE, WHITE, QUOTE, OTHER, RESET = range(12)
 BEGIN, LETTERS, NUMBERS, OTHERS, SPACE1, WHITE1, SPACES, WHITES, Q, Q_R, Q_V, Q_L, ENDED = range(13)
+#: Pre-tokens of more bytes are cut in chunks; rounds of guessing their entry states.
+LONG, CHUNK, SPECULATE = 1024, 256, 96
 HERE, BEFORE = 1, 2  # a pre-token starts at this character, at the one before
 
 # The characters with the Unicode property White_Space.
@@ -116,6 +120,17 @@ def scan(maps: np.ndarray) -> np.ndarray:
     return maps
 
 
+def scan_counts(maps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As scan(), for maps that also emit: the counts along the way are added up."""
+    maps, counts, d = maps.copy(), counts.copy(), 1
+    while d < maps.shape[1]:
+        before = maps[:, :-d].copy()
+        counts[:, d:] = counts[:, :-d] + np.take_along_axis(counts[:, d:], before, 0)
+        maps[:, d:] = np.take_along_axis(maps[:, d:], before, 0)
+        d *= 2
+    return maps, counts
+
+
 def word_starts(symbols: np.ndarray, chunk: int = 512) -> np.ndarray:
     """True where a pre-token starts. symbols: classes of all characters, RESET behind each text."""
     n = len(symbols)
@@ -150,6 +165,8 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         letters, model = _byte_letters(), spec["model"]
         self.special = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
+        # the first one in the text, and of those that begin there the longest
+        self.specials = re.compile(b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.bytes_of = {i: as_bytes(s) for s, i in model["vocab"].items() if s not in {x["content"] for x in spec["added_tokens"]}}
         id_of = {b: i for i, b in self.bytes_of.items()}
@@ -281,40 +298,111 @@ class Encoder:
             for k in new.tolist():
                 self._compile(k)
 
-    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Token counts of byte spans, and with ids their ids one span after the other. Spans are lanes run in step."""
-        if len(self.states) > self.max_states:
-            self.forget()
-        order = np.argsort(-lengths, kind="stable")
-        begin, length = starts[order], lengths[order]
-        state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        last = np.zeros(int(lengths.sum()), np.int32) if ids else None
-        at_byte = np.zeros(len(order), np.int64)
-        np.cumsum(length[:-1], out=at_byte[1:])
-        ending = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 0), side="right")
-        for i, n in enumerate(ending):
+    def _walk(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, last=None, place=None) -> tuple[np.ndarray, np.ndarray]:
+        """(state, tokens) after each byte span from its state; spans are lanes run in step, longest first. With ``last``:
+        the token that ends at each byte is put there, from the span's place on."""
+        state, count = state.copy(), np.zeros(len(begin), np.int64)
+        steps = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if len(length) else 0), side="right")
+        for i, n in enumerate(steps):
             slot = self._find(state[:n] << 8 | data[begin[:n] + i])
             state[:n] = self.to[slot]
             count[:n] += self.delta[slot]
+            if last is not None:
+                last[place[:n] + i] = self.token[slot]
+        return state, count
+
+    def long_word(self, data: np.ndarray, start: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(starts, lengths, entry states of the chunks of a long pre-token, its number of tokens).
+
+        Each chunk is a map of entry states to (exit state, tokens) over the states that can come in: first the one that
+        the chunk before it leads the start state to, then the exits of the maps so far, until they are closed. Equal
+        chunks share their maps. The maps are composed by a prefix scan. Chunks whose maps are still open after
+        ``SPECULATE`` rounds get their true entry state one after the other."""
+        begin = np.arange(start, start + length, CHUNK)
+        size = np.minimum(CHUNK, start + length - begin)
+        _, one, content = np.unique(span_hashes(data, begin, begin + size), return_index=True, return_inverse=True)
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def learn(pairs: list[tuple[int, int]]) -> None:
+            c, s = np.array(pairs, np.int64).T
+            order = np.argsort(-size[one[c]], kind="stable")
+            c, s = c[order], s[order]
+            to, n = self._walk(data, begin[one[c]], size[one[c]], s)
+            known.update(zip(zip(c.tolist(), s.tolist()), zip(to.tolist(), n.tolist())))
+
+        names = content.tolist()
+        learn([(c, 0) for c in range(len(one))])
+        inside = [{0}] + [{known[c, 0][0]} for c in names[:-1]]
+        for _ in range(SPECULATE):
+            if want := {(c, s) for c, states in zip(names, inside) for s in states if (c, s) not in known}:
+                learn(sorted(want))
+            grown = False
+            for c, states, after in zip(names, inside, inside[1:]):
+                new = {known[c, s][0] for s in states} - after
+                grown |= bool(new)
+                after |= new
+            if not grown:
+                break
+        else:  # the true entry states, in turn
+            entry, total = [0], 0
+            for c in names:
+                if (c, entry[-1]) not in known:
+                    learn([(c, entry[-1])])
+                to, n = known[c, entry[-1]]
+                entry.append(to)
+                total += n
+            return begin, size, np.array(entry[:-1], np.int64), total
+        states = [sorted(x) for x in inside]
+        at = [{s: i for i, s in enumerate(x)} for x in states]
+        width = max(map(len, states))
+        maps, counts = np.zeros((width, len(names)), np.int64), np.zeros((width, len(names)), np.int64)
+        for i, c in enumerate(names):
+            for j, s in enumerate(states[i]):
+                to, n = known[c, s]
+                maps[j, i], counts[j, i] = at[i + 1][to] if i + 1 < len(names) else 0, n
+        maps, counts = scan_counts(maps, counts)
+        entry = [0, *(states[i + 1][k] for i, k in enumerate(maps[0, :-1].tolist()))]
+        return begin, size, np.array(entry, np.int64), int(counts[0, -1])
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Token counts of byte spans, and with ids their ids one span after the other."""
+        if len(self.states) > self.max_states:
+            self.forget()
+        place = np.cumsum(lengths) - lengths
+        is_long = lengths > LONG
+        short, counts = np.flatnonzero(~is_long), np.zeros(len(starts), np.int64)
+        lanes = [(starts[short], lengths[short], np.zeros(len(short), np.int64), place[short])]
+        for k in np.flatnonzero(is_long).tolist():
+            begin, size, entry, counts[k] = self.long_word(data, int(starts[k]), int(lengths[k]))
             if ids:
-                last[at_byte[:n] + i] = self.token[slot]
-        counts = np.empty_like(count)
-        counts[order] = count
+                lanes.append((begin, size, entry, place[k] + begin - starts[k]))
+        begin, size, entry, at = (np.concatenate(x) for x in zip(*lanes))
+        order = np.argsort(-size, kind="stable")
+        last = np.zeros(int(lengths.sum()), np.int32) if ids else None
+        _, n = self._walk(data, begin[order], size[order], entry[order], last, at[order])
+        own = order < len(short)
+        counts[short[order[own]]] = n[own]
         if not ids:
             return counts, None
         # walk back from the last byte: the token that ends there, then the one that ends before it
         size = self._sizes()
-        first = np.zeros(len(order), np.int64)
-        np.cumsum(counts[:-1], out=first[1:])
+        first = np.cumsum(counts) - counts
         out = np.zeros(int(counts.sum()), np.int32)
-        at, put = at_byte + length - 1, first[order] + count - 1
-        lane = np.flatnonzero(length > 0)
-        while len(lane):
-            t = last[at[lane]]
-            out[put[lane]] = t
-            at[lane] -= size[t]
-            put[lane] -= 1
-            lane = lane[at[lane] >= at_byte[lane]]
+        for k in np.flatnonzero(is_long).tolist():
+            ends, i, found = last[place[k] : place[k] + lengths[k]].tolist(), int(lengths[k]) - 1, []
+            while i >= 0:
+                found.append(ends[i])
+                i -= self.size_list[ends[i]]
+            out[first[k] : first[k] + counts[k]] = found[::-1]
+        lane = short[lengths[short] > 0]
+        at, put = place[lane] + lengths[lane] - 1, first[lane] + counts[lane] - 1
+        low = place[lane]
+        while len(at):
+            t = last[at]
+            out[put] = t
+            at = at - size[t]
+            keep = at >= low
+            at, put, low = at[keep], put[keep] - 1, low[keep]
         return counts, out
 
     def _sizes(self) -> np.ndarray:
@@ -322,20 +410,20 @@ class Encoder:
             self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
             for i, b in self.bytes_of.items():
                 self.size[i] = len(b)
+            self.size_list = self.size.tolist()
         return self.size
 
     def _segments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[tuple[int, int]]]:
         """Texts split at special tokens: segments, the text of each, and (segment index before which, id) of specials."""
         parts, owner, special = [], [], []
         for i, t in enumerate(texts):
-            rest = t
-            while found := min(((at, -len(s), s) for s in self.special if (at := rest.find(s)) >= 0), default=None):
-                at, _, s = found
-                parts.append(rest[:at])
+            at = 0
+            for m in self.specials.finditer(t) if self.special else ():
+                parts.append(t[at : m.start()])
                 owner.append(i)
-                special.append((len(parts), self.special[s]))
-                rest = rest[at + len(s) :]
-            parts.append(rest)
+                special.append((len(parts), self.special[m[0]]))
+                at = m.end()
+            parts.append(t[at:] if at else t)
             owner.append(i)
         return parts, np.array(owner, np.int64), special
 

@@ -51,3 +51,25 @@ def test_query_rows(spark):
     got = sorted(map(tuple, F.count_tokens(df, PATH).collect()), key=str)
     assert got == sorted([(1, 0, 0, False), (2, 0, 0, False), (2, 0, 0, False), (None, 3, 2, False), (3, 40000, len(LIBRARY.encode("x" * 40000).ids), len(LIBRARY.encode("x" * 40000).ids) > 1024)], key=str)
     assert F.count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_by_chunk_maps():
+    """Words of up to 2 MB in seconds, equal to the library."""
+    import random
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomlake.llm.token_fst import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own, r = Tokenizer.from_file(path), Encoder(path), random.Random(8)
+    texts = ["x" * 5000, "ab" * 3001, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=80_000)), "\u00e9t\u00e9" * 2000, "=" * 4097, " " * 3000 + "end", "1234567" * 900, "aaab" * 700 + " short " + "z" * 1025]
+    texts = [t + "<|endoftext|>" + t[:1500] for t in texts]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.count([t.encode() for t in texts]).tolist() == [len(w) for w in want]
+    assert [x.tolist() for x in own.encode([t.encode() for t in texts])] == want
+    t0 = time.time()
+    assert own.count([b"x" * 2_000_000])[0] == len(lib.encode("x" * 2_000_000, add_special_tokens=False).ids)
+    assert time.time() - t0 < 30
