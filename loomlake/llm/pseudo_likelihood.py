@@ -8,11 +8,16 @@ probabilities of all words, each masked in turn, scores the document.
   pairs are counted over all such words of all documents, so every word costs its own log probability.
 * Network, in numpy: an embedding for each of four places, their sum through tanh, and a softmax over classes of words,
   then over the words of the class.
-* Training: each task trains a copy from the same start on all windows of its documents (AdaGrad); the copies are
-  averaged, weighted by their windows. What is gathered, counts and copies, grows with the input; the model does not.
-
-Null and empty texts have 0 tokens, sum 0 and mean null. Repeated rows get equal results; an empty table gives an empty
-table. Very long texts are cut into blocks only for arithmetic: windows reach across. Other columns are not looked at.
+* Training: documents are dealt by hash to folds, rounds and slices of about ``words_per_slice`` words. In a round each
+  slice trains a copy from the same start on all windows of its documents, in order of their hash (AdaGrad); the copies
+  are averaged, weighted by their windows, and start the next round. Sums are of whole numbers, so networks do not depend
+  on how the input is partitioned. Every document is trained on once; the number of slices and copies grows with the input.
+* Scores: a fold is a hash of the text, and a text is scored by the network of the other folds, which has not seen it.
+  Where all documents have one text, its own network has to do.
+
+Null and empty texts have 0 tokens, sum 0 and mean null. Repeated rows get equal results, and train in one slice; ties
+of the vocabulary go to the smaller hash; an empty table gives an empty table. Very long texts are cut into blocks only
+for arithmetic: windows reach across. Other columns, of whatever name, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import batches, joined, ragged, span_hashes, texts_of
+from loomlake.llm.common import batches, cut, drop_cut, joined, ragged, span_hashes, texts_of
 from loomlake.llm.ngram_join import _LOWER, _SPACE
 from loomlake.llm.token_fst import groups
 
@@ -65,26 +70,6 @@ def byte_pairs(texts: list[bytes], words: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.repeat(unknown, size), before * _SYMBOLS + after, len(h)
 
 
-def spelling(docs: DataFrame, network) -> np.ndarray:
-    """The log probability of each byte pair, from the words of docs (text) outside the broadcast network's vocabulary."""
-
-    def run(rows):
-        out = np.zeros(_SYMBOLS * _SYMBOLS, np.int64)
-        for b in batches(rows):
-            texts = texts_of(b.column(0))
-            for i, j in groups(texts, 1_000_000):
-                out += np.bincount(byte_pairs(texts[i:j], network.value.words)[1], minlength=len(out))
-        at = np.flatnonzero(out)
-        if len(at):
-            yield _counts(at, out[at])
-
-    counts = np.full(_SYMBOLS * _SYMBOLS, 0.1)
-    for r in docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect():
-        counts[r.h] += r.n
-    counts = counts.reshape(_SYMBOLS, _SYMBOLS)
-    return np.log(counts / counts.sum(1, keepdims=True)).ravel()
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, n) over all documents."""
 
@@ -117,6 +102,12 @@ def _counts(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
+def _log_share(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """log softmax of each row at its k."""
+    z = z - z.max(1, keepdims=True)
+    return z[np.arange(len(z)), k] - np.log(np.exp(z).sum(1))
+
+
 class Network:
     """Token 0 stands for words outside the vocabulary, token ``size`` for what is beyond a text's ends; ``pairs`` holds
     the log probabilities of the byte pairs of words outside the vocabulary."""
@@ -181,12 +172,12 @@ class Network:
             target = tokens[a]
             h, cls, word = self._hidden(tokens, a), target // self.per_class, target % self.per_class
             z = h @ self.to_class + self.class_bias
-            p = z[np.arange(len(a)), cls] - np.log(np.exp(z).sum(1))
+            p = _log_share(z, cls)
             order, segments = self._segments(cls)
             h, word = h[order], word[order]
             for c, s, e in segments:
                 z = h[s:e] @ self.to_word[c] + self.word_bias[c]
-                p[order[s:e]] += z[np.arange(e - s), word[s:e]] - np.log(np.exp(z).sum(1))
+                p[order[s:e]] += _log_share(z, word[s:e])
             out[i : i + len(a)] = p
         return out
 
@@ -242,65 +233,118 @@ def places(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + 2 * np.repeat(np.arange(len(n)), n) + 2
 
 
-def fit(docs: DataFrame, vocabulary: int = 1023, slices: int = 16, **shape) -> Network:
-    """docs (text)."""
-    spark = docs.sparkSession
-    top = count_words(docs).orderBy(F.desc("n"), "h").limit(vocabulary).collect()
-    net = Network(np.array([r.h for r in top], np.int64).view(np.uint64), **shape)
-    start = spark.sparkContext.broadcast(net)
-
-    def train(rows):
-        own = None
-        for b in batches(rows):
-            if own is None:
-                base = start.value
-                own = Network(base.words, base.bias.size, base.per_class)
-                own.load(base.flat())
-                trainer = Trainer(own)
-            texts = texts_of(b.column(0))
-            for i, j in groups(texts, 1_000_000):
-                tokens, n = own.tokens(texts[i:j])
-                trainer.feed(tokens, places(n))
-        if own is not None and trainer.windows:
-            parts = np.array_split(own.flat() * np.float64(trainer.windows), slices)
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([trainer.windows] * slices, pa.int64())], ["slice", "sums", "windows"])
-
-    def add(rows):
-        got: dict[int, list] = {}
-        for b in batches(rows):
-            for k, s, w in zip(*(c.to_pylist() for c in b.columns)):
-                x = got.setdefault(k, [0, 0])
-                x[0], x[1] = x[0] + np.frombuffer(s), x[1] + w
-        if got:
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([(s / w).tobytes() for s, w in got.values()], pa.binary())], ["slice", "mean"])
-
-    copies = docs.select("text").mapInArrow(train, "slice int, sums binary, windows long")
-    means = {r.slice: np.frombuffer(r.mean) for r in copies.repartition("slice").mapInArrow(add, "slice int, mean binary").collect()}
-    if means:
-        net.load(np.concatenate([means[k] for k in range(slices)]))
-        net.pairs = spelling(docs, start)
-    return net
+_SCALE = 1 << 16
+
+
+def fold_of(text: str, folds: int):
+    return F.pmod(F.xxhash64(F.col(text)), F.lit(folds)).cast("int")
+
+
+def _trained(rows: DataFrame, shared) -> DataFrame:
+    """rows (fold, slice, text), all of a slice in one task and in order -> (fold, kind, at, x, windows): sums of weights
+    times windows as whole numbers (kind 0), counts of byte pairs (kind 1)."""
+    names = ["fold", "kind", "at", "x"]
+
+    def results(fold, trainer, pairs):
+        flat = np.round(trainer.net.flat().astype(np.float64) * _SCALE).astype(np.int64) * trainer.windows
+        seen = np.flatnonzero(pairs)
+        for kind, at, x in ((0, np.arange(len(flat)), flat), (1, seen, pairs[seen]), (2, np.zeros(1, np.int64), np.array([trainer.windows]))):
+            for i in range(0, len(at), 1 << 16):
+                k = len(at[i : i + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * k, pa.int32()), pa.array([kind] * k, pa.int32()), pa.array(at[i : i + k]), pa.array(x[i : i + k])], names)
+
+    def run(batches_):
+        now, held, size, trainer, pairs = None, [], 0, None, None
+
+        def feed():
+            tokens, n = trainer.net.tokens(held)
+            trainer.feed(tokens, places(n))
+            pairs[:] += np.bincount(byte_pairs(held, trainer.net.words)[1], minlength=len(pairs))
+
+        for b in batches(batches_):
+            for fold, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
+                if (fold, part) != now:
+                    if now is not None:
+                        feed()
+                        yield from results(now[0], trainer, pairs)
+                    base = shared.value[fold]
+                    net = Network(base.words, base.bias.size, base.per_class)
+                    net.load(base.flat())
+                    now, held, size, trainer, pairs = (fold, part), [], 0, Trainer(net), np.zeros(_SYMBOLS * _SYMBOLS, np.int64)
+                held.append(text)
+                size += len(text)
+                if size > 1_000_000:
+                    feed()
+                    held, size = [], 0
+        if now is not None:
+            feed()
+            yield from results(now[0], trainer, pairs)
+
+    out = rows.mapInArrow(run, "fold int, kind int, at long, x long")
+    return out.groupBy("fold", "kind", "at").agg(F.sum(F.col("x").cast("decimal(38,0)")).cast("double").alias("x"))
+
+
+def fit(df: DataFrame, vocabulary: int = 1023, words_per_slice: int = 2_000_000, rounds: int = 2, folds: int = 2, id_col: str = "doc_id", text_col: str = "text", **shape) -> list[Network]:
+    """For each fold the network that scores its texts: the one trained on the other folds."""
+    spark = df.sparkSession
+    docs = df.select(F.col(text_col).alias("text"), fold_of(text_col, folds).alias("fold"), F.xxhash64(id_col, text_col, F.lit(5)).alias("h")).where("text is not null")
+    counts = cut(count_words(docs))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "h").limit(vocabulary).collect()
+    drop_cut(counts)
+    nets = [Network(np.array([r.h for r in top], np.int64).view(np.uint64), **shape) for _ in range(folds)]
+    slices = -(-total // (folds * rounds * words_per_slice))
+    if not total:
+        return nets
+    dealt = docs.select("fold", F.pmod("h", F.lit(rounds * slices)).cast("int").alias("slice"), "h", "text")
+    pairs, trained = [np.full(_SYMBOLS * _SYMBOLS, 0.1) for _ in nets], [0] * folds
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(nets)
+        # a document of fold f trains the networks of all other folds: with two, the one of the other fold
+        own = dealt.where(F.col("slice") % rounds == r).withColumn("fold", F.explode(F.array_remove(F.array(*map(F.lit, range(folds))), F.col("fold"))) if folds > 2 else 1 - F.col("fold"))
+        ordered = own.repartition("fold", "slice").sortWithinPartitions("fold", "slice", "h", "text").select("fold", "slice", "text")
+        got = _trained(ordered, shared).toArrow()
+        fold, kind, at, x = (got.column(c).to_numpy() for c in ("fold", "kind", "at", "x"))
+        for f, net in enumerate(nets):
+            windows = x[(fold == f) & (kind == 2)].sum()
+            if windows:
+                flat = np.zeros(len(net.flat()))
+                here = (fold == f) & (kind == 0)
+                flat[at[here]] = x[here]
+                net.load(flat / windows / _SCALE)
+                here = (fold == f) & (kind == 1)
+                pairs[f][at[here]] += x[here]
+                trained[f] += int(windows)
+    for f, net in enumerate(nets):
+        c = pairs[f].reshape(_SYMBOLS, _SYMBOLS)
+        net.pairs = np.log(c / c.sum(1, keepdims=True)).ravel()
+    best = int(np.argmax(trained))
+    return [net if t else nets[best] for net, t in zip(nets, trained)]
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("sum_logprob", pa.float64()), ("mean_logprob", pa.float64())])
 
 
-def score(df: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, sum_logprob, mean_logprob) of each row of df."""
-    shared = df.sparkSession.sparkContext.broadcast(network)
+def score(df: DataFrame, networks: list[Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, sum_logprob, mean_logprob) of each row of df; each text by the network of its fold."""
+    shared = df.sparkSession.sparkContext.broadcast(networks)
+
+    def sums_of(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        tokens, n = net.tokens(texts)
+        p = net.log_probabilities(tokens, places(n)).astype(np.float64) + net.spelled(texts)
+        ends, at = np.concatenate([[0.0], np.cumsum(p)]), np.concatenate([[0], np.cumsum(n)])
+        return ends[at[1:]] - ends[at[:-1]], n
 
     def run(rows):
         for b in batches(rows):
-            texts, sums, counts = texts_of(b.column(1)), [], []
-            for i, j in groups(texts, 1_000_000):
-                tokens, n = shared.value.tokens(texts[i:j])
-                p = shared.value.log_probabilities(tokens, places(n)).astype(np.float64) + shared.value.spelled(texts[i:j])
-                ends = np.concatenate([[0.0], np.cumsum(p)])
-                at = np.concatenate([[0], np.cumsum(n)])
-                sums.append(ends[at[1:]] - ends[at[:-1]])
-                counts.append(n)
-            n, s = np.concatenate(counts), np.concatenate(sums)
-            mean = pa.array(s / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(s), mean], schema=_SCORES)
-
-    return df.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double, mean_logprob double")
+            texts, fold = texts_of(b.column(1)), b.column(2).to_numpy()
+            n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for f, net in enumerate(shared.value):
+                own = np.flatnonzero(fold == f)
+                mine = [texts[i] for i in own.tolist()]
+                for i, j in groups(mine, 1_000_000):
+                    s[own[i:j]], n[own[i:j]] = sums_of(net, mine[i:j])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1), mask=n == 0)], schema=_SCORES)
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), fold_of(text_col, len(networks)).alias("fold"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double, mean_logprob double")
