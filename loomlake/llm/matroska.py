@@ -4,8 +4,10 @@ The parser walks EBML elements of variable-length ids and sizes (unknown sizes t
 takes tracks, clusters, SimpleBlocks and BlockGroups with no, Xiph, fixed-size or EBML lacing, and cues. A packet is a
 frame: its track, timestamp in ns, key flag, place in its lace, and the byte range in the file.
 
-A broken file gives the packets before the fault and its description in ``error``. Null media: no packets. Empty tables
-give empty tables; repeated rows give repeated packets; other columns are not looked at.
+A broken file gives the packets before the fault and its description in ``error``; if there are none, one row without
+a packet that has the ``error``. Null media: no rows. Empty tables give empty tables; repeated rows give repeated packets;
+packets of one time keep the order of the file; very long files are parsed whole, one at a time; other columns, of
+whatever name, are not looked at.
 """
 
 from __future__ import annotations
@@ -145,7 +147,7 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 def parse(data: bytes) -> Media:
     m = Media()
     try:
-        _walk(data, 0, len(data), 0, m, {})
+        _walk(data, m)
     except (ValueError, IndexError) as e:
         m.error = str(e) or "cut off"
     return m
@@ -166,8 +168,18 @@ def _block(data: bytes, at: int, end: int, m: Media, state: dict, key: bool | No
         m.packets.append((track, when * m.scale + i * step, bool(flags & 0x80) if key is None else key, flags >> 1 & 3, i, len(m.clusters) - 1, a, n))
 
 
-def _walk(data: bytes, at: int, end: int, parent: int, m: Media, state: dict) -> int:
-    while at < end:
+def _walk(data: bytes, m: Media) -> None:
+    """All elements of a file. What holds the place reached is a stack of (end, id, unknown size), so nesting has no bound."""
+    at, state, inside = 0, {}, [(len(data), 0, False)]
+    while True:
+        end, parent, open_ = inside[-1]
+        if at >= end:
+            inside.pop()
+            if parent == BLOCK_GROUP and state["block"]:
+                _block(data, *state["block"], m, state, state["key"])
+            if not inside:
+                return
+            continue
         began = at
         ident, at, _ = read_vint(data, at, keep_marker=True)
         size, at, unknown = read_vint(data, at)
@@ -179,14 +191,15 @@ def _walk(data: bytes, at: int, end: int, parent: int, m: Media, state: dict) ->
             stop = at + size
         if stop > end:
             raise ValueError(f"element at {began} is longer than what holds it")
-        if parent == CLUSTER and state.get("open") and ident in (CLUSTER, CUES, INFO, TRACKS):
-            return began
+        if parent == CLUSTER and open_ and ident in (CLUSTER, CUES, INFO, TRACKS):
+            inside.pop()
+            at = began
+            continue
         body = data[at:stop] if ident not in MASTERS and ident not in (SIMPLE_BLOCK, BLOCK) else b""
         if ident == SEGMENT:
             m.segment = at
         elif ident == CLUSTER:
             m.clusters.append(began)
-            state["open"] = unknown
         elif ident == TRACK:
             m.tracks.append({})
         elif ident == CUE_POINT:
@@ -194,9 +207,7 @@ def _walk(data: bytes, at: int, end: int, parent: int, m: Media, state: dict) ->
         if ident in MASTERS:
             if ident == BLOCK_GROUP:
                 state["block"], state["key"] = None, True
-            at = _walk(data, at, stop, ident, m, state)
-            if ident == BLOCK_GROUP and state["block"]:
-                _block(data, *state["block"], m, state, state["key"])
+            inside.append((stop, ident, unknown))
             continue
         if ident == SIMPLE_BLOCK:
             _block(data, at, stop, m, state, None)
@@ -219,7 +230,6 @@ def _walk(data: bytes, at: int, end: int, parent: int, m: Media, state: dict) ->
         elif ident in _CUE_NUMBERS and m.cues:
             m.cues[-1][_CUE_NUMBERS[ident]] = _number(body)
         at = stop
-    return at
 
 
 _TRACK_NUMBERS = {NUMBER: "number", TYPE: "type", CHANNELS: "channels", DEPTH: "depth", DEFAULT_DURATION: "default_duration"}
@@ -227,15 +237,15 @@ _CUE_NUMBERS = {CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each packet of each file of df."""
+    """One row for each packet of each file of df, and one for each faulty file without packets."""
     names = ["id", "track", "timestamp_ns", "key", "lacing", "lace_index", "cluster", "first_byte", "n_bytes", "error"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])))
 
     def run(rows):
         for b in batches(rows):
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if data is not None and (m := parse(data)).packets:
-                    out = [(i, *p, m.error) for p in m.packets]
+                if data is not None and ((m := parse(data)).packets or m.error):
+                    out = [(i, *p, m.error) for p in m.packets] or [(i, *[None] * 8, m.error)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return df.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{media_col}` as media").mapInArrow(run, "id long, track int, timestamp_ns long, key boolean, lacing int, lace_index int, cluster int, first_byte long, n_bytes long, error string")
@@ -248,7 +258,8 @@ def pad(text: bytes) -> bytes:
 def features(m: Media, payload: bytes) -> str:
     """Packets, clusters, cues that name a cluster, duration; level, power and sign changes of the samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
-    hits = sum(m.segment + c.get("cluster", -1) in m.clusters for c in m.cues)
+    clusters = set(m.clusters)
+    hits = sum(m.segment + c.get("cluster", -1) in clusters for c in m.cues)
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
     return f"packets={len(m.packets)};clusters={len(m.clusters)};cues={hits};ms={len(x) * 1000 // SAMPLE_RATE};sum={int(x.sum())};power={int((x * x).sum())};crossings={crossings}"
 

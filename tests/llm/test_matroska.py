@@ -50,3 +50,16 @@ def test_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert M.packet_table(M.text_media(df), "doc_id", "media").where("id = 3").count() == 2
     assert M.media_features(M.text_media(df.limit(0))).count() == 0
+
+
+def test_deep_nesting_and_faults_without_packets(spark):
+    deep = bytes([0xA0, 0x01, *[0xFF] * 7]) * 20_000
+    m = M.parse(deep)
+    assert m.packets == []
+    body = b""
+    for _ in range(1500):
+        body = M.element(M.CUE_POINT, body)
+    assert M.parse(body).error is None and len(M.parse(body).cues) == 1500
+    df = spark.createDataFrame([(1, b"\x00junk"), (2, bytearray(M.write_pcm(bytes(64)))), (3, None), (4, b"")], "id long, media binary")
+    rows = {r.id: r for r in M.packet_table(df, "id", "media").collect()}
+    assert rows.keys() == {1, 2} and rows[1].error and rows[1].track is None and rows[2].error is None
