@@ -11,7 +11,9 @@ until both are identical. Escaping adds one backslash between "<" and "|", readi
 
 Rows are read turn by turn from sorted partitions, so a conversation of any length needs the memory of one turn. Order
 in a conversation: turn (null first), role, text. Null role or text: empty. A null conv_id is a conversation of its own.
-Repeated rows are repeated turns; an empty table gives an empty table. Other columns are not looked at.
+Repeated rows are repeated turns, and rows that tie in turn stand by role and text, so the output does not depend on how
+they come; very long texts are one turn, whole; an empty table gives an empty table. Other columns, of whatever name, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -55,22 +57,51 @@ def render(role: str, text: str) -> str:
     return f"{START}{role}\n{text}{END}\n"
 
 
+def _turn(formatted: str, at: int) -> tuple[str, str, int, int, int]:
+    """(role, text, start and end of the text in the output, place behind) of the turn that begins at a place."""
+    if not formatted.startswith(START, at):
+        raise GrammarError(f"no turn at {at}")
+    at += len(START)
+    line = formatted.find("\n", at)
+    end = formatted.find("<|", at)
+    if line < 0 or end < line or not formatted.startswith(END + "\n", end):
+        raise GrammarError(f"turn not closed at {at}")
+    return unescape_role(formatted[at:line]), unescape(formatted[line + 1 : end]), line + 1, end, end + len(END) + 1
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start and end of the text in the output) of each turn; the texts are unescaped."""
     out, at = [], 0
     while at < len(formatted):
-        if not formatted.startswith(START, at):
-            raise GrammarError(f"no turn at {at}")
-        at += len(START)
-        line = formatted.find("\n", at)
-        end = formatted.find("<|", at)
-        if line < 0 or end < line or not formatted.startswith(END + "\n", end):
-            raise GrammarError(f"turn not closed at {at}")
-        out.append((unescape_role(formatted[at:line]), unescape(formatted[line + 1 : end]), line + 1, end))
-        at = end + len(END) + 1
+        *turn, at = _turn(formatted, at)
+        out.append(tuple(turn))
     return out
 
 
+class Reader:
+    """The parser over output that comes in parts of any length: it holds what has no end yet, one turn at most."""
+
+    def __init__(self):
+        self.rest, self.seen = "", 0
+
+    def feed(self, part: str) -> Iterator[tuple[str, str, int, int]]:
+        """The turns that this part completes, with the places of their texts in the whole output."""
+        self.rest += part
+        at = 0
+        # a turn is complete when its closing line is there; a control string cannot stand inside it
+        while (close := self.rest.find(END + "\n", at)) >= 0:
+            role, text, a, b, behind = _turn(self.rest, at)
+            if behind != close + len(END) + 1:
+                raise GrammarError(f"turn not closed at {self.seen + at}")
+            yield role, text, self.seen + a, self.seen + b
+            at = behind
+        self.rest, self.seen = self.rest[at:], self.seen + at
+
+    def close(self) -> None:
+        if self.rest:
+            raise GrammarError(f"turn not closed at {self.seen}")
+
+
 def _read(segment: str) -> list[tuple[str, str]] | None:
     try:
         return [(r, t) for r, t, _, _ in parse(segment)]
@@ -112,20 +143,28 @@ def format_turns(df: DataFrame, **columns: str) -> DataFrame:
 
 
 class _Digest:
+    """A conversation rendered turn by turn, its output read back by one parser from begin to end."""
+
     def __init__(self, conv):
-        self.conv, self.turns, self.loss = conv, hashlib.sha256(), hashlib.sha256()
+        self.conv, self.turns, self.loss, self.source = conv, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.reader = Reader()
         self.n = self.loss_chars = self.chars = 0
 
-    def add(self, segment: str) -> None:
-        for role, text, _, _ in parse(segment):
-            self.n += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss.update(text.encode())
-                self.loss_chars += len(text)
+    def add(self, role: str, text: str) -> None:
+        self.source.update(f"{role}\n{text}\n".encode())
+        segment = format_turn(role, text)
         self.chars += len(segment)
+        for got_role, got, _, _ in self.reader.feed(segment):
+            self.n += 1
+            self.turns.update(f"{got_role}\n{got}\n".encode())
+            if got_role == "assistant":
+                self.loss.update(got.encode())
+                self.loss_chars += len(got)
 
     def row(self):
+        self.reader.close()
+        if self.turns.digest() != self.source.digest():
+            raise GrammarError(f"conversation {self.conv} is not read back as the source")
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
@@ -144,7 +183,7 @@ def digests(df: DataFrame, **columns: str) -> DataFrame:
                     if now is not None:
                         done.append(now.row())
                     now = _Digest(conv)
-                now.add(format_turn(role, text))
+                now.add(role, text)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), _DIGESTS)], schema=_DIGESTS)
         if now is not None:

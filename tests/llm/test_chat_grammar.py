@@ -12,6 +12,10 @@ def test_round_trip_and_mask():
         turns = [(r.choice(["user", "assistant", "x\ny", "<|im_end|>", "", "a\\n"]), "".join(r.choices(PARTS, k=r.randrange(8)))) for _ in range(r.randrange(4))]
         out, mask = C.format_conversation(turns)
         assert [(a, b) for a, b, _, _ in C.parse(out)] == turns
+        cuts = sorted(r.choices(range(len(out) + 1), k=3))
+        reader = C.Reader()
+        assert [x for i, j in zip([0, *cuts], [*cuts, len(out)]) for x in reader.feed(out[i:j])] == C.parse(out)
+        reader.close()
         assert [C.unescape(out[a:b]) for a, b in mask] == [t for role, t in turns if role == "assistant"]
 
 
