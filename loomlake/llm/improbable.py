@@ -9,7 +9,8 @@ gives, over the most there could be: for each filter of the shorter chain the be
 
 A text shorter than a window is one feature; an empty or null text has none, and two of these are alike (1), one and
 another text are not (0). Order: by id (null first), then text. Equal texts have equal fingerprints. A single row is its
-own next one; an empty table gives an empty table. Other columns are not looked at.
+own next one; an empty table gives an empty table. Rows of one id are in one task, so an id is not expected to repeat
+without bound; very long texts are taken whole, one at a time. Other columns, of whatever name, are not looked at.
 """
 
 from __future__ import annotations
@@ -197,8 +198,10 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     if not first:
         return placed.withColumn("guest", F.lit(False))
     order = sorted(first)
-    back = [F.lit(x) for i, b in enumerate(order) for x in (first[b], order[i - 1])]
-    guest = F.create_map(*back)[F.col("k")]
+    before = dict(zip(order, [order[-1], *order[:-1]]))
+    long_ = lambda x: "null" if x is None else "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
+    lists = [f"element_at(array({','.join(f(b) for b in range(len(bounds) + 1))}), bucket + 1)" for f in (lambda b: long_(first.get(b)), lambda b: str(before.get(b, -1)))]
+    guest = F.expr(f"if(k = {lists[0]}, {lists[1]}, null)")
     both = F.when(guest.isNotNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest")), F.struct(guest.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))))
     return placed.withColumn("x", F.explode(both)).select("x.bucket", "x.guest", "k", "doc_id", "text")
 

@@ -83,3 +83,44 @@ def test_texts_without_popular_windows():
     assert S.likeness(*S.filters([a, b], rank)) < 1
     whole = S.filters([a, b, head], rank)
     assert all((p == S.filters([t], rank)[0]).all() for t, p in zip([a, b, head], whole))
+
+
+def bits_of(text, rank):
+    """The chain of a text's filters as sets of bits, from its features one by one."""
+    _, h = S.features([text], rank, rare=True)
+    chain = []
+    for i, x in enumerate(h.tolist()):
+        if i % S.PER_FILTER == 0:
+            chain.append(set())
+        chain[-1] |= {(x >> 11 * k) % S.BITS for k in range(S.HASHES)}
+    return chain
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    total = 0.0
+    for x in a:
+        best = 0.0
+        for y in b:
+            chance = len(x) * len(y) / S.BITS
+            most = min(len(x), len(y)) - chance
+            best = max(best, (len(x & y) - chance) / most if most > 0 else float(x <= y))
+        total += min(max(best, 0.0), 1.0)
+    return total / len(a)
+
+
+def test_likeness_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60).collect()] + [(10**9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rank = S.fit(df)
+    got = {r.doc_id: r for r in S.compare_edited(df).collect()}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        t, after = t or "", after or ""
+        k = len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        own = bits_of(t.encode(), rank)
+        assert abs(got[i].near_edited - brute_likeness(own, bits_of(edited.encode(), rank))) < 1e-9
+        assert abs(got[i].near_next - brute_likeness(own, bits_of(after.encode(), rank))) < 1e-9
