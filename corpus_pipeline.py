@@ -1,6 +1,11 @@
 """The corpus pipeline: language ID, near-duplicate removal, mixing, packing.
 
 Each stage works on all that its predecessor kept; between stages the rows are written as Parquet and read again.
+
+Null ids, repeated rows, null, empty and very long texts and columns of other names go through every stage: language ID
+drops a null or empty text, as it has no letter; the near-duplicate stage keeps rows with a null id, and of a repeated id
+all rows if it is the smallest of its component; the draw takes repeated rows together, and ties of its hash alike; packing
+returns pieces, with null ids as null. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlake.llm import language_id, mixing, ngram_join, packing
-from loomlake.llm.common import cut, tune
+from loomlake.llm.common import cut, drop_cut, tune
 from loomlake.llm.queries import vocabulary
 
 
@@ -46,7 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            drop_cut(last)
     return docs
