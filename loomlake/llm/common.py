@@ -143,7 +143,8 @@ def give_back() -> None:
 
 
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches that hold rows. Behind the last one a task's memory is given back."""
+    """Batches that hold rows. A task gives back what the one before left, and its own memory behind the last batch."""
+    give_back()
     try:
         for b in rows:
             if b.num_rows:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -158,6 +159,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: One (node, token before, its count) of a state; states are kept packed, as there are many.
+_STATE = struct.Struct("iii")
+
+
 class Encoder:
     """The compiled transducers of one vocabulary file."""
 
@@ -225,13 +230,13 @@ class Encoder:
                 limit, a = ra, self.halves[a][1]
             else:
                 limit, b = rb + 1, self.halves[b][0]
-        if len(self.neighbours) > 4_000_000:
+        if len(self.neighbours) > 1_000_000:
             self.neighbours.clear()
         self.neighbours[key] = known
         return known
 
     def forget(self) -> None:
-        start = ((0, -1, 0),)
+        start = _STATE.pack(0, -1, 0)
         self.states, self.index = [start], {start: 0}
         self.bits = 17
         self._room()
@@ -249,7 +254,7 @@ class Encoder:
     def _compile(self, key: int) -> None:
         """Add the transition of a state and a byte."""
         live, found = [], None
-        for node, last, count in self.states[key >> 8]:
+        for node, last, count in _STATE.iter_unpack(self.states[key >> 8]):
             node = self.child.get(node << 8 | key & 255)
             if node is None:
                 continue
@@ -259,7 +264,7 @@ class Encoder:
             if node in self.open:
                 live.append((node, last, count))
         token, change = found
-        state = (*sorted((n, a, c - change) for n, a, c in live), (0, token, 0))
+        state = b"".join(_STATE.pack(n, a, c - change) for n, a, c in sorted(live)) + _STATE.pack(0, token, 0)
         to = self.index.get(state)
         if to is None:
             to = self.index[state] = len(self.states)
