@@ -62,6 +62,11 @@ def rename_key(obj, old: str = "nm", new: str = "name"):
     return _walk(obj, on_dict=lambda d: {new if k == old else k: v for k, v in d.items()})
 
 
+def wrap_objects(obj, key: str):
+    """An object under the key becomes a list of that object."""
+    return _walk(obj, on_dict=lambda d: {k: [v] if k == key and isinstance(v, dict) else v for k, v in d.items()})
+
+
 def tree_schema(obj):
     """The type of each value and of the members of each box."""
     if isinstance(obj, dict):
@@ -103,7 +108,7 @@ def rewrite(fn: Callable, strict: bool = True):
                 return None
             try:
                 return dumps(fn(json.loads(t) if strict else parse(t)))
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than any label
                 return None
 
         return s.map(one)
@@ -120,11 +125,18 @@ json_remove_bbox = rewrite(remove_key)
 json_rename = rewrite(rename_key)
 json_tree_schema = rewrite(tree_schema)
 json_parse = rewrite(lambda x: x, strict=False)
+json_wrap_items = rewrite(lambda x: wrap_objects(x, "item"))
 
 
 @F.pandas_udf(_BOXES)
 def json_key_boxes(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"key": k, "value": v, "bbox": b} for k, v, b in key_boxes(parse(t))])
+    def one(t):
+        try:
+            return [{"key": k, "value": v, "bbox": b} for k, v, b in key_boxes(parse(t))]
+        except RecursionError:
+            return []
+
+    return s.map(one)
 
 
 _PAIR = re.compile(r'"<\|value\|>":\s*"([^"]*)",\s*"<\|bbox\|>":\s*"([^"]*)"')
@@ -148,7 +160,35 @@ def denormalize(text: str, width: int, height: int, key: str = BBOX) -> str:
 
 @F.pandas_udf(T.StringType())
 def json_denormalize(label: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or w != w or h != h else denormalize(dumps(remove_none(json.loads(t))), w, h) for t, w, h in zip(label, width, height)])
+    def one(t, w, h):
+        try:
+            return None if t is None or w != w or h != h else denormalize(dumps(remove_none(json.loads(t))), w, h)
+        except (ValueError, RecursionError):
+            return None
+
+    return pd.Series([one(*x) for x in zip(label, width, height)])
+
+
+def pairs_of(text: Column) -> Column:
+    """value_box_pairs() as an array of structs."""
+    found = [F.regexp_extract_all(text, F.lit(_PAIR.pattern), F.lit(k)) for k in (1, 2)]
+    return F.transform(F.arrays_zip(found[0].alias("v"), found[1].alias("b")), lambda x: F.struct(x["v"].alias("value"), x["b"].alias("bbox")))
+
+
+def lock_step(df, *columns: str):
+    """One row for each place of array columns of one length, all exploded together."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.arrays_zip(*columns)).alias("_x")).select(*rest, *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+
+def append_new(entries: Column, more: Column) -> Column:
+    """Entries of a key with those added that differ in value or box."""
+    return F.array_distinct(F.concat(entries, more))
+
+
+def keep_or_first(values: Column, many: Column) -> Column:
+    """All values of a class that may have several, else the first alone; none are null."""
+    return F.when(F.size(values) == 0, None).when(many, values).otherwise(F.slice(values, 1, 1))
 
 
 def disambiguate(key: Column, value: Column, n_values: Column) -> Column:
@@ -160,11 +200,12 @@ def weave_otsl(tokens: Column, cells: Column) -> Column:
     """Structure tokens and cell texts woven to doctags: each <fcel> takes one text; b and i tags and empty texts are left
     out; it ends when tokens or texts run out; the otsl tags are put around if absent."""
     texts = F.filter(F.transform(cells, lambda c: F.array_join(F.filter(c, lambda t: ~t.isin("<b>", "</b>", "<i>", "</i>")), "")), lambda t: t != "")
-    used = F.transform(tokens, lambda t, i: F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), lambda x: x == "fcel")))
-    before = F.transform(tokens, lambda t, i: F.element_at(used, (i + 1).cast("int")) - F.when(t == "fcel", 1).otherwise(0))
-    # a token is taken while texts are left before it
-    parts = F.transform(tokens, lambda t, i: F.when(F.element_at(before, (i + 1).cast("int")) < F.size(texts), F.concat(F.lit("<"), t, F.lit(">"), F.when(t == "fcel", F.coalesce(F.try_element_at(texts, F.element_at(used, (i + 1).cast("int"))), F.lit(""))).otherwise(""))).otherwise(""))
-    body = F.array_join(parts, "")
+    # what follows the fcel that takes the last text is left out, and so is everything if there is no text
+    at = F.filter(F.transform(tokens, lambda t, i: F.when(t == "fcel", i + 1).otherwise(0)), lambda i: i > 0)
+    last = F.when(F.size(texts) == 0, 0).otherwise(F.coalesce(F.try_element_at(at, F.greatest(F.size(texts), F.lit(1))), F.size(tokens)))
+    parts = F.split(F.array_join(F.transform(F.slice(tokens, F.lit(1), last), lambda t: F.concat(F.lit("<"), t, F.lit(">"))), ""), "<fcel>")
+    cells_in = F.zip_with(F.slice(parts, F.lit(2), F.size(parts)), F.slice(texts, F.lit(1), F.size(parts) - 1), lambda p, t: F.concat(F.lit("<fcel>"), F.coalesce(t, F.lit("")), p))
+    body = F.concat(F.element_at(parts, 1), F.array_join(cells_in, ""))
     body = F.when(F.instr(body, "<otsl>") == 0, F.concat(F.lit("<otsl>"), body)).otherwise(body)
     return F.when(F.instr(body, "</otsl>") == 0, F.concat(body, F.lit("</otsl>"))).otherwise(body)
 

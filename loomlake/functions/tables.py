@@ -16,31 +16,43 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class _Node:
-    def __init__(self, tag: str, attrs=()):
-        self.tag, self.attrs, self.children = tag, dict(attrs), []
+    """An element. Pages nest without bound, so all walks keep their own stack."""
 
-    def find(self, tag: str):
-        for c in self.children:
-            if isinstance(c, _Node):
-                if c.tag == tag:
+    def __init__(self, tag: str, attrs=()):
+        self.tag, self.attrs, self.children, self.gone = tag, dict(attrs), [], False
+
+    def find(self, tag: str | None = None):
+        """The elements below, of a tag or all, in order."""
+        inside = [iter(self.children)]
+        while inside:
+            c = next(inside[-1], None)
+            if c is None:
+                inside.pop()
+            elif isinstance(c, _Node) and not c.gone:
+                if tag is None or c.tag == tag:
                     yield c
-                yield from c.find(tag)
-
-    def drop(self, tags: set[str]) -> None:
-        self.children = [c for c in self.children if not (isinstance(c, _Node) and c.tag in tags)]
-        for c in self.children:
-            if isinstance(c, _Node):
-                c.drop(tags)
+                inside.append(iter(c.children))
+
+    def _parts(self, marks: bool):
+        todo: list = [self]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                yield c
+            elif not c.gone:
+                if marks and c.tag:
+                    attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in c.attrs.items())
+                    yield f"<{c.tag}{attrs}/>" if c.tag in VOID else f"<{c.tag}{attrs}>"
+                    if c.tag in VOID:
+                        continue
+                    todo.append(f"</{c.tag}>")
+                todo.extend(reversed(c.children))
 
     def html(self) -> str:
-        inner = "".join(c if isinstance(c, str) else c.html() for c in self.children)
-        if self.tag == "":
-            return inner
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        return "".join(self._parts(True))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(self._parts(False))
 
 
 class _Builder(HTMLParser):
@@ -81,79 +93,102 @@ def tree(html: str) -> _Node:
     return b.root
 
 
+def _heights(root: _Node) -> list[tuple[int, int, _Node]]:
+    """(levels of tables inside, place, table) of every table."""
+    out, inside = [], [(None, iter(root.children), [0])]
+    place = 0
+    while inside:
+        node, rest, height = inside[-1]
+        c = next(rest, None)
+        if c is None:
+            inside.pop()
+            if inside:
+                up = height[0]
+                if node.tag == "table":
+                    out.append((up, node.place, node))
+                    up += 1
+                inside[-1][2][0] = max(inside[-1][2][0], up)
+        elif isinstance(c, _Node) and not c.gone:
+            c.place, place = place, place + 1
+            inside.append((c, iter(c.children), [0]))
+    return sorted(out, key=lambda x: x[:2])
+
+
 def extract_tables(html: str) -> list[str]:
     """Tables from the inside out, each without the ones taken before, styles, scripts, border, caption, spans of 1 and
     white space between tags; empty ones are left out."""
     root = tree(html)
-    root.drop({"style", "script"})
+    for node in root.find():
+        node.gone = node.tag in ("style", "script")
     out = []
-
-    def take(node: _Node) -> bool:
-        """Take all tables below node that hold no table; whether there was one."""
-        found, keep = False, []
-        for c in node.children:
-            if isinstance(c, _Node) and c.tag == "table" and not any(c.find("table")):
-                found = True
-                c.attrs.pop("border", None)
-                for parent in [c, *(n for t in ("thead", "tbody", "tr") for n in c.find(t))]:
-                    if any(isinstance(x, _Node) and x.tag == "caption" for x in parent.children):
-                        parent.children = [x for x in parent.children if not (isinstance(x, _Node) and x.tag == "caption")]
-                        break
-                for t in ("th", "td", "tr"):
-                    for cell in c.find(t):
-                        for a in ("rowspan", "colspan"):
-                            if cell.attrs.get(a) == "1":
-                                del cell.attrs[a]
-                text = re.sub(r">\s+<", "><", c.html())
-                if text.strip() != "<table></table>":
-                    out.append(text)
-                continue
-            if isinstance(c, _Node):
-                found |= take(c)
-            keep.append(c)
-        node.children = keep
-        return found
-
-    while take(root):
-        pass
+    for _, _, table in _heights(root):
+        table.attrs.pop("border", None)
+        for parent in [table, *(n for t in ("thead", "tbody", "tr") for n in table.find(t))]:
+            if captions := [x for x in parent.children if isinstance(x, _Node) and x.tag == "caption"]:
+                for x in captions:
+                    x.gone = True
+                break
+        for cell in table.find():
+            if cell.tag in ("th", "td", "tr"):
+                for a in ("rowspan", "colspan"):
+                    if cell.attrs.get(a) == "1":
+                        del cell.attrs[a]
+        text = re.sub(r">\s+<", "><", table.html())
+        if text.strip() != "<table></table>":
+            out.append(text)
+        table.gone = True
     return out
 
 
+# The bounds that HTML sets to spans.
+MOST = {"rowspan": 65534, "colspan": 1000}
+
+
+def _span(cell: _Node, name: str) -> int:
+    digits = re.match(r"\s*([0-9]{1,9})", cell.attrs.get(name) or "")
+    return min(max(int(digits[1]), 1), MOST[name]) if digits else 1
+
+
 def to_otsl(html: str) -> str | None:
     """The first table as OTSL: fcel and ecel for cells with and without text, lcel, ucel and xcel for what spans cover
-    to the left, above and both, nl for row ends."""
+    to the left, above and both, nl for row ends. A table inside a cell is that cell's text."""
     table = next(tree(html).find("table"), None)
     if table is None:
         return None
-    taken: dict[tuple[int, int], str] = {}
-    out, rows = [], list(table.find("tr"))
+    own = [x for x in table.children if isinstance(x, _Node)]
+    rows = [r for x in own for r in ([x] if x.tag == "tr" else x.children if x.tag in ("thead", "tbody", "tfoot") else []) if isinstance(r, _Node) and r.tag == "tr"]
+    above: dict[int, tuple[int, str]] = {}  # column -> (last row that a cell above covers, mark)
+    out = []
     for r, row in enumerate(rows):
-        c = 0
-        line = []
+        line, c = [], 0
 
-        def covered():
-            nonlocal c
-            while (r, c) in taken:
-                line.append(f"<{taken.pop((r, c))}>")
+        def covered(c: int) -> int:
+            while above.get(c, (-1, ""))[0] >= r:
+                line.append(f"<{above[c][1]}>")
                 c += 1
+            return c
 
         for cell in row.children:
             if not isinstance(cell, _Node) or cell.tag not in ("td", "th"):
                 continue
-            covered()
+            c = covered(c)
             text = re.sub(r"\s+", " ", cell.text()).strip()
-            span = [max(1, int(v)) if (v := cell.attrs.get(a) or "1").isdigit() else 1 for a in ("rowspan", "colspan")]
-            line.append(f"<fcel>{text}" if text else "<ecel>")
-            for i in range(span[0]):
-                for j in range(span[1]):
-                    if i or j:
-                        taken[r + i, c + j] = "xcel" if i and j else "ucel" if i else "lcel"
-            c += 1
-        covered()
+            wide, last = _span(cell, "colspan"), r + _span(cell, "rowspan") - 1
+            line.append((f"<fcel>{text}" if text else "<ecel>") + "<lcel>" * (wide - 1))
+            if last > r:
+                above.update({c + j: (last, "xcel" if j else "ucel") for j in range(wide)})
+            c += wide
+        covered(c)
         out.append("".join(line) + "<nl>")
     return "<otsl>" + "".join(out) + "</otsl>"
 
 
+def spread(df, least: int | None = None):
+    """df in as many partitions as there are cores, where small files would put slow work on whole texts into few tasks."""
+    n = least or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def tables_of(html: pd.Series) -> pd.Series:
     return html.map(lambda t: [] if t is None else extract_tables(t))

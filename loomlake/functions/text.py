@@ -7,9 +7,53 @@ from pyspark.sql import functions as F
 
 # Raw layout types and the three classes they are exported as.
 LAYOUT_TYPES = {
-    "plain_text": "text_plain text_plane title section_header list_item caption page_header page_footer abstract keywords footnote handwriting table_of_contents_entry text_inline_math formula music_sheet chemical_formula_content publishing_info signature stamp",
+    "text_plain": "plain_text",
+    "text_plane": "plain_text",
+    "title": "plain_text",
+    "section_header": "plain_text",
+    "list_item": "plain_text",
+    "caption": "plain_text",
+    "page_header": "plain_text",
+    "page_footer": "plain_text",
+    "abstract": "plain_text",
+    "keywords": "plain_text",
+    "footnote": "plain_text",
+    "handwriting": "plain_text",
+    "table_of_contents_entry": "plain_text",
+    "text_inline_math": "plain_text",
+    "formula": "plain_text",
+    "music_sheet": "plain_text",
+    "chemical_formula_content": "plain_text",
+    "publishing_info": "plain_text",
+    "signature": "plain_text",
+    "stamp": "plain_text",
     "table": "table",
-    "image": "figure picture flowchart chart chart_bar chart_pie chart_line chart_area chart_scatter chart_radar chart_mixed diagram diagram_functional_block diagram_flowchart diagram_characteristic_curve diagram_timing diagram_circuit diagram_3d_schematic diagram_appearance diagram_pin diagram_layout diagram_engineering_drawing diagram_data_structure diagram_sampling diagram_functional_register diagram_marking",
+    "figure": "image",
+    "picture": "image",
+    "flowchart": "image",
+    "chart": "image",
+    "chart_bar": "image",
+    "chart_pie": "image",
+    "chart_line": "image",
+    "chart_area": "image",
+    "chart_scatter": "image",
+    "chart_radar": "image",
+    "chart_mixed": "image",
+    "diagram": "image",
+    "diagram_functional_block": "image",
+    "diagram_flowchart": "image",
+    "diagram_characteristic_curve": "image",
+    "diagram_timing": "image",
+    "diagram_circuit": "image",
+    "diagram_3d_schematic": "image",
+    "diagram_appearance": "image",
+    "diagram_pin": "image",
+    "diagram_layout": "image",
+    "diagram_engineering_drawing": "image",
+    "diagram_data_structure": "image",
+    "diagram_sampling": "image",
+    "diagram_functional_register": "image",
+    "diagram_marking": "image",
 }
 
 # Prompts by task or class.
@@ -25,8 +69,20 @@ PROMPTS = {
     "image": "Read text in the image.",
 }
 
-# Class names of layout corpora.
-DOCUMENT_CLASSES = ["caption", "footnote", "formula", "list_item", "page_footer", "page_header", "picture", "section_header", "table", "text_plain", "title"]
+# Class names of a layout corpus and the raw types they stand for.
+DOCUMENT_CLASSES = {
+    "Caption": "caption",
+    "Footnote": "footnote",
+    "Formula": "formula",
+    "List-item": "list_item",
+    "Page-footer": "page_footer",
+    "Page-header": "page_header",
+    "Picture": "figure",
+    "Section-header": "section_header",
+    "Table": "table",
+    "Text": "text_plane",
+    "Title": "title",
+}
 
 
 def mapping(d: dict) -> Column:
@@ -35,7 +91,12 @@ def mapping(d: dict) -> Column:
 
 def layout_type(c: Column) -> Column:
     """The exported class of a raw type; an unknown type stays."""
-    return F.coalesce(mapping({raw: to for to, names in LAYOUT_TYPES.items() for raw in names.split()})[c], c)
+    return F.coalesce(mapping(LAYOUT_TYPES)[c], c)
+
+
+def document_class(c: Column) -> Column:
+    """The raw type of a class name; an unknown one is other."""
+    return F.coalesce(mapping(DOCUMENT_CLASSES)[c], F.lit("other"))
 
 
 def prompt(c: Column) -> Column:
@@ -111,10 +172,11 @@ def repair_range(text: Column) -> Column:
 def first_period(text: Column) -> Column:
     """If the text without spaces repeats a phrase, the phrase as it first stands; else the text."""
     bare = F.regexp_replace(text, r"\s+", "")
-    period = F.length(F.regexp_extract(bare, r"^(.+?)\1+$", 1))
-    chars = F.split(text, "")
-    cut = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), lambda a, c: F.when(a["n"] >= period, a).otherwise(F.struct((a["n"] + F.when(c.rlike(r"^\S"), 1).otherwise(0)).alias("n"), F.concat(a["s"], c).alias("s"))), lambda a: a["s"])
-    return F.when(period > 0, F.trim(cut)).otherwise(text)
+    # a text is a repetition of its first n characters if it stands again in its double, n behind its begin
+    period = F.call_function("locate", bare, F.concat(bare, bare), F.lit(2)) - 1
+    solid = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike(r"^\S"), i + 1).otherwise(0)), lambda i: i > 0)
+    cut = F.substring(text, F.lit(1), F.try_element_at(solid, F.greatest(period, F.lit(1))))
+    return F.when((period > 0) & (period < F.length(bare)), F.trim(cut)).otherwise(text)
 
 
 def is_iso_date(text: Column) -> Column:

@@ -24,8 +24,9 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str, value: str, default: s
 
 
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """The last row of each key, combined before the shuffle."""
+    whole = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order))
+    return df.groupBy(*keys).agg(whole.alias("_r")).select("_r.*")
 
 
 def match_labels(files: DataFrame, labels: DataFrame, key: str, label: str, order: str) -> tuple[DataFrame, DataFrame]:
@@ -130,6 +131,11 @@ def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
     return chosen.unionByName(rest)
 
 
+def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on several keys, the last row of other for each of them having been chosen before."""
+    return df.join(other, keys)
+
+
 def new_assets(incoming: DataFrame, stored: DataFrame, keys=("provider", "dataset", "hash")) -> DataFrame:
     """One row for each content that is not stored yet."""
     return incoming.where("hash is not null").dropDuplicates(list(keys)).join(stored.select(*keys).distinct(), list(keys), "left_anti")

@@ -11,8 +11,29 @@ def draw(key: str, seed: int = 42) -> Column:
     return F.sha2(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")), 256)
 
 
+def _first(df: DataFrame, n: int, key: str, seed: int) -> Column | None:
+    """A condition that the first n rows in order of draw, then key, meet; None if n is 0 or less.
+
+    Draws are counted by their first four hex digits; only the rows of the border bucket, one in 65,536, are ordered."""
+    if n <= 0:
+        return None
+    bucket = F.substring(draw(key, seed), 1, 4)
+    left, border = n, None
+    for r in sorted(df.groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).collect(), key=lambda r: r.b):
+        if left <= r.c:
+            border = r.b
+            break
+        left -= r.c
+    if border is None:
+        return F.lit(True)
+    last = df.where(bucket == border).select(draw(key, seed).alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(left).agg(F.max(F.struct("d", "k")).alias("m")).first().m
+    return (bucket < border) | (F.struct(draw(key, seed).alias("d"), F.col(key).alias("k")) <= F.struct(F.lit(last.d).alias("d"), F.lit(last.k).alias("k")))
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    return df.orderBy(draw(key, seed), key).limit(n)
+    """n rows. Keys are unique and not null."""
+    chosen = _first(df, n, key, seed)
+    return df.where(chosen if chosen is not None else F.lit(False))
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
@@ -20,18 +41,15 @@ def sample_fraction(df: DataFrame, fraction: float, key: str, seed: int = 42) ->
     return sample_n(df, int(df.count() * fraction), key, seed)
 
 
-def _bound(df: DataFrame, n: int, key: str, seed: int):
-    """The draw of the n-th row: a top-n, and not an order over all rows in one task."""
-    if n <= 0:
-        return None
-    return df.select(draw(key, seed).alias("d")).orderBy("d").limit(n).agg(F.max("d")).first()[0]
-
-
-def split(df: DataFrame, test: int | float, key: str, seed: int = 42) -> DataFrame:
-    """df with split train or test; test is a number of rows or a fraction (rounded up). Keys are unique."""
-    n = test if isinstance(test, int) else -int(-(df.count() * test) // 1)
-    bound = _bound(df, n, key, seed)
-    return df.withColumn("split", F.lit("train") if bound is None else F.when(draw(key, seed) <= bound, "test").otherwise("train"))
+def split(df: DataFrame, test: int | float, key: str, seed: int = 42, validation: int | float = 0) -> DataFrame:
+    """df with split train, test or validation; sizes are numbers of rows or fractions (rounded up), validation of what is
+    left without test. Keys are unique."""
+    size = lambda x, rows: x if isinstance(x, int) else -int(-(rows * x) // 1)
+    rows = df.count()
+    n = size(test, rows)
+    in_test, in_both = _first(df, n, key, seed), _first(df, n + size(validation, rows - n) if validation else 0, key, seed)
+    out = F.lit("train") if in_both is None else F.when(in_both, "validation").otherwise("train")
+    return df.withColumn("split", out if in_test is None else F.when(in_test, "test").otherwise(out))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

@@ -7,8 +7,21 @@ from pyspark.sql import functions as F
 
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each key (null orders come first), combined before the shuffle."""
+    whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(order))
+    return df.groupBy(*keys).agg(whole.alias("_r")).select("_r.*")
+
+
+def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """df with the place, from 0, of each row of a group. A group's order is made by ranges and their sizes, so that one
+    that holds most rows is not one task."""
+    tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(tasks, group, order).withColumn("_p", F.spark_partition_id())
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(group, "_p").agg(F.count("*").alias("_c")).select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)) - 1
+    rows = ranged.withColumn("_own", own)
+    return rows.join(sizes, rows[group].eqNullSafe(sizes["_g"]) & (rows["_p"] == sizes["_q"])).withColumn(name, F.col("_own") + F.col("_before")).drop("_p", "_own", "_g", "_q", "_before")
 
 
 def all_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,8 +65,7 @@ def line_order(words: DataFrame, page: str = "page") -> DataFrame:
 
 def batch_names(df: DataFrame, group: str, order: str, size: int = 1000) -> DataFrame:
     """Folder batch_NNNN of at most `size` files, and file_NNNNNN."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumns({"batch": F.format_string("batch_%04d", F.floor(F.col("_n") / size)), "file": F.format_string("file_%06d", "_n")}).drop("_n")
+    return numbered(df, group, order, "_n").withColumns({"batch": F.format_string("batch_%04d", F.floor(F.col("_n") / size)), "file": F.format_string("file_%06d", "_n")}).drop("_n")
 
 
 def fixed_groups(df: DataFrame, by: str, order: str, size: int) -> DataFrame:

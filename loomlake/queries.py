@@ -15,7 +15,7 @@ from loomlake.operators import sampling as S
 from loomlake.operators import search as SR
 from loomlake.operators import windows as W
 from loomlake.plans import schema as SC
-from loomlake.plans.testviews import BOXES_SQL, LINES_SQL, SPOTTER_SQL, SPOTTER_WHOLE_SQL, SQL, boxes, catalog, lines, read, spotter, spotter_whole
+from loomlake.plans.testviews import BOXES_SQL, LINES_SQL, SPOTTER_SQL, SQL, boxes, catalog, lines, read, spotter
 from loomlake.streaming.drain import windowed_counts
 
 QUERIES: dict = {}
@@ -89,9 +89,9 @@ def search_text_simple(spark, sf):
     return SR.search_text(catalog(spark, sf), "label", "the")
 
 
-@query(C + "select distinct hash, path, label from catalog where label like '%licensed%MIT_License%'")
+@query(C + '''select distinct hash, path, label from catalog where label like '%lang="_r"%nav%' ''')
 def search_text_wildcard(spark, sf):
-    return SR.search(catalog(spark, sf), {"column": "label", "text": "licensed%MIT_License"}, provider="web")
+    return SR.search(catalog(spark, sf), {"column": "label", "text": 'lang="_r"%nav'}, provider="web")
 
 
 def _json_hits(variant: str, text: str | None) -> str:
@@ -115,24 +115,6 @@ def search_variants_union(spark, sf):
     return SR.search_variants(spotter(spark, sf), "spot", ["word", "line"], "ing")
 
 
-# the same over documents of any length
-
-
-@query(f"with {SPOTTER_WHOLE_SQL} " + _json_hits("word", "the"))
-def search_json_array_text_whole(spark, sf):
-    return SR.search_json_text(spotter_whole(spark, sf), "spot", "$.word.text.content", "the")
-
-
-@query(f"with {SPOTTER_WHOLE_SQL} " + _json_hits("line", None) + " and dataset = 'src3'")
-def search_valid_content_whole(spark, sf):
-    return SR.search_content(spotter_whole(spark, sf), "spot", "$.line.text.content", {"dataset": "src3"})
-
-
-@query(f"with {SPOTTER_WHOLE_SQL} " + " union all ".join(f"({_json_hits(v, 'ing')})" for v in ("word", "line")))
-def search_variants_union_whole(spark, sf):
-    return SR.search_variants(spotter_whole(spark, sf), "spot", ["word", "line"], "ing")
-
-
 @query(C + "select row_id, cast(json_extract(meta, '$.k') as bigint) k from catalog where provider = 'log'")
 def json_value(spark, sf):
     return catalog(spark, sf).where("provider = 'log'").select("row_id", F.get_json_object("meta", "$.k").cast("long").alias("k"))
@@ -153,17 +135,17 @@ def latex_filter(spark, sf):
     return SR.without_backslash(catalog(spark, sf).where(SR.not_blank("label"))).select("row_id")
 
 
-_ASCII = "".join(map(chr, range(32, 127)))
+@query("select c_custkey, c_mktsegment from customer where regexp_matches(c_mktsegment, '^[ABDGILNUEHOST]*$')")
+def charset_filter(spark, sf):
+    return read(spark, sf, "customer").where(SR.in_charset(F.col("c_mktsegment"), "ABDGILNUEHOST")).select("c_custkey", "c_mktsegment")
 
 
-@query("select p_partkey, p_name from part where regexp_matches(p_name, '^[a-m ]*$')")
-def charset_filter(spark, sf):
-    return read(spark, sf, "part").where(SR.in_charset(F.col("p_name"), "abcdefghijklm ")).select("p_partkey", "p_name")
+_WORDS = "case c_custkey % 5 when 0 then ' None' when 1 then 'NULL ' when 2 then ' ' when 3 then null else c_mktsegment end"
 
 
-@query("select c_custkey, c_mktsegment from customer where lower(trim(c_mktsegment)) not in ('none', 'null', '')")
+@query(f"select c_custkey, word from (select c_custkey, {_WORDS} word from customer) where lower(trim(word)) not in ('none', 'null', '')")
 def null_word_filter(spark, sf):
-    return read(spark, sf, "customer").where(SR.not_null_word("c_mktsegment")).select("c_custkey", "c_mktsegment")
+    return read(spark, sf, "customer").select("c_custkey", F.expr(_WORDS).alias("word")).where(SR.not_null_word("word"))
 
 
 @query("select s_suppkey, {'a': s_name, 'n': s_nationkey}::json::varchar j from supplier")
@@ -285,13 +267,8 @@ def bbox_union(spark, sf):
     return A.bbox_union(boxes(spark, sf), "page")
 
 
-@query("select source, case when count(distinct lang) > 1 then 'multi' else max(lang) end lang from documents where n_chars < 60 group by source")
-def lang_multi_collapse(spark, sf):
-    return A.collapse_multi(read(spark, sf, "documents").where("n_chars < 60"), "source", "lang")
-
-
 @query("select source, case when count(distinct lang) > 1 then 'multi' else max(lang) end lang from documents group by source")
-def lang_multi_collapse_whole(spark, sf):
+def lang_multi_collapse(spark, sf):
     return A.collapse_multi(read(spark, sf, "documents"), "source", "lang")
 
 
@@ -308,15 +285,8 @@ def windowed_events(spark, sf):
 # --- joins
 
 
-@query("select n_nationkey, n_name, coalesce(c.n, 0) n_customers, c.first from nation left join (select c_nationkey, count(*) n, min(c_custkey) first from customer where c_custkey % 3 = 0 group by 1) c on n_nationkey = c_nationkey")
-def image_annotations_join(spark, sf):
-    ann = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("annotation_id"), "c_name")
-    out = JN.with_annotations(read(spark, sf, "nation"), ann, "n_nationkey")
-    return out.select("n_nationkey", "n_name", F.size("annotations").cast("long").alias("n_customers"), F.try_element_at("annotations", F.lit(1))["annotation_id"].alias("first"))
-
-
 @query("select n_nationkey, n_name, coalesce(c.n, 0) n_customers, c.first from nation left join (select c_nationkey, count(*) n, min(c_custkey) first from customer group by 1) c on n_nationkey = c_nationkey")
-def image_annotations_join_whole(spark, sf):
+def image_annotations_join(spark, sf):
     ann = read(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("annotation_id"), "c_name")
     out = JN.with_annotations(read(spark, sf, "nation"), ann, "n_nationkey")
     return out.select("n_nationkey", "n_name", F.size("annotations").cast("long").alias("n_customers"), F.try_element_at("annotations", F.lit(1))["annotation_id"].alias("first"))
@@ -334,9 +304,9 @@ def label_lookup_last(spark, sf):
     return JN.match_labels(read(spark, sf, "customer").select("c_custkey"), labels, "c_custkey", "p", "o_orderkey")[0]
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_totalprice > 200000)")
 def label_lookup_anti(spark, sf):
-    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = read(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return JN.difference(read(spark, sf, "customer").select("c_custkey"), orders, "c_custkey")
 
 
@@ -399,7 +369,13 @@ def levenshtein_cer(spark, sf):
     return read(spark, sf, "part").where("length(p_type) > 0").select("p_partkey", JN.cer(F.col("p_name"), F.col("p_type")).alias("cer"))
 
 
-@query()
+@query("""with recursive r as (select p_size g, p_partkey pos, p_name[2:] ref, row_number() over (partition by p_size order by p_partkey) k from part),
+s as (select r.g, r.k, r.pos, r.ref, t.p_partkey idx, t.p_name txt, row_number() over (partition by r.g, r.pos order by levenshtein(r.ref, t.p_name) / length(t.p_name), t.p_partkey) place from r join part t on r.g = t.p_size),
+l as (select g, k, any_value(pos) pos, any_value(ref) ref, list(idx order by place) ids, list(txt order by place) texts from s group by g, k),
+a as (select g, 0::bigint k, null::bigint pos, ''::varchar ref, ''::varchar txt, []::bigint[] used from (select distinct g from r)
+  union all select l.g, l.k, l.pos, l.ref, l.texts[list_position(l.ids, c.i)], list_append(a.used, c.i)
+  from a join l on l.g = a.g and l.k = a.k + 1, lateral (select list_filter(l.ids, lambda x: not list_contains(a.used, x))[1] i) c)
+select g, pos, ref, txt as text from a where k > 0""")
 def greedy_cer_assignment(spark, sf):
     p = read(spark, sf, "part").selectExpr("p_size as g", "p_partkey", "p_name")
     refs = p.selectExpr("g", "p_partkey as pos", "substring(p_name, 2) as ref")
@@ -452,25 +428,15 @@ def tag_count(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.tag_count(F.col("html")).cast("long").alias("tags"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then null else '<otsl><fcel>' || text[1:40] || '</otsl>' end otsl from documents")
-def extract_otsl(spark, sf):
-    wrapped = F.concat(F.lit("x <otsl><fcel>"), F.substring("text", 1, 40), F.lit("</otsl> tail <otsl>2</otsl>"))
-    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(wrapped)
-    return read(spark, sf, "documents").select("doc_id", X.extract_otsl(text).alias("otsl"))
-
-
-# whole texts
-
-
 @query("select doc_id, case when doc_id % 3 = 0 then null else '<otsl><fcel>' || text || '</otsl>' end otsl from documents")
-def extract_otsl_whole(spark, sf):
+def extract_otsl(spark, sf):
     wrapped = F.concat(F.lit("x <otsl><fcel>"), "text", F.lit("</otsl> tail <otsl>2</otsl>"))
     text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(wrapped)
     return read(spark, sf, "documents").select("doc_id", X.extract_otsl(text).alias("otsl"))
 
 
 @query(r"""select doc_id, replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), chr(39), '"') as text from documents""")
-def tidy_text_whole(spark, sf):
+def tidy_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.tidy(F.col("text")).alias("text"))
 
 
@@ -490,11 +456,6 @@ def first_integer(spark, sf):
     return read(spark, sf, "part").select("p_partkey", X.first_integer(F.col("p_brand")).alias("n"), X.first_integer(F.col("p_name")).alias("none"))
 
 
-@query(r"""select doc_id, replace(regexp_replace(regexp_replace(text[1:300], '\s+', ' ', 'g'), '^ | $', '', 'g'), chr(39), '"') as text from documents""")
-def tidy_text(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", X.tidy(F.substring("text", 1, 300)).alias("text"))
-
-
 @query("select c_custkey, c_name from customer")
 def repeated_phrase(spark, sf):
     thrice = F.concat_ws(" ", "c_name", "c_name", F.replace("c_name", F.lit("#"), F.lit("# ")))
@@ -580,14 +541,14 @@ _TABLE = "'<p>x</p> <table border=\"1\"><caption>c</caption> <tr><td rowspan=\"1
 @query("select o_orderkey, '<table><tr><td>' || o_orderkey || '</td></tr></table>' inner_table, '<table><tr><td>' || o_orderpriority || '</td><td></td></tr></table>' outer_table, 2 n from orders")
 def table_extract(spark, sf):
     html = F.expr(_TABLE.replace("|| o_orderkey ||", "|| cast(o_orderkey as string) ||"))
-    t = read(spark, sf, "orders").select("o_orderkey", H.tables_of(html).alias("t"))
+    t = H.spread(read(spark, sf, "orders")).select("o_orderkey", H.tables_of(html).alias("t"))
     return t.select("o_orderkey", F.col("t")[0].alias("inner_table"), F.col("t")[1].alias("outer_table"), F.size("t").alias("n"))
 
 
 @query("select o_orderkey, '<otsl><fcel>' || o_orderpriority || '<lcel><nl><ecel><fcel>' || o_orderstatus || '<nl></otsl>' otsl from orders")
 def html_to_otsl(spark, sf):
     html = F.expr("'<table><tr><th colspan=\"2\">' || o_orderpriority || '</th></tr><tr><td></td><td>' || o_orderstatus || '</td></tr></table>'")
-    return read(spark, sf, "orders").select("o_orderkey", H.otsl_of(html).alias("otsl"))
+    return H.spread(read(spark, sf, "orders")).select("o_orderkey", H.otsl_of(html).alias("otsl"))
 
 
 @query("select o_orderkey, '<table a><caption>' || o_orderpriority || '</caption><tr></tr></table>' html from orders")
@@ -617,3 +578,7 @@ def chat_messages(spark, sf):
 def schema_validation(spark, sf):
     df = read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", "en").alias("lang"), F.when(F.col("c_nationkey") % 2 == 0, "fake").otherwise("real").alias("src"))
     return SC.check_rows(df, SC.DEFAULT["tasks"]["ocr"]).select("c_custkey", "error")
+
+
+import loomlake.queries_lake  # noqa: E402,F401 - they register theirs
+import loomlake.queries_rows  # noqa: E402,F401

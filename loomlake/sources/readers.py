@@ -62,21 +62,29 @@ def scan_catalog(spark: SparkSession, root: str, filename: bool = False) -> Data
     files = _files(spark, root)
     if not files:
         raise FileNotFoundError(f"no Parquet files under {root}")
-    by_schema: dict[str, list[str]] = defaultdict(list)
-    for directory in sorted({os.path.dirname(f) for f in files}):
-        for f in [x for x in files if os.path.dirname(x) == directory]:
+    read = spark.read.option("basePath", root)
+    try:  # one scan, footers read in parallel, if no column has two types
+        merged = read.option("mergeSchema", True).parquet(*sorted({f"{root.rstrip('/')}/{os.path.relpath(d, _plain(files[0], root))}" for d in map(os.path.dirname, files)}))
+        frames = [merged]
+    except Exception:  # types that differ: files of one schema are one scan
+        by_schema: dict[str, list[str]] = defaultdict(list)
+        for f in files:
             by_schema[spark.read.parquet(f).schema.json()].append(f)
-    frames = []
-    for group in by_schema.values():
-        df = spark.read.option("basePath", root).parquet(*group)
-        frames.append(df.withColumn("filename", F.col("_metadata.file_path")) if filename else df)
-    df = union_by_name(frames)
+        frames = [read.parquet(*group) for group in by_schema.values()]
+    df = union_by_name([x.withColumn("filename", F.col("_metadata.file_path")) if filename else x for x in frames])
     return df.select(*[c for c in df.columns if c not in PARTITION_KEYS], *[k for k in PARTITION_KEYS if k in df.columns])
 
 
+def _plain(file: str, root: str) -> str:
+    """root as the file system names it in its listing."""
+    path = root.split(":", 1)[-1].rstrip("/") if "://" in root else root.rstrip("/")
+    path = "/" + path.lstrip("/")
+    return file[: file.index(path) + len(path)]
+
+
 def scan_glob(spark: SparkSession, root: str) -> DataFrame:
-    """All Parquet files below root, partition directories not read as columns."""
-    return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(root)
+    """All Parquet files below root as one table, partition directories read as columns."""
+    return scan_catalog(spark, root)
 
 
 def read_json_documents(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -118,17 +126,48 @@ def read_splits(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return union_by_name(frames)
 
 
-def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """One Arrow IPC file (a small driver-side source)."""
+def _ipc(content: bytes):
     import pyarrow as pa
 
-    with pa.memory_map(path) as f:
-        try:
-            t = pa.ipc.open_file(f).read_all()
-        except pa.ArrowInvalid:
-            f.seek(0)
-            t = pa.ipc.open_stream(f).read_all()
-        return spark.createDataFrame(t)
+    try:
+        return pa.ipc.open_file(content).read_all()
+    except pa.ArrowInvalid:
+        return pa.ipc.open_stream(content).read_all()
+
+
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow IPC files, one or a folder of them (a dataset folder), read by the executors. All have the first one's schema."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+    first = files.limit(1).collect()
+    if not first:
+        raise FileNotFoundError(f"no Arrow file: {path}")
+    schema = spark.createDataFrame(_ipc(bytes(first[0].content)).slice(0, 1)).schema
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                yield from _ipc(content.as_buffer().to_pybytes()).to_batches()
+
+    return files.mapInArrow(run, schema)
+
+
+def extract_zips(folder: str, to: str, name_part: str = "") -> list[str]:
+    """Archives below a folder whose name holds name_part, each into its own folder. A step on the driver, for local disks.
+    Members that would lie outside are an error."""
+    import zipfile
+
+    out = []
+    for archive in sorted(Path(folder).resolve().rglob("*.zip")):
+        if name_part not in archive.stem:
+            continue
+        target = (Path(to) / archive.stem).resolve()
+        target.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(archive) as z:
+            if bad := [n for n in z.namelist() if not (target / n).resolve().is_relative_to(target)]:
+                raise ValueError(f"{archive.name} leaves its folder: {bad[0]}")
+            z.extractall(target)
+        out.append(str(target))
+    return out
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

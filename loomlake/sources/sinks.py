@@ -78,3 +78,9 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_report(spark, path: str, summary: dict, missing: list[str], now: str) -> None:
+    """A validation report: time, summary and the missing files that are listed."""
+    names = ("total_items", "checked_items", "missing_count", "integrity_rate")
+    write_json(spark, path, {"timestamp": now, "summary": {k: summary.get(k, 0) for k in names}, "missing_files": missing})
