@@ -46,3 +46,57 @@ def test_repeats_and_empty(spark):
     got = sorted([(r.doc_id, r.n_base, r.n_words) for r in S.scan(df).collect()], key=str)
     assert got == [(1, 0, 1), (1, 1, 2), (1, 1, 2), (None, 0, 0)]
     assert S.scan(df.limit(0)).count() == 0
+
+
+def test_licence_texts_whole_edited_and_in_part(spark):
+    """All whole texts are found in prose, also with a word in fifty changed or left out; a half shows in the score alone."""
+    from loomlake.llm.license_texts import TEMPLATES
+
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choices("the of software and river stone is provided without any light".split(), k=n))
+    long = [(t, label) for t, label in TEMPLATES.items() if len(t.split()) > 40]
+    rows, want = [], {}
+    for i, (t, label) in enumerate(long):
+        w = t.split()
+        edited = [x if j % 50 else r.choice(["", "stone light"]) for j, x in enumerate(w)]
+        for kind, body in (("whole", t.upper()), ("edited", " ".join(edited)), ("half", " ".join(w[: len(w) // 2]))):
+            rows.append((len(rows), f"{prose(30)} {body} {prose(200)}"))
+            want[len(rows) - 1] = (kind, label)
+    rows.append((len(rows), prose(20_000)))
+    got = {x.doc_id: x for x in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, label) in want.items():
+        labels = set(got[i].labels.split(","))
+        if kind == "half" and label in ("apache-2.0", "gpl-3.0"):  # the first half holds a notice
+            assert got[i].score > 0.35
+        elif kind == "half":
+            assert label not in labels and 0.35 < got[i].score < 0.75
+        else:
+            assert label in labels and got[i].score > (0.99 if kind == "whole" else 0.75)
+    assert got[len(rows) - 1].labels == "" and got[len(rows) - 1].score < 0.2
+
+
+def test_alignment_by_brute_force(spark):
+    """Shares of a template's words by plain loops over all places of its grams."""
+    r = random.Random(9)
+    template = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi"
+    rows = [(i, " ".join(r.choices(template.split() + ["zz"], k=8) + template.split()[r.randrange(8) :][: r.randrange(16)] + ["zz"] * r.randrange(3) + template.split()[r.randrange(8) :])) for i in range(60)]
+    own = template.split()
+    got = {(x.doc_id, x.start, round(x.share, 9)) for x in S.scan_spans(spark.createDataFrame(rows, "doc_id long, text string"), base={}, templates={template: "t"}).where("template is not null").collect()}
+    want = set()
+    for i, text in rows:
+        w = text.split()
+        places = {}
+        for p in range(len(w) - 3):
+            for q in range(len(own) - 3):
+                if w[p : p + 4] == own[q : q + 4]:
+                    places.setdefault(p - q, set()).add(q)
+        spans = []
+        for d in sorted(places):
+            if spans and d - spans[-1][-1] <= S.GAP:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for s in spans:
+            covered = {q + j for d in s for q in places[d] for j in range(4)}
+            want.add((i, max(s[0], 0), round(len(covered) / len(own), 9)))
+    assert got == want and want
