@@ -25,6 +25,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,10 @@ class Encoder:
                     nodes[t[:i]] = len(nodes)
                     self.child[up << 8 | t[i - 1]] = nodes[t[:i]]
                     self.open.add(up)
-        self.token_at = {nodes[b]: i for i, b in self.bytes_of.items() if self.bpe(b) == [i]}
+        self.token_at: list[int | None] = [None] * len(nodes)
+        for i, b in self.bytes_of.items():
+            if self.bpe(b) == [i]:
+                self.token_at[nodes[b]] = i
         self.neighbours: dict[int, bool] = {}
         self.max_states = max_states
         self.forget()
@@ -251,39 +255,60 @@ class Encoder:
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _compile(self, key: int) -> None:
-        """Add the transition of a state and a byte."""
-        live, found = [], None
-        for node, last, count in _STATE.iter_unpack(self.states[key >> 8]):
-            node = self.child.get(node << 8 | key & 255)
-            if node is None:
-                continue
-            token = self.token_at.get(node)
-            if token is not None and (last < 0 or self.may_follow(last, token)):
-                found = (token, count + 1)
-            if node in self.open:
-                live.append((node, last, count))
-        token, change = found
-        state = b"".join(_STATE.pack(n, a, c - change) for n, a, c in sorted(live)) + _STATE.pack(0, token, 0)
-        to = self.index.get(state)
-        if to is None:
-            to = self.index[state] = len(self.states)
-            self.states.append(state)
-        self._put(key, to, change, token)
-
-    def _put(self, key: int, to: int, change: int, token: int) -> None:
+    def _compile(self, keys: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """(state after, tokens more, token that ends) of the transitions of states and bytes.
+
+        The entries of a state stand by depth, as each begins behind the one before it: equal sets are equal bytes."""
+        child, token_at, open_, neighbours, states, index = self.child.get, self.token_at, self.open, self.neighbours.get, self.states, self.index
+        after, changes, tokens = [], [], []
+        for key in keys:
+            live, byte = [], key & 255
+            for node, last, count in _STATE.iter_unpack(states[key >> 8]):
+                node = child(node << 8 | byte)
+                if node is None:
+                    continue
+                ends = token_at[node]
+                if ends is not None:
+                    follows = last < 0 or neighbours(last << 20 | ends)
+                    if follows is None:
+                        follows = self.may_follow(last, ends)
+                    if follows:
+                        token, change = ends, count + 1
+                if node in open_:
+                    live.append((node, last, count))
+            flat = []
+            for node, last, count in live:
+                flat += (node, last, count - change)
+            flat += (0, token, 0)
+            state = array("i", flat).tobytes()
+            to = index.get(state)
+            if to is None:
+                to = index[state] = len(states)
+                states.append(state)
+            after.append(to)
+            changes.append(change)
+            tokens.append(token)
+        return after, changes, tokens
+
+    def _add(self, keys: np.ndarray, *values) -> None:
+        """Put new transitions into the table, which is kept half empty."""
+        rows = [keys, *(np.array(v, np.int32) for v in values)]
+        self.used += len(keys)
         if 2 * self.used > len(self.keys):
-            old = [x[self.keys >= 0] for x in (self.keys, self.to, self.delta, self.token)]
-            self.bits += 1
+            held = self.keys >= 0
+            rows = [np.concatenate([x[held], more]) for x, more in zip((self.keys, self.to, self.delta, self.token), rows)]
+            while 2 * self.used > 1 << self.bits:
+                self.bits += 1
             self._room()
-            for row in zip(*(x.tolist() for x in old)):
-                self._put(*row)
-        mask = len(self.keys) - 1
-        at = ((key * 0x9E3779B97F4A7C15) & (1 << 64) - 1) >> (64 - self.bits)
-        while self.keys[at] >= 0:
-            at = (at + 1) & mask
-        self.keys[at], self.to[at], self.delta[at], self.token[at] = key, to, change, token
-        self.used += 1
+            self.used = len(rows[0])
+        keys, *values = rows
+        at, left, mask = self._slots(keys), np.arange(len(keys)), len(self.keys) - 1
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & mask
+        self.to[at], self.delta[at], self.token[at] = values
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The table slots of transitions, compiled where they are not yet known."""
@@ -300,8 +325,7 @@ class Encoder:
                 open_ = open_[self.keys[at[open_]] != keys[open_]]
             if not missing or not (new := np.unique(keys[np.concatenate(missing)])).size:
                 return at
-            for k in new.tolist():
-                self._compile(k)
+            self._add(new, *self._compile(new.tolist()))
 
     def _walk(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, last=None, place=None) -> tuple[np.ndarray, np.ndarray]:
         """(state, tokens) after each byte span from its state; spans are lanes run in step, longest first. With ``last``:
