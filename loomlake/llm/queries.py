@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm import chat_grammar, improbable, language_id, license_scan, matroska, mixing, ngram_join, packing, pseudo_likelihood, token_fst
+from loomlake.llm import chat_grammar, chat_repair, collocations, improbable, language_id, license_scan, matroska, mixing, ngram_join, packing, pseudo_likelihood, token_files, token_fst
 from loomlake.llm.common import table
 
 
@@ -63,7 +63,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_grammar.digests(rows.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_media, op4_licenses, op5_fingerprints, op6_language, op7_tokens, op8_packing, op9_jaccard, op10_chat)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return chat_repair.digests(chat_repair.damage(rows), rows)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.read(token_files.write(table(spark, sf_dir, "documents"), vocabulary()))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_lm_scoring, op3_media, op4_licenses, op5_fingerprints, op6_language, op7_tokens, op8_packing, op9_jaccard, op10_chat, op11_repair, op12_collocations, op13_token_files)}
 
 _CHAT_SQL = rf"""
 with c as (
@@ -91,4 +105,4 @@ r as (select doc_id a, doc_id c from n union select l.b, r.c from r join l on l.
 select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(k.c, w.doc_id)::bigint component_id
 from w left join n on n.doc_id = w.doc_id left join (select a, min(c) c from r group by a) k on k.a = w.doc_id"""
 
-ORACLE_SQL = {"op4_licenses": license_scan.oracle_sql(), "op9_jaccard": _JACCARD_SQL, "op10_chat": _CHAT_SQL}
+ORACLE_SQL = {"op4_licenses": license_scan.oracle_sql(), "op9_jaccard": _JACCARD_SQL, "op10_chat": _CHAT_SQL, "op11_repair": chat_repair.oracle_sql(), "op12_collocations": collocations.oracle_sql()}
