@@ -1,6 +1,6 @@
 """Relational cores of label building: lookups, interval and spatial matches, link graphs, greedy assignment.
 
-Theta joins carry an equality on document or page, so they are hash joins with a residual condition.
+Overlap joins go by the cells of a grid, so a document or page of any size is an equi-join with a residual condition.
 """
 
 from __future__ import annotations
@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.operators.grid import overlap_join
+from loomlake.operators.windows import numbered
+
 
 def with_annotations(images: DataFrame, annotations: DataFrame, id_col: str = "image_id", order: str = "annotation_id") -> DataFrame:
     """Each image with the list of its annotations in order, empty if it has none."""
@@ -36,16 +39,17 @@ def match_labels(files: DataFrame, labels: DataFrame, key: str, label: str, orde
 
 
 def zip_rows(left: DataFrame, right: DataFrame, by: list[str], left_order: str, right_order: str) -> DataFrame:
-    """Rows of both sides paired by position within a group; the shorter side ends it."""
-    n = lambda df, o: df.withColumn("_pos", F.row_number().over(Window.partitionBy(*by).orderBy(o)))
-    return n(left, left_order).join(n(right, right_order), [*by, "_pos"]).drop("_pos")
+    """Rows of both sides paired by position within a group; the shorter side ends it. The position is part of the join
+    key, so a large group is spread."""
+    return numbered(left, by, left_order, "_pos").join(numbered(right, by, right_order, "_pos"), [*by, "_pos"]).drop("_pos")
 
 
 def span_boxes(spans: DataFrame, tokens: DataFrame, doc: str = "doc_id") -> DataFrame:
     """spans (doc, span_id, start, end) x tokens (doc, t_start, t_end, x1, y1, x2, y2): the union of the boxes of the
     tokens that overlap a span. Boxes with -1 or inverted are skipped; none left is zeros."""
     good = tokens.where("least(x1, y1, x2, y2) <> -1 and x1 <= x2 and y1 <= y2")
-    hit = spans.join(good, doc).where("greatest(start, t_start) < least(end, t_end)")
+    meet = F.greatest("start", "t_start") < F.least("end", "t_end")
+    hit = overlap_join(spans.select(doc, "span_id", "start", "end"), good, [doc], [("start", "end")], [("t_start", "t_end")], meet)
     boxes = hit.groupBy(doc, "span_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     return spans.join(boxes, [doc, "span_id"], "left").na.fill(0, ["x1", "y1", "x2", "y2"])
 
@@ -55,8 +59,15 @@ def first_container(words: DataFrame, shapes: DataFrame, least: float = 0.85, pa
     a word's area, null if none does."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     inter = F.greatest(F.lit(0), F.least("x2", "s_x2") - F.greatest("x1", "s_x1")) * F.greatest(F.lit(0), F.least("y2", "s_y2") - F.greatest("y1", "s_y1"))
-    hit = words.join(shapes, page).where((area > 0) & (inter > least * area)).groupBy(page, "word_id").agg(F.min("shape_id").alias("shape_id"))
-    return words.join(hit, [page, "word_id"], "left")
+    own = words.select(page, "word_id", "x1", "y1", "x2", "y2").where(area > 0)
+    if least >= 0.5:  # such a shape holds the word's middle, which is in one cell
+        own = own.withColumns({"_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2})
+        axes = [("_mx", "_mx"), ("_my", "_my")]
+    else:
+        axes = [("x1", "x2"), ("y1", "y2")]
+    hit = overlap_join(own, shapes.select(page, "shape_id", "s_x1", "s_y1", "s_x2", "s_y2"), [page], axes, [("s_x1", "s_x2"), ("s_y1", "s_y2")], inter > least * area)
+    first = hit.groupBy(page, "word_id").agg(F.min("shape_id").alias("shape_id"))
+    return words.join(first, [page, "word_id"], "left")
 
 
 def y_overlaps(a1: Column, a2: Column, b1: Column, b2: Column, least: float = 0.2) -> Column:
@@ -68,7 +79,8 @@ def y_overlaps(a1: Column, a2: Column, b1: Column, b2: Column, least: float = 0.
 def with_neighbour(boxes: DataFrame, page: str = "page", box: str = "box_id") -> DataFrame:
     """boxes with has_neighbour: another box of the page shares enough of its height."""
     other = boxes.select(page, F.col(box).alias("_b"), F.col("y1").alias("_y1"), F.col("y2").alias("_y2"))
-    near = boxes.join(other, page).where((F.col(box) != F.col("_b")) & y_overlaps(F.col("y1"), F.col("y2"), F.col("_y1"), F.col("_y2"))).select(page, box).distinct()
+    meet = (F.col(box) != F.col("_b")) & y_overlaps(F.col("y1"), F.col("y2"), F.col("_y1"), F.col("_y2"))
+    near = overlap_join(boxes.select(page, box, "y1", "y2"), other, [page], [("y1", "y2")], [("_y1", "_y2")], meet, "left_semi").select(page, box).distinct()
     return boxes.join(near.withColumn("has_neighbour", F.lit(True)), [page, box], "left").na.fill(False, ["has_neighbour"])
 
 

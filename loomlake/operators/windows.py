@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.sources.scratch import written
+
 
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key (null orders come first), combined before the shuffle."""
@@ -12,21 +14,33 @@ def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(whole.alias("_r")).select("_r.*")
 
 
-def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """df with the place, from 0, of each row of a group. A group's order is made by ranges and their sizes, so that one
-    that holds most rows is not one task."""
-    tasks = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(tasks, group, order).withColumn("_p", F.spark_partition_id())
-    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(group, "_p").agg(F.count("*").alias("_c")).select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)) - 1
-    rows = ranged.withColumn("_own", own)
-    return rows.join(sizes, rows[group].eqNullSafe(sizes["_g"]) & (rows["_p"] == sizes["_q"])).withColumn(name, F.col("_own") + F.col("_before")).drop("_p", "_own", "_g", "_q", "_before")
+def _columns(names: str | Column | list) -> list[Column]:
+    return [F.col(f"`{c}`") if isinstance(c, str) else c for c in (names if isinstance(names, list) else [names])]
+
+
+def numbered(df: DataFrame, group: str | list[str], order: str | Column | list, name: str) -> DataFrame:
+    """df with the place, from 0, of each row of a group; rows that tie in order have places as they come.
+
+    Rows are ordered once, by ranges of (group, order), so a group that holds most rows is many tasks, and written with
+    their range and place in it. All that follows reads that table, so a task that runs again, a projection or what df does
+    before cannot give other places. The join on (group, range) adds what the ranges before hold of a group; it is as
+    large as there are groups and ranges, and Spark broadcasts it if it measures it to be small."""
+    by = _columns(group)
+    keys = by + _columns(order)
+    placed = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    ids = [f"_g{i}" for i in range(len(by))]
+    sizes = placed.groupBy(*[c.alias(i) for c, i in zip(by, ids)], F.shiftright("_at", 33).alias("_q")).agg(F.count("*").alias("_c"), F.min("_at").alias("_first"))
+    before = F.sum("_c").over(Window.partitionBy(*ids).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_c")
+    same = [c.eqNullSafe(F.col(i)) for c, i in zip(by, ids)] + [F.col("_p") == F.col("_q")]
+    joined = placed.withColumn("_p", F.shiftright("_at", 33)).join(sizes, same)
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_p", "_q", "_first", "_before", *ids)
 
 
 def all_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row whose key occurs more than once."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where("_n > 1").drop("_n")
+    """Every row whose key occurs more than once. Keys are counted before they are shuffled."""
+    counts = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where("_n > 1")
+    return df.join(counts, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi")
 
 
 def distinct_assets(df: DataFrame) -> DataFrame:
@@ -70,9 +84,9 @@ def batch_names(df: DataFrame, group: str, order: str, size: int = 1000) -> Data
 
 def fixed_groups(df: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Groups of exactly `size` rows; what is left over is dropped."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    out = df.withColumn("grp", F.floor(n / size))
-    return out.withColumn("_c", F.count("*").over(Window.partitionBy(by, "grp"))).where(F.col("_c") == size).drop("_c")
+    counts = df.groupBy(F.col(by).alias("_b")).agg(F.count("*").alias("_c"))
+    out = numbered(df, by, order, "_n").withColumn("grp", F.floor(F.col("_n") / size))
+    return out.join(counts, F.col(by).eqNullSafe(F.col("_b"))).where((F.col("grp") + 1) * size <= F.col("_c")).drop("_n", "_b", "_c")
 
 
 def next_version(df: DataFrame, version: str = "version", prefix: str = "v") -> DataFrame:

@@ -203,9 +203,9 @@ def line_order(spark, sf):
     return W.line_order(boxes(spark, sf).withColumnRenamed("box_id", "word_id")).select("page", F.col("word_id").alias("box_id"), "line", "place")
 
 
-@query("select event_type, event_id, format('batch_{:04d}', n // 1000) batch, format('file_{:06d}', n) file from (select *, row_number() over (partition by event_type order by event_id) - 1 n from events)")
+@query("select * exclude (n), format('batch_{:04d}', n // 1000) batch, format('file_{:06d}', n) file from (select *, row_number() over (partition by event_type order by event_id) - 1 n from events)")
 def batch_folder(spark, sf):
-    return W.batch_names(read(spark, sf, "events"), "event_type", "event_id").select("event_type", "event_id", "batch", "file")
+    return W.batch_names(read(spark, sf, "events"), "event_type", "event_id")
 
 
 @query("select s_nationkey, s_suppkey, grp from (select *, count(*) over (partition by s_nationkey, grp) c from (select *, (row_number() over (partition by s_nationkey order by s_suppkey) - 1) // 3 grp from supplier)) where c = 3")
@@ -221,10 +221,8 @@ def next_version(spark, sf):
 
 @query("select s_name, row_number() over (order by regexp_extract(s_name, '^([^0-9]*)', 1), cast(regexp_extract(s_name, '([0-9]+)', 1) as bigint), s_name) place from supplier")
 def natural_sort(spark, sf):
-    from pyspark.sql import Window
-
-    df = read(spark, sf, "supplier").select("s_name", F.regexp_extract("s_name", "^([^0-9]*)", 1).alias("head"))
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy(*S.natural_key("s_name")))).drop("head")
+    df = read(spark, sf, "supplier").select("s_name", F.lit(0).alias("all"))
+    return W.numbered(df, "all", S.natural_key("s_name"), "place").select("s_name", (F.col("place") + 1).alias("place"))
 
 
 # --- aggregations

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +12,13 @@ from loomlake.plans.testviews import SQL, catalog, read
 from loomlake.queries import query
 from loomlake.sources import readers as R
 from loomlake.sources import sinks as K
+from loomlake.sources.footers import Catalog
+from loomlake.sources.scratch import folder as scratch
 
 C = f"with {SQL} "
 KEYS = "provider, dataset, task, variant"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one in a session of one JVM."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/loomlake-checkpoints"
-    return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, sf: str) -> str:
     """The catalogue view written as a catalogue: a folder for each partition, columns without a value left out."""
     root = scratch(spark)
@@ -52,6 +40,12 @@ def catalog_scan_search(spark, sf):
     return SR.search_partitions(R.scan_catalog(spark, stored(spark, sf)), provider="docs", variant=["de"])
 
 
+@query(C + f"select {KEYS}, row_id, meta, value, hash, path from catalog where provider = 'log'")
+def search_footers_events(spark, sf):
+    """The search whose null columns are known from footers."""
+    return Catalog(spark, stored(spark, sf), R.PARTITION_KEYS).search(provider="log")
+
+
 @query(C + "select row_id, 'provider=' || provider || '/dataset=' || dataset folder from catalog where provider <> 'docs'")
 def catalog_scan_filename(spark, sf):
     d = R.scan_catalog(spark, stored(spark, sf), filename=True).where("provider <> 'docs'")

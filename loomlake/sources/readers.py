@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections import defaultdict
 from functools import reduce
 from pathlib import Path
@@ -14,21 +13,6 @@ from pyspark.sql import types as T
 PARTITION_KEYS = ("provider", "dataset", "task", "variant")
 
 
-def _files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list[str]:
-    """Data files under root, in any file system Hadoop reads."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out, it = [], fs.listFiles(path, True)
-    while it.hasNext():
-        f = it.next().getPath()
-        if f.getName().endswith(suffix) and not f.getName().startswith(("_", ".")):
-            out.append(f.toString())
-    return sorted(out)
-
-
 def _common_type(types: list[T.DataType]) -> T.DataType:
     """The type that holds all of them: numbers widen to double, anything else differing becomes a string."""
     if len(set(types)) == 1:
@@ -56,30 +40,11 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def scan_catalog(spark: SparkSession, root: str, filename: bool = False) -> DataFrame:
-    """Hive-partitioned Parquet, union by name. Files of one schema are one scan, so directories are pruned by filters
-    on the partition keys and columns by projections. Partition values are always strings."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    files = _files(spark, root)
-    if not files:
-        raise FileNotFoundError(f"no Parquet files under {root}")
-    read = spark.read.option("basePath", root)
-    try:  # one scan, footers read in parallel, if no column has two types
-        merged = read.option("mergeSchema", True).parquet(*sorted({f"{root.rstrip('/')}/{os.path.relpath(d, _plain(files[0], root))}" for d in map(os.path.dirname, files)}))
-        frames = [merged]
-    except Exception:  # types that differ: files of one schema are one scan
-        by_schema: dict[str, list[str]] = defaultdict(list)
-        for f in files:
-            by_schema[spark.read.parquet(f).schema.json()].append(f)
-        frames = [read.parquet(*group) for group in by_schema.values()]
-    df = union_by_name([x.withColumn("filename", F.col("_metadata.file_path")) if filename else x for x in frames])
-    return df.select(*[c for c in df.columns if c not in PARTITION_KEYS], *[k for k in PARTITION_KEYS if k in df.columns])
-
-
-def _plain(file: str, root: str) -> str:
-    """root as the file system names it in its listing."""
-    path = root.split(":", 1)[-1].rstrip("/") if "://" in root else root.rstrip("/")
-    path = "/" + path.lstrip("/")
-    return file[: file.index(path) + len(path)]
+    """Hive-partitioned Parquet, union by name. Files whose columns the reader can widen to one type are one scan, so
+    directories are pruned by filters on the partition keys and columns by projections. Partition values are strings."""
+    from loomlake.sources.footers import Catalog
+
+    return Catalog(spark, root, PARTITION_KEYS, filename).frame
 
 
 def scan_glob(spark: SparkSession, root: str) -> DataFrame:
