@@ -16,31 +16,38 @@ VALUE, BBOX = "<|value|>", "<|bbox|>"
 _BOXES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("bbox", T.ArrayType(T.DoubleType()))]))
 
 
-def _walk(obj, on_dict=None, on_list=None):
-    if isinstance(obj, dict):
-        out = {k: _walk(v, on_dict, on_list) for k, v in obj.items()}
-        return on_dict(out) if on_dict else out
-    if isinstance(obj, list):
-        out = [_walk(v, on_dict, on_list) for v in obj]
-        return on_list(out) if on_list else out
-    return obj
+def fold(obj, leaf: Callable = lambda x: x, on_dict: Callable = lambda old, new: new, on_list: Callable = lambda old, new: new):
+    """A tree rewritten from its leaves up, by a stack of its own, so at any depth. on_dict and on_list get a node as it was
+    and with its members rewritten."""
+    todo, done = [(obj, False)], []
+    while todo:
+        x, ready = todo.pop()
+        if not isinstance(x, (dict, list)):
+            done.append(leaf(x))
+        elif not ready:
+            todo.append((x, True))
+            todo.extend((v, False) for v in (reversed(x.values()) if isinstance(x, dict) else reversed(x)))
+        else:
+            new = done[len(done) - len(x) :]
+            del done[len(done) - len(x) :]
+            done.append(on_dict(x, dict(zip(x, new))) if isinstance(x, dict) else on_list(x, new))
+    return done[0]
 
 
 def remove_none(obj):
     """Null values of objects go; null members of lists stay."""
-    return _walk(obj, on_dict=lambda d: {k: v for k, v in d.items() if v is not None})
+    return fold(obj, on_dict=lambda _, d: {k: v for k, v in d.items() if v is not None})
 
 
 def truncate_lists(obj):
     """Lists keep their first member."""
-    return _walk(obj, on_list=lambda x: x[:1])
+    return fold(obj, on_list=lambda _, x: x[:1])
 
 
-def blank(obj, value_key: str = VALUE, bbox_key: str = BBOX):
-    """Values are empty strings, boxes empty lists."""
-    if isinstance(obj, dict):
-        return {k: "" if k == value_key else [] if k == bbox_key else blank(v, value_key, bbox_key) for k, v in obj.items()}
-    return [blank(x, value_key, bbox_key) for x in obj] if isinstance(obj, list) else obj
+def blank(obj, empty: dict | None = None):
+    """Members of the keys of ``empty``, by default values and boxes, become what it says."""
+    empty = {VALUE: "", BBOX: []} if empty is None else empty
+    return fold(obj, on_dict=lambda _, d: d | {k: v for k, v in empty.items() if k in d})
 
 
 def target_schema(obj):
@@ -49,44 +56,135 @@ def target_schema(obj):
 
 def wrap_values(obj):
     """Leaves become objects of a value and an empty box."""
-    if isinstance(obj, dict):
-        return {k: wrap_values(v) for k, v in obj.items()}
-    return [wrap_values(x) for x in obj] if isinstance(obj, list) else {VALUE: obj, BBOX: ""}
+    return fold(obj, leaf=lambda x: {VALUE: x, BBOX: ""})
 
 
 def remove_key(obj, key: str = BBOX):
-    return _walk(obj, on_dict=lambda d: {k: v for k, v in d.items() if k != key})
+    return fold(obj, on_dict=lambda _, d: {k: v for k, v in d.items() if k != key})
 
 
 def rename_key(obj, old: str = "nm", new: str = "name"):
-    return _walk(obj, on_dict=lambda d: {new if k == old else k: v for k, v in d.items()})
+    return fold(obj, on_dict=lambda _, d: {new if k == old else k: v for k, v in d.items()})
 
 
 def wrap_objects(obj, key: str):
     """An object under the key becomes a list of that object."""
-    return _walk(obj, on_dict=lambda d: {k: [v] if k == key and isinstance(v, dict) else v for k, v in d.items()})
+    return fold(obj, on_dict=lambda _, d: {k: [v] if k == key and isinstance(v, dict) else v for k, v in d.items()})
+
+
+def _typed(old, new):
+    out = dict(new)
+    if VALUE in old:
+        out[VALUE] = type(old[VALUE]).__name__
+    if isinstance(old.get(BBOX), list):
+        out[BBOX] = [type(old[BBOX][0]).__name__ if old[BBOX] else "float"]
+    return out
 
 
 def tree_schema(obj):
     """The type of each value and of the members of each box."""
-    if isinstance(obj, dict):
-        return {k: type(v).__name__ if k == VALUE else [type(v[0]).__name__ if v else "float"] if k == BBOX and isinstance(v, list) else tree_schema(v) for k, v in obj.items()}
-    return [tree_schema(obj[0])] if isinstance(obj, list) and obj else [] if isinstance(obj, list) else type(obj).__name__
+    return fold(obj, leaf=lambda x: type(x).__name__, on_dict=_typed, on_list=lambda _, x: x[:1])
+
+
+def scale_boxes(obj, width: int, height: int, key: str = BBOX):
+    """Boxes of four shares as boxes of whole pixels; what is no such box stays."""
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and x - x == 0
+
+    def scaled(_, d):
+        box = d.get(key)
+        if isinstance(box, list) and len(box) == 4 and all(map(number, box)):
+            d[key] = [round(x * side) for x, side in zip(box, (width, height) * 2)]
+        return d
+
+    return fold(obj, on_dict=scaled)
 
 
 def key_boxes(obj, key: str = "") -> list[tuple[str, str, list[float]]]:
     """(key, value, box) of every leaf with a box of four numbers that are not all zero."""
-    if isinstance(obj, dict):
-        if VALUE in obj:
-            box = obj.get(BBOX)
-            return [(key, str(obj[VALUE]), [float(x) for x in box])] if isinstance(box, list) and len(box) == 4 and any(box) else []
-        return [x for k, v in obj.items() for x in key_boxes(v, k)]
-    return [x for v in obj for x in key_boxes(v, key)] if isinstance(obj, list) else []
+    todo, out = [(key, obj)], []
+    while todo:
+        key, x = todo.pop()
+        if isinstance(x, dict) and VALUE in x:
+            box = x.get(BBOX)
+            if isinstance(box, list) and len(box) == 4 and any(box):
+                out.append((key, x[VALUE] if isinstance(x[VALUE], str) else str(x[VALUE]) if not isinstance(x[VALUE], (dict, list)) else dumps(x[VALUE]), [float(v) for v in box]))
+        elif isinstance(x, dict):
+            todo.extend(reversed(x.items()))
+        elif isinstance(x, list):
+            todo.extend((key, v) for v in reversed(x))
+    return out
+
+
+_TOKEN = re.compile(r"""\s*([\[\](){},:]|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^\s\[\](){},:"']+)\s*""", re.S)
+_CLOSES = {"]": "[", ")": "(", "}": "{"}
+
+
+def _deep(text: str, scalar: Callable):
+    """Lists and objects of any depth, read with a stack. scalar reads strings, numbers and names."""
+    stack: list[tuple] = []  # (bracket, list or object, key of the object's member that is read)
+    at, wait, value = 0, {"value"}, None
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no token at {at}")
+        t, at = m[1], m.end()
+        if t == "," or t in _CLOSES:
+            if t not in wait or t != "," and stack[-1][0] != _CLOSES[t]:
+                raise ValueError(f"{t} out of place")
+            bracket, box, _ = stack[-1]
+            if t == ",":
+                wait = {"key"} if bracket == "{" else {"value"}
+                continue
+            stack.pop()
+            value = box
+        elif t == ":":
+            if t not in wait:
+                raise ValueError(": out of place")
+            wait = {"value"}
+            continue
+        elif t in "[({":
+            if "value" not in wait:
+                raise ValueError(f"{t} out of place")
+            stack.append((t, {} if t == "{" else [], None))
+            wait = {"key", "}"} if t == "{" else {"value", "]", ")"}
+            continue
+        elif "key" in wait:
+            key = scalar(t)
+            if not isinstance(key, str):
+                raise ValueError(f"no key: {t[:20]}")
+            stack[-1] = (*stack[-1][:2], key)
+            wait = {":"}
+            continue
+        elif "value" in wait:
+            value = scalar(t)
+        else:
+            raise ValueError(f"{t[:20]} out of place")
+        # a value is complete
+        if stack:
+            bracket, box, key = stack[-1]
+            if bracket == "{":
+                box[key] = value
+            else:
+                box.append(value)
+        wait = {",", *_CLOSES} if stack else set()
+    if stack or wait:
+        raise ValueError("ends too early")
+    return value
+
+
+def loads(text: str):
+    """JSON of any depth."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep(text, json.loads)
 
 
 def parse(text: str | None):
     """JSON, or a Python literal; anything else is an empty object."""
-    for read in (json.loads, ast.literal_eval):
+    if not isinstance(text, str):
+        return {}
+    for read in (loads, ast.literal_eval, lambda t: _deep(t, ast.literal_eval)):
         try:
             return read(text)
         except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
@@ -95,7 +193,30 @@ def parse(text: str | None):
 
 
 def dumps(obj) -> str:
-    return json.dumps(obj, ensure_ascii=False, separators=(",", ":"))
+    """Compact JSON of a tree of any depth."""
+    short = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    try:
+        return short(obj)
+    except RecursionError:
+        pass
+    todo, out = [obj], []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):  # text that is ready
+            out.append(x[0])
+        elif isinstance(x, dict):
+            todo.append(("}",))
+            for i, (k, v) in enumerate(reversed(x.items())):
+                todo += [v, (("," if i + 1 < len(x) else "") + short(k) + ":",)]
+            out.append("{")
+        elif isinstance(x, list):
+            todo.append(("]",))
+            for i, v in enumerate(reversed(x)):
+                todo += [v] + [(",",)] * (i + 1 < len(x))
+            out.append("[")
+        else:
+            out.append(short(x))
+    return "".join(out)
 
 
 def rewrite(fn: Callable, strict: bool = True):
@@ -107,9 +228,10 @@ def rewrite(fn: Callable, strict: bool = True):
             if t is None:
                 return None
             try:
-                return dumps(fn(json.loads(t) if strict else parse(t)))
-            except (ValueError, RecursionError):  # no JSON, or nested deeper than any label
+                tree = loads(t) if strict else parse(t)
+            except ValueError:  # no JSON
                 return None
+            return dumps(fn(tree))
 
         return s.map(one)
 
@@ -130,13 +252,7 @@ json_wrap_items = rewrite(lambda x: wrap_objects(x, "item"))
 
 @F.pandas_udf(_BOXES)
 def json_key_boxes(s: pd.Series) -> pd.Series:
-    def one(t):
-        try:
-            return [{"key": k, "value": v, "bbox": b} for k, v, b in key_boxes(parse(t))]
-        except RecursionError:
-            return []
-
-    return s.map(one)
+    return s.map(lambda t: [{"key": k, "value": v, "bbox": b} for k, v, b in key_boxes(parse(t))])
 
 
 _PAIR = re.compile(r'"<\|value\|>":\s*"([^"]*)",\s*"<\|bbox\|>":\s*"([^"]*)"')
@@ -152,19 +268,18 @@ def replace_pairs(text: str, pairs: list[tuple[str, str]]) -> str:
     return _PAIR.sub(lambda _: '"<|value|>": "{}", "<|bbox|>": "{}"'.format(*next(it)), text, count=len(pairs))
 
 
-def denormalize(text: str, width: int, height: int, key: str = BBOX) -> str:
-    """Boxes of shares as boxes of whole pixels."""
-    size = (width, height, width, height)
-    return re.sub(rf'"{re.escape(key)}":\s*(\[[^\]]+\])', lambda m: f'"{key}":{dumps([round(a * b) for a, b in zip(json.loads(m[1]), size)])}', text)
-
-
 @F.pandas_udf(T.StringType())
 def json_denormalize(label: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """Labels without null values, their boxes in pixels. No JSON, or no size, gives null."""
+
     def one(t, w, h):
+        if t is None or w != w or h != h:
+            return None
         try:
-            return None if t is None or w != w or h != h else denormalize(dumps(remove_none(json.loads(t))), w, h)
-        except (ValueError, RecursionError):
+            tree = loads(t)
+        except ValueError:
             return None
+        return dumps(scale_boxes(remove_none(tree), w, h))
 
     return pd.Series([one(*x) for x in zip(label, width, height)])
 
