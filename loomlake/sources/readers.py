@@ -117,22 +117,15 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_zips(folder: str, to: str, name_part: str = "") -> list[str]:
-    """Archives below a folder whose name holds name_part, each into its own folder. A step on the driver, for local disks.
-    Members that would lie outside are an error."""
-    import zipfile
-
-    out = []
-    for archive in sorted(Path(folder).resolve().rglob("*.zip")):
-        if name_part not in archive.stem:
-            continue
-        target = (Path(to) / archive.stem).resolve()
-        target.mkdir(parents=True, exist_ok=True)
-        with zipfile.ZipFile(archive) as z:
-            if bad := [n for n in z.namelist() if not (target / n).resolve().is_relative_to(target)]:
-                raise ValueError(f"{archive.name} leaves its folder: {bad[0]}")
-            z.extractall(target)
-        out.append(str(target))
-    return out
+    """Archives below a folder whose name holds name_part, each into its own folder, by the executors. Faulty archives, and
+    members that would lie outside, are an error, raised when the others are written."""
+    from loomlake.sources import archives
+
+    done = archives.extract_zips(SparkSession.getActiveSession(), Path(folder).resolve().as_uri(), Path(to).resolve().as_uri(), name_part)
+    if bad := done.where("error is not null").orderBy("archive", "name").first():
+        raise ValueError(f"{bad.archive}: {bad.name}: {bad.error}")
+    stem = F.regexp_extract("archive", r"([^/]*)\.[^./]*$", 1).alias("stem")
+    return [str(Path(to).resolve() / r.stem) for r in done.select(stem).distinct().orderBy("stem").collect()]
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

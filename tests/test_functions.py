@@ -20,7 +20,7 @@ def test_deep_pages_and_labels(spark):
     df = spark.createDataFrame([(1, DEEP_HTML, DEEP_JSON), (2, "<table><tr><td>a</td></tr></table>", '{"a":null}'), (3, None, None)], "id int, html string, label string")
     got = {r.id: r for r in df.select("id", H.tables_of("html").alias("t"), H.otsl_of("html").alias("o"), J.json_remove_none("label").alias("j"), F.size(J.json_key_boxes("label")).alias("k")).collect()}
     assert len(got[1].t) == 1200 and got[1].t[0] == "<table><tr><td>x</td></tr></table>" and got[1].o.startswith("<otsl><fcel>x")
-    assert (got[1].j, got[2].j, got[3].j) == (None, "{}", None) and got[1].k == 0
+    assert (got[1].j, got[2].j, got[3].j) == (DEEP_JSON, "{}", None) and got[1].k == 0
     assert got[2].t == ["<table><tr><td>a</td></tr></table>"] and got[3].t == [] and got[3].o is None
 
 
