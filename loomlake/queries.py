@@ -579,4 +579,5 @@ def schema_validation(spark, sf):
 
 
 import loomlake.queries_lake  # noqa: E402,F401 - they register theirs
+import loomlake.queries_more  # noqa: E402,F401
 import loomlake.queries_rows  # noqa: E402,F401

@@ -13,9 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.sources.files import located, opened
 from loomlake.sources.footers import listing
 
 # Fixed values of the ZIP format: signatures and record layouts, little-endian.
@@ -126,17 +127,6 @@ def content(source, method: int, at: int, packed: int, size: int, crc: int, most
     return data
 
 
-def _open(path: str):
-    from pyarrow import fs as pafs
-
-    files, name = pafs.FileSystem.from_uri(path)
-    return files.open_input_file(name)
-
-
-def _uri(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/*", "file:///")
-
-
 def zip_members(spark: SparkSession, root: str, name_part: str = "", glob: str = "*.zip", per_task: int = 64) -> DataFrame:
     """(archive, name, method, at, packed, size, crc, encrypted, error): the members of the archives below root whose own
     name holds name_part. A faulty archive is one row with an error."""
@@ -146,7 +136,7 @@ def zip_members(spark: SparkSession, root: str, name_part: str = "", glob: str =
             rows = []
             for archive in b.column(0).to_pylist():
                 try:
-                    with _open(archive) as source:
+                    with opened(archive) as source:
                         rows += [(archive, *e, None) for e in entries(source)]
                 except (BadArchive, struct.error) as e:
                     rows.append((archive, *[None] * 7, str(e)))
@@ -157,7 +147,7 @@ def zip_members(spark: SparkSession, root: str, name_part: str = "", glob: str =
                 yield _batch(rows, _MEMBERS)
 
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    files = listing(spark, root, glob).where(F.contains(stem, F.lit(name_part))).select(_uri(F.col("path")).alias("archive"))
+    files = listing(spark, root, glob).where(F.contains(stem, F.lit(name_part))).select(F.col("path").alias("archive"))
     tasks = max(1, min(-(-files.count() // per_task), 4096), min(8, spark.sparkContext.defaultParallelism))
     return files.repartition(tasks).mapInArrow(run, _MEMBER_ROWS)
 
@@ -172,7 +162,7 @@ def member_contents(members: DataFrame, most: int = 1 << 30, tasks: int | None =
     an error; so are the rows of faulty archives."""
 
     def run(batches):
-        opened, source = None, None
+        current, source = None, None
         for b in batches:
             rows, held = [], 0
             for archive, name, method, at, packed, size, crc, locked, error in zip(*(c.to_pylist() for c in b.columns)):
@@ -181,8 +171,8 @@ def member_contents(members: DataFrame, most: int = 1 << 30, tasks: int | None =
                     try:
                         if locked:
                             raise BadArchive("encrypted")
-                        if archive != opened:
-                            opened, source = archive, _open(archive)
+                        if archive != current:
+                            current, source = archive, opened(archive)
                         data = content(source, method, at, packed, size, crc, most)
                     except (BadArchive, struct.error, zlib.error) as e:
                         error = str(e)
@@ -204,9 +194,7 @@ def extract_zips(spark: SparkSession, root: str, to: str, name_part: str = "") -
     error); a member that would lie outside its folder is a row with an error. Tasks that run again write the same files."""
 
     def run(batches):
-        from pyarrow import fs as pafs
-
-        files, base = pafs.FileSystem.from_uri(to)
+        files, base = located(to)
         schema = pa.schema([("archive", pa.string()), ("name", pa.string()), ("path", pa.string()), ("error", pa.string())])
         for b in batches:
             rows = []

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlake.sources import scratch
+from loomlake.sources.files import opened
 
 _SCHEMA = pa.schema([("path", pa.string()), ("rows", pa.int64()), ("name", pa.string()), ("place", pa.int32()), ("type", pa.string()), ("filled", pa.int64())])
 _ROWS = "path string, rows long, name string, place int, type string, filled long"
@@ -56,21 +57,19 @@ def footers(files: DataFrame, per_task: int = 256) -> DataFrame:
     columns has one row with a null name."""
 
     def run(batches):
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for b in batches:
             rows = []
             for path in b.column(0).to_pylist():
-                fs, name = pafs.FileSystem.from_uri(path)
-                with fs.open_input_file(name) as f:
+                with opened(path) as f:
                     file = pq.ParquetFile(f)
                     found = list(_columns(file.metadata, file.schema_arrow)) or [(None, None, None)]
                     rows += [(path, file.metadata.num_rows, n, i, t, v) for i, (n, t, v) in enumerate(found)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-    paths = files.select(F.regexp_replace("path", "^file:/*", "file:///").alias("path"))
+    paths = files.select("path")
     tasks = max(1, min(-(-paths.count() // per_task), 4096), min(paths.sparkSession.sparkContext.defaultParallelism, 8))
     return paths.repartition(tasks).mapInArrow(run, _ROWS)
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlake.sources.files import opened
+
 # Fixed values of the formats.
 _JPEG_FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
 _ALONE = {0x01, *range(0xD0, 0xD8)}
@@ -191,8 +193,6 @@ def image_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
     names = files.columns
 
     def run(batches):
-        from pyarrow import fs as pafs
-
         for b in batches:
             found = []
             for path in b.column(names.index("path")).to_pylist():
@@ -200,8 +200,7 @@ def image_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
                     found.append((None, None, None, None, "no path"))
                     continue
                 try:
-                    fs, name = pafs.FileSystem.from_uri(path)
-                    with fs.open_input_file(name) as source:
+                    with opened(path) as source:
                         found.append(header(source))
                 except (OSError, pa.ArrowInvalid) as e:
                     found.append((None, None, None, None, str(e)[:200]))
