@@ -5,17 +5,19 @@ Texts are lower-cased (A-Z), split at `[.,;:!?\\n-\\r]` into pieces and those in
 1. Tasks turn their texts into blocks of at most about ``block_words`` words, cut between pieces. A block numbers its
    words' places; two pieces have a free place between them, so what stands at adjacent places is one piece. It is kept as
    inverted lists: for each candidate, its places in ascending order.
-2. The length of a candidate's list, summed over blocks, is its exact frequency. Spark sums them, a row a candidate and
-   block, so a common word is as many rows as blocks. Those of ``least`` and more are frequent, and take as id the first
-   (block, candidate) that has them.
-3. A block meets the ids of its frequent phrases and extends them: the places of phrases are merge-joined with those one
+2. The length of a candidate's list, summed over blocks, is its exact frequency. Each block sends its candidates and the
+   lengths, packed, to the parts that count them, found by a hash; a part holds about as many candidates as a block, and
+   a common one is as many numbers as blocks. It answers each block which candidates have ``least`` places and more over
+   all blocks, and under what id. Candidates are compared whole, by bytes or by both ids, so frequencies are exact.
+3. A block keeps the lists of its frequent phrases and extends them: the places of phrases are merge-joined with those one
    further on, whose phrases end in the adjacent word. A longer phrase is frequent only if the two that it overlaps are,
    so lists of other words are not looked at. The joined places are the lists of the next length's candidates, with
-   (phrase id, word id) as key. No hash of a phrase stands for it, so frequencies are exact.
-4. Words of phrases, cuts, scores, containment and ranks are joins and aggregates of the frequent phrases alone. The words
-   that go over the limit are ranked in two steps, first within salted parts of a language.
+   (phrase id, word id) as key.
+4. Words of phrases, cuts, scores, containment and ranks are joins and aggregates of the frequent phrases alone. The
+   phrases of a language are ranked in two steps, first within salted parts of it.
 
-Blocks are written between steps, so lost executors repeat one step. Nothing is collected or broadcast by this module.
+Lists and counts are written between steps, so lost executors repeat one step. Nothing is collected or broadcast by this
+module.
 
 A null text is empty and has no phrase; a null language is `und`. Repeated rows count each, as documents. Ties in score and
 frequency are ranked by the phrase's UTF-8 bytes. A very long text is cut into blocks between pieces; a piece is whole. An
@@ -24,6 +26,7 @@ empty table gives an empty table. Other columns, of whatever name, are not looke
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -31,32 +34,40 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import batches, cut, drop_cut, give_back, release, texts_of
+from loomlake.llm.common import batches, cut, drop_cut, give_back, mix64, release, texts_of
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\n\x0b\x0c\r" + b"\t", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10 + b" ")
 
-# candidates have cand >= 0; the row with cand -1 has the lists of the block
-_WORDS = pa.schema([("block", pa.int64()), ("cand", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary())])
-_WORD_ROWS = "block long, cand long, lang string, word binary, n long, places binary, sizes binary"
-_PHRASES = pa.schema([("block", pa.int64()), ("cand", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("lasts", pa.binary())])
-_PHRASE_ROWS = "block long, cand long, a long, b long, n long, places binary, sizes binary, lasts binary"
-_SHIFT = 1 << 28  # candidates of a block; blocks have 35 bits
+_ID = 1 << 32
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary()), ("places", pa.binary())])
+_SENT_ROWS = "part long, block long, lang string, words binary, a binary, b binary, n binary, places binary"
+_COUNTED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("lang", pa.string()), ("keep", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("word", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("f", pa.int64()), ("total", pa.int64())])
+_COUNTED_ROWS = "block long, part long, lang string, keep binary, ids binary, id long, word binary, a long, b long, f long, total long"
+_LISTS = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("lasts", pa.binary())])
+_LIST_ROWS = "block long, places binary, sizes binary, ids binary, lasts binary"
 
 
 def _shrink(x: np.ndarray) -> bytes:
-    """Whole numbers below 2^31, by their differences, with their number in front."""
-    x = x.astype(np.int32)
-    return len(x).to_bytes(8, "little") + (pa.compress(np.diff(x, prepend=np.int32(0)).tobytes(), "zstd", asbytes=True) if len(x) else b"")
+    """Whole numbers by their differences, with their width and number in front."""
+    kind = np.int32 if not len(x) or x.max() < 1 << 31 else np.int64
+    x = x.astype(kind)
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + (pa.compress(np.diff(x, prepend=kind(0)).tobytes(), "zstd", asbytes=True) if len(x) else b"")
 
 
 def _grow(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.cumsum(np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.int32), dtype=np.int32) if n else np.zeros(0, np.int32)
+    n, kind = int.from_bytes(data[1:9], "little"), np.int32 if data[0] == 4 else np.int64
+    return np.cumsum(np.frombuffer(pa.decompress(data[9:], data[0] * n, "zstd", asbytes=True), kind), dtype=kind) if n else np.zeros(0, kind)
+
+
+def _table(schema: pa.Schema, length: int, /, **columns) -> pa.Table:
+    """Columns that are not given are null."""
+    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
 
 
 def pieces(text: bytes, some: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -88,29 +99,35 @@ class _Block:
     def end(self) -> None:
         self.refs.append(np.zeros(1, np.int32))
 
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, parts: int) -> pa.Table:
+        """The words with the length of their lists, by part and language, and the lists in that order."""
+        langs = sorted(self.ids)
+        known = [[(w, i) for w, i in self.ids[x].items() if i > 0] for x in langs]
+        words = [w for k in known for w, _ in k]
+        number = np.array([i for k in known for _, i in k], np.int64)
+        lang = np.repeat(np.arange(len(langs)), [len(k) for k in known])
+        seeds = [zlib.crc32(x.encode()) for x in langs]
+        part = np.array([zlib.crc32(w, s) for k, s in zip(known, seeds) for w, _ in k], np.int64) % parts
+        order = np.lexsort((lang, part))
         refs = np.concatenate(self.refs)
-        order = np.argsort(refs, kind="stable")
-        sizes = np.bincount(refs)
-        order, sizes = order[sizes[0] :], sizes[1:]
-        langs, words = [], []
-        for lang, ids in self.ids.items():
-            known = [(i, w) for w, i in ids.items() if i > 0]
-            langs += [(i, lang) for i, _ in known]
-            words += known
-        words.sort()
-        langs.sort()
-        for i in range(0, len(words), 1 << 16):
-            some, k = words[i : i + (1 << 16)], len(words[i : i + (1 << 16)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, block)), pa.array(np.arange(i, i + k)), pa.array([x for _, x in langs[i : i + k]]), pa.array([w for _, w in some], pa.binary()), pa.array(sizes[i : i + k]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())],
-                schema=_WORDS,
-            )
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([len(order)]), pa.array([_shrink(order)], pa.binary()), pa.array([_shrink(sizes)], pa.binary())], schema=_WORDS)
+        at = np.zeros(len(words) + 1, np.int64)
+        at[number[order]] = np.arange(1, len(words) + 1)
+        refs = at[refs]
+        places, sizes = np.argsort(refs, kind="stable"), np.bincount(refs, minlength=len(words) + 1)
+        places, sizes = places[sizes[0] :], sizes[1:]
+        group = part[order] * len(langs) + lang[order]
+        found, first = np.unique(group, return_index=True)
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(words)]))
+        sent = _table(_SENT, len(found), part=found // max(len(langs), 1), block=np.full(len(found), block), lang=[langs[g % len(langs)] for g in found.tolist()], words=[pa.compress(b"\n".join(words[k] for k in order[i:j]), "zstd", asbytes=True) for i, j in spans], a=[sum(len(words[k]) + 1 for k in order[i:j]).to_bytes(8, "little") for i, j in spans], n=[_shrink(sizes[i:j]) for i, j in spans])
+        lists = _table(_SENT, 1, part=[-1], block=[block], n=[_shrink(sizes)], places=[_shrink(places)])
+        return pa.concat_tables([sent, lists])
 
 
 def blocks(docs: DataFrame, block_words: int = 4_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The words of each block with the length of their lists, and the lists."""
+    """The words of each block with the length of their lists, dealt to as many parts as docs has partitions, and the lists
+    (part -1)."""
+    chosen = docs.select(F.col(text_col), F.coalesce(lang_col, F.lit("und")))
+    parts = max(1, chosen.rdd.getNumPartitions())
 
     def run(rows):
         block, at = _Block(), TaskContext.get().partitionId() << 14
@@ -119,83 +136,190 @@ def blocks(docs: DataFrame, block_words: int = 4_000_000, text_col: str = "text"
                 for words in pieces(text):
                     block.add(lang, words)
                     if block.size >= block_words and words[-1] == b"":
-                        yield from block.rows(at)
+                        yield from block.rows(at, parts).to_batches()
                         block, at = _Block(), at + 1
                 block.end()
         if block.size:
-            yield from block.rows(at)
+            yield from block.rows(at, parts).to_batches()
+
+    return chosen.mapInArrow(run, _SENT_ROWS)
+
+
+def counted_words(sent: DataFrame, least: int) -> DataFrame:
+    """For each block, part and language which words are frequent, and their ids; the frequent words with f; words in all."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, out = rows.column("part")[0].as_py(), []
+        rank = count()
+        for lang in sorted(set(rows.column("lang").to_pylist())):
+            some = rows.filter(pa.compute.equal(rows.column("lang"), lang))
+            seen: defaultdict = defaultdict(count().__next__)
+            refs, counts = [], []
+            for data, size, n in zip(some.column("words").to_pylist(), some.column("a").to_pylist(), some.column("n").to_pylist()):
+                words = pa.decompress(data, int.from_bytes(size, "little") - 1, "zstd", asbytes=True).split(b"\n")
+                refs.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+                counts.append(_grow(n).astype(np.int64))
+            f = np.zeros(len(seen), np.int64)
+            for r, n in zip(refs, counts):
+                f[r] += n
+            names = list(seen)
+            chosen = sorted((k for k in np.flatnonzero(f >= least).tolist()), key=names.__getitem__)
+            id_of = np.full(len(f), -1, np.int64)
+            id_of[chosen] = [part * _ID + next(rank) for _ in chosen]
+            k = len(chosen)
+            out.append(_table(_COUNTED, k, lang=[lang] * k, id=id_of[chosen], word=[names[c] for c in chosen], f=f[chosen]))
+            out.append(_table(_COUNTED, 1, lang=[lang], total=[int(f.sum())]))
+            out.append(_told(some.column("block").to_pylist(), part, lang, [id_of[r] for r in refs]))
+        give_back()
+        return pa.concat_tables(out)
 
-    return docs.select(F.col(text_col), F.coalesce(lang_col, F.lit("und"))).mapInArrow(run, _WORD_ROWS)
+    return sent.groupBy("part").applyInArrow(run, _COUNTED_ROWS)
 
 
-def frequent(found: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Candidates of blocks (block, cand, keys, n) whose lists have ``least`` places and more, with f and id."""
-    same = Window.partitionBy(*keys)
-    named = F.col("block") * _SHIFT + F.col("cand")
-    return found.where("cand >= 0").select("block", "cand", *keys, F.sum("n").over(same).alias("f"), F.min(named).over(same).alias("id")).where(F.col("f") >= least)
+def _told(blocks: list[int], part: int, lang: str | None, ids: list[np.ndarray]) -> pa.Table:
+    """For each block which of its candidates are frequent, and the ids of those."""
+    k = len(blocks)
+    return _table(_COUNTED, k, block=blocks, part=[part] * k, lang=[lang] * k, keep=[np.packbits(x >= 0).tobytes() for x in ids], ids=[_shrink(x[x >= 0]) for x in ids])
 
 
-def once(named: DataFrame) -> DataFrame:
-    """One row for each phrase."""
-    return named.where(F.col("id") == F.col("block") * _SHIFT + F.col("cand")).drop("block", "cand")
+def _answers(told: pa.Table, sizes: list[int] | None = None) -> np.ndarray:
+    """The ids of all candidates of a block in order of part and language, -1 for those that are not frequent."""
+    told = told.sort_by([("part", "ascending"), ("lang", "ascending")])
+    out = []
+    for i, (keep, ids) in enumerate(zip(told.column("keep").to_pylist(), told.column("ids").to_pylist())):
+        bits = np.unpackbits(np.frombuffer(keep, np.uint8), count=None if sizes is None else sizes[i]).astype(bool)
+        own = np.full(len(bits), -1, np.int64)
+        own[bits] = _grow(ids)
+        out.append(own)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def extended(found: DataFrame, named: DataFrame) -> DataFrame:
-    """The candidates one word longer, and their lists. found: lists of the blocks; named: their frequent candidates."""
-    words = "lasts" not in found.columns
-    lists = found.where("cand < 0").select("block", "places", "sizes", F.lit(None).cast("binary").alias("lasts") if words else "lasts")
+def word_lists(sent: DataFrame, counted: DataFrame) -> DataFrame:
+    """The lists of frequent words of each block, with the ids of the words."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _PHRASES.empty_table()
-        block, places, sizes, lasts = (left.column(i)[0].as_py() for i in range(4))
-        cand, ids = right.column("cand").to_numpy(), right.column("id").to_numpy()
-        size = _grow(sizes)
-        id_of = np.full(len(size), -1, np.int64)
-        id_of[cand] = ids
-        ref = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        place = _grow(places)
-        kept = id_of[ref] >= 0
-        ref, place = ref[kept], place[kept]
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.filter(pa.compute.equal(left.column("part"), -1))
+        if not lists.num_rows or not right.num_rows:
+            return _LISTS.empty_table()
+        groups = left.filter(pa.compute.not_equal(left.column("part"), -1)).sort_by([("part", "ascending"), ("lang", "ascending")])
+        size = _grow(lists.column("n")[0].as_py())
+        ids = _answers(right, [int.from_bytes(x[1:9], "little") for x in groups.column("n").to_pylist()])
+        kept = ids >= 0
+        places = _grow(lists.column("places")[0].as_py())[np.repeat(kept, size)]
+        made = _shrink(ids[kept])
+        return _table(_LISTS, 1, block=[lists.column("block")[0].as_py()], places=[_shrink(places)], sizes=[_shrink(size[kept])], ids=[made], lasts=[made])
+
+    left = sent.select("block", "part", "lang", "n", "places")
+    right = counted.where("block is not null").select("block", "part", "lang", "keep", "ids")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, _LIST_ROWS)
+
+
+class _Joined:
+    """The candidates one word longer of a block: each a pair of a frequent phrase and the word behind it.
+
+    The lists of phrases are merge-joined with those one place further on, whose phrases end in the adjacent word.
+    Candidates are ordered by the part that counts them."""
+
+    def __init__(self, places: bytes, sizes: bytes, ids: bytes, lasts: bytes, parts: int):
+        size, ids, lasts = _grow(sizes), _grow(ids).astype(np.int64), _grow(lasts).astype(np.int64)
+        ref, place = np.repeat(np.arange(len(size), dtype=np.int32), size), _grow(places)
         order = np.argsort(place)
         ref, place = ref[order], place[order]
-        last_of = id_of if lasts is None else np.frombuffer(lasts, np.int64)
-        next_to = np.flatnonzero(place[1:] == place[:-1] + 1)
-        if not len(next_to):
-            return _PHRASES.empty_table()
-        words_of, word = np.unique(last_of[ref[next_to + 1]], return_inverse=True)
-        pair = ref[next_to].astype(np.int64) * len(words_of) + word
-        made, cand_of, lengths = np.unique(pair, return_inverse=True, return_counts=True)
-        order = np.argsort(cand_of, kind="stable")
-        a, b = id_of[made // len(words_of)], words_of[made % len(words_of)]
-        k = len(made)
-        none = pa.nulls(k, pa.binary())
-        rows = pa.Table.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k)), pa.array(a), pa.array(b), pa.array(lengths.astype(np.int64)), none, none, none], schema=_PHRASES)
-        at = place[next_to][order]
-        lists = pa.Table.from_arrays([pa.array([block]), pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([len(at)]), pa.array([_shrink(at)], pa.binary()), pa.array([_shrink(lengths)], pa.binary()), pa.array([b.tobytes()], pa.binary())], schema=_PHRASES)
+        at = np.flatnonzero(place[1:] == place[:-1] + 1)
+        words, word = np.unique(lasts[ref[at + 1]], return_inverse=True)
+        pair, of, n = np.unique(ref[at].astype(np.int64) * max(len(words), 1) + word, return_inverse=True, return_counts=True)
+        a, b = (ids[pair // len(words)], words[pair % len(words)]) if len(pair) else (pair, pair)
+        part = (mix64(mix64(a) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.part, self.a, self.b, self.n = part[order], a[order], b[order], n[order]
+        self.of, self.place = number[of], place[at]
+        self.parts, first = np.unique(self.part, return_index=True)
+        self.spans = list(zip(first.tolist(), [*first[1:].tolist(), len(pair)]))
+
+
+def _sent_phrases(lists: DataFrame, parts: int) -> DataFrame:
+    """The candidates one word longer of each block with the length of their lists, dealt to parts by a hash of both ids."""
+
+    def run(rows):
+        for b in batches(rows):
+            for block, *state in zip(*(c.to_pylist() for c in b.columns)):
+                j = _Joined(*state, parts)
+                k = len(j.parts)
+                pack = lambda x: [_shrink(x[i:e]) for i, e in j.spans]  # noqa: E731, B023
+                yield from _table(_SENT, k, part=j.parts, block=np.full(k, block), a=pack(j.a), b=pack(j.b), n=pack(j.n)).to_batches()
+
+    return lists.select(*_LISTS.names).mapInArrow(run, _SENT_ROWS)
+
+
+def counted_phrases(sent: DataFrame, least: int) -> DataFrame:
+    """For each block and part which candidates are frequent, and their ids; the frequent phrases with f."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        a, b, n = ([_grow(x).astype(np.int64) for x in rows.column(c).to_pylist()] for c in "abn")
+        cuts = np.cumsum([len(x) for x in a])[:-1]
+        first, second = np.concatenate(a), np.concatenate(b)
+        heads, head = np.unique(first, return_inverse=True)
+        tails, tail = np.unique(second, return_inverse=True)
+        pair, at, of = np.unique(head * len(tails) + tail, return_index=True, return_inverse=True)
+        f = np.zeros(len(pair), np.int64)
+        np.add.at(f, of, np.concatenate(n))
+        chosen = np.flatnonzero(f >= least)
+        id_of = np.full(len(pair), -1, np.int64)
+        id_of[chosen] = part * _ID + np.arange(len(chosen))
+        found = _table(_COUNTED, len(chosen), id=id_of[chosen], a=first[at[chosen]], b=second[at[chosen]], f=f[chosen])
+        told = _told(rows.column("block").to_pylist(), part, None, np.split(id_of[of], cuts))
+        give_back()
+        return pa.concat_tables([found, told])
+
+    return sent.groupBy("part").applyInArrow(run, _COUNTED_ROWS)
+
+
+def phrase_lists(lists: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """The lists of frequent phrases one word longer."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _LISTS.empty_table()
+        block, *state = (left.column(c)[0].as_py() for c in _LISTS.names)
+        j = _Joined(*state, parts)
+        ids = _answers(right, [e - i for i, e in j.spans])
+        kept = ids >= 0
+        number, own = np.cumsum(kept) - 1, kept[j.of]
+        of = number[j.of[own]]
+        out = _table(_LISTS, 1, block=[block], places=[_shrink(j.place[own][np.argsort(of, kind="stable")])], sizes=[_shrink(j.n[kept])], ids=[_shrink(ids[kept])], lasts=[_shrink(j.b[kept])])
         give_back()
-        return pa.concat_tables([rows, lists])
+        return out
 
-    return lists.groupBy("block").cogroup(named.select("block", "cand", "id").groupBy("block")).applyInArrow(run, _PHRASE_ROWS)
+    right = counted.where("block is not null").select("block", "part", "lang", "keep", "ids")
+    return lists.select(*_LISTS.names).groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, _LIST_ROWS)
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4, block_words: int = 4_000_000) -> tuple[list[DataFrame], DataFrame]:
     """(written tables of the frequent phrases of 1, 2, ... words: lang, words (ids), text, f, id; n of each language)."""
     spark = docs.sparkSession
-    found = cut(blocks(docs, block_words))
-    totals = cut(found.where("cand >= 0").groupBy("lang").agg(F.sum("n").alias("n")))
-    named = cut(frequent(found, ["lang", "word"], least))
-    levels = [cut(once(named).select("lang", F.array("id").alias("words"), F.col("word").alias("text"), "f", "id"))]
+    sent = cut(blocks(docs, block_words))
+    parts = max(1, sent.where("part = -1").count())  # one a block: a part counts about as much as a block holds
+    counted = cut(counted_words(sent.where("part >= 0").select("part", "block", "lang", "words", "a", "n"), least))
+    totals = cut(counted.where("total is not null").groupBy("lang").agg(F.sum("total").alias("n")))
+    levels = [cut(counted.where("word is not null").select("lang", F.array("id").alias("words"), F.col("word").alias("text"), "f", "id"))]
     word = levels[0].select(F.col("id").alias("b"), F.col("text").alias("word"))
-    for _ in range(1, longest):
-        longer = cut(extended(found, named))
-        drop_cut(found, named)
-        release(spark)
-        found, named = longer, cut(frequent(longer, ["a", "b"], least))
+    lists = cut(word_lists(sent, counted))
+    drop_cut(sent, counted)
+    release(spark)
+    for k in range(2, longest + 1):
+        counted = cut(counted_phrases(_sent_phrases(lists, parts).select("part", "block", "a", "b", "n"), least))
         before = levels[-1].select(F.col("id").alias("a"), "lang", "words", "text")
-        joined = once(named).join(before, "a").join(word, "b")
+        joined = counted.where("block is null").select("a", "b", "f", "id").join(before, "a").join(word, "b")
         levels.append(cut(joined.select("lang", F.array_append("words", F.col("b")).alias("words"), F.concat("text", F.lit(b" "), "word").alias("text"), "f", "id")))
-    drop_cut(found, named)
+        release(spark)
+        last = lists
+        if k < longest:
+            lists = cut(phrase_lists(last, counted, parts))
+        drop_cut(last, counted)
+        release(spark)
     return levels, totals
 
 
