@@ -7,39 +7,27 @@ another word; words found continue the line from theirs, until nothing or a word
 cover each other, the one whose centre is lower is seen. Lines are numbered by the mean of their centres, words in a line
 by the first corner's x.
 
-Angles and turned corners are Spark expressions. The walk decides word by word, so a page is one group; its words are
-found by bands of rows, and no picture is made.
+The walk decides word by word, so a page is one group; its words are found by bands of rows, and no picture is made.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CORNERS = [f"{a}{i}" for i in (1, 2, 3, 4) for a in "xy"]
 
 
-def side_angles() -> Column:
-    """The angles, in degrees, of the lower and the upper side of a word with corners clockwise from the upper left."""
-    side = lambda a, b: F.degrees(F.atan2(F.col(f"y{b}") - F.col(f"y{a}"), F.col(f"x{b}") - F.col(f"x{a}")))
-    return F.array(side(4, 3), side(1, 2))
-
-
-def turned(words: DataFrame, page: str = "page", auto_rotate: bool = True) -> DataFrame:
-    """words (page, corners, width, height) with the page's angle, and the corners (r_x1 ...) turned back by it."""
-    angle = F.lit(0.0)
-    if auto_rotate:
-        angles = words.select(page, F.explode(side_angles()).alias("_a")).groupBy(F.col(page).alias("_page")).agg(F.percentile("_a", F.lit(0.5)).alias("angle"))
-        words, angle = words.join(angles, F.col(page).eqNullSafe(F.col("_page"))).drop("_page"), F.col("angle")
-    cos, sin = F.cos(F.radians(angle)), F.sin(F.radians(angle))
-    cx, cy = F.floor(F.col("width") / 2), F.floor(F.col("height") / 2)
-    out = {}
-    for i in (1, 2, 3, 4):
-        dx, dy = F.col(f"x{i}") - cx, F.col(f"y{i}") - cy
-        out |= {f"r_x{i}": (cos * dx + sin * dy + cx).cast("int"), f"r_y{i}": (cos * dy - sin * dx + cy).cast("int")}
-    return words.withColumns({"angle": angle} | out)
+def turned(corners: np.ndarray, width: int, height: int, auto_rotate: bool = True) -> tuple[float, np.ndarray]:
+    """The angle of a page with these words (n x 4 x 2, clockwise from the upper left), in degrees, and their corners turned
+    back by it about the page's middle, cut to whole pixels."""
+    side = lambda a, b: np.arctan2(corners[:, b, 1] - corners[:, a, 1], corners[:, b, 0] - corners[:, a, 0])
+    angle = float(np.median(np.degrees(np.concatenate([side(3, 2), side(0, 1)])))) if auto_rotate else 0.0
+    middle = np.array([width // 2, height // 2], float)
+    cos, sin = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+    return angle, np.trunc((corners - middle) @ np.array([[cos, -sin], [sin, cos]]) + middle).astype(np.int64)
 
 
 def row_spans(quads: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,32 +105,56 @@ def walk(quads: np.ndarray) -> np.ndarray:
     return line
 
 
-def _lines(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.copy()
-    corners = frame[[f"r_{c}" for c in CORNERS]].to_numpy(np.int64).reshape(-1, 4, 2)
-    order = np.lexsort((frame["_n"].to_numpy(), corners[:, :, 1].mean(axis=1)))
-    frame, corners = frame.iloc[order], corners[order]
+def page_lines(corners: np.ndarray, width: int, height: int, auto_rotate: bool = True) -> tuple[float, np.ndarray, np.ndarray]:
+    """(angle, line, place) of the words of one page, the last two from 1. Words of one height are taken as they come."""
+    angle, corners = turned(corners, width, height, auto_rotate)
+    order = np.argsort(corners[:, :, 1].mean(axis=1), kind="stable")
     # what lies left of and above the page is moved onto it
-    corners = corners + np.maximum(0, -corners.reshape(-1, 2).min(axis=0))
-    frame["line"] = walk(corners)
-    frame["_y"], frame["_x"] = corners[:, :, 1].mean(axis=1), corners[:, 0, 0]
-    return frame
+    corners = corners[order] + np.maximum(0, -corners.reshape(-1, 2).min(axis=0))
+    opened = walk(corners)
+    mean = np.bincount(opened, corners[:, :, 1].mean(axis=1)) / np.bincount(opened)
+    number = np.empty(len(mean), np.int64)
+    number[np.argsort(mean, kind="stable")] = np.arange(1, len(mean) + 1)
+    line, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    line[order] = number[opened]
+    by_line = np.lexsort((np.arange(len(order)), corners[:, 0, 0], number[opened]))
+    sorted_lines = number[opened][by_line]
+    place[order[by_line]] = np.arange(len(order)) - np.searchsorted(sorted_lines, sorted_lines) + 1
+    return angle, line, place
 
 
 def line_walk(words: DataFrame, page: str = "page", word: str = "word_id", auto_rotate: bool = True) -> DataFrame:
     """words (page, word_id, x1, y1, ... x4, y4, width, height) with angle, line and place in it, both from 1. Words of one
-    height are taken by word_id. Words with a null corner have neither."""
-    good = F.lit(True)
-    for c in CORNERS:
-        good = good & F.col(c).isNotNull()
-    placed = turned(words.where(good), page, auto_rotate)
-    kinds = dict(placed.dtypes)
-    slim = placed.select(page, word, "angle", *[f"r_{c}" for c in CORNERS], F.col(word).alias("_n"))
-    out = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes) + ", line long, _y double, _x long"
-    found = slim.groupBy(page).applyInPandas(_lines, out)
-    lines = found.groupBy(page, "line").agg(F.avg("_y").alias("_m"))
-    lines = lines.select(F.col(page).alias("_page"), F.col("line").alias("_line"), F.row_number().over(Window.partitionBy(page).orderBy("_m", "line")).cast("long").alias("_number"))
-    named = found.join(lines, F.col(page).eqNullSafe(F.col("_page")) & (F.col("line") == F.col("_line")))
-    place = F.row_number().over(Window.partitionBy(page, "_number").orderBy("_x", "_y", word)).cast("long")
-    named = named.select(F.col(page).alias("_page"), F.col(word).alias("_word"), F.col("angle").cast(kinds["angle"]).alias("angle"), place.alias("place"), F.col("_number").alias("line"))
-    return words.join(named, F.col(page).eqNullSafe(F.col("_page")) & (F.col(word) == F.col("_word")), "left").drop("_page", "_word")
+    height are taken by word_id, words of one line and x by their height. Words with a null corner have neither."""
+    spark, kinds = words.sparkSession, dict(words.dtypes)
+    slim = words.select(F.col(page).alias("_page"), F.col(word).alias("_n"), *[F.col(c).cast("double").alias(c) for c in CORNERS], F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    schema = slim.select("_page", "_n").schema.add("angle", "double").add("line", "long").add("place", "long")
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            pages = held.column(0).to_pylist()
+            last = next((i for i in range(len(pages) - 1, -1, -1) if pages[i] != pages[-1]), -1) + 1
+            if last:  # the last page may go on in the next batch
+                yield _walked(held.slice(0, last), pages[:last], auto_rotate)
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield _walked(held, held.column(0).to_pylist(), auto_rotate)
+
+    whole = ~F.exists(F.array(*CORNERS), lambda c: c.isNull())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = slim.where(whole).repartition(tasks, "_page").sortWithinPartitions("_page", "_n").mapInArrow(run, schema)
+    return words.join(found, F.col(page).eqNullSafe(F.col("_page")) & (F.col(word) == F.col("_n")), "left").drop("_page", "_n")
+
+
+def _walked(rows: pa.Table, pages: list, turn: bool) -> pa.RecordBatch:
+    """Whole pages, one after the other."""
+    corners = np.column_stack([rows.column(c).to_numpy() for c in CORNERS]).reshape(-1, 4, 2)
+    width, height = rows.column("width").to_numpy(), rows.column("height").to_numpy()
+    cuts = [0, *[i for i in range(1, len(pages)) if pages[i] != pages[i - 1]], len(pages)]
+    angle, line, place = np.empty(len(pages)), np.empty(len(pages), np.int64), np.empty(len(pages), np.int64)
+    for i, j in zip(cuts, cuts[1:]):
+        angle[i:j], line[i:j], place[i:j] = page_lines(corners[i:j], int(width[i]), int(height[i]), turn)
+    return pa.RecordBatch.from_arrays([rows.column(0).combine_chunks(), rows.column(1).combine_chunks(), pa.array(angle), pa.array(line), pa.array(place)], names=["_page", "_n", "angle", "line", "place"])
