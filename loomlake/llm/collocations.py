@@ -123,7 +123,7 @@ class _Block:
         return pa.concat_tables([sent, lists])
 
 
-def blocks(docs: DataFrame, block_words: int = 4_000_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def blocks(docs: DataFrame, block_words: int = 2_500_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The words of each block with the length of their lists, dealt to as many parts as docs has partitions, and the lists
     (part -1)."""
     chosen = docs.select(F.col(text_col), F.coalesce(lang_col, F.lit("und")))
@@ -297,7 +297,7 @@ def phrase_lists(lists: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
     return lists.select(*_LISTS.names).groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, _LIST_ROWS)
 
 
-def phrases(docs: DataFrame, least: int = 30, longest: int = 4, block_words: int = 4_000_000) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, least: int = 30, longest: int = 4, block_words: int = 2_500_000) -> tuple[list[DataFrame], DataFrame]:
     """(written tables of the frequent phrases of 1, 2, ... words: lang, words (ids), text, f, id; n of each language)."""
     spark = docs.sparkSession
     sent = cut(blocks(docs, block_words))
@@ -339,7 +339,7 @@ def scored(every: DataFrame, longest: int = 4) -> DataFrame:
     return lowest.select("lang", "text", "a", "c.l", "c.r", "c.score")
 
 
-def best(docs: DataFrame, most: int = 2000, least: int = 30, longest: int = 4, block_words: int = 4_000_000, parts: int = 64) -> DataFrame:
+def best(docs: DataFrame, most: int = 2000, least: int = 30, longest: int = 4, block_words: int = 2_500_000, parts: int = 64) -> DataFrame:
     """The first ``most`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     levels, totals = phrases(docs, least, longest, block_words)
     rows = scored(reduce(DataFrame.unionByName, levels), longest).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
