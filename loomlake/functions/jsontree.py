@@ -333,9 +333,11 @@ def chat(images: Column, queries: Column, answers: Column) -> Column:
     return F.struct(F.flatten(turns).alias("messages"), images.alias("images"))
 
 
-def elements(label: Column) -> Column:
-    """The elements of a layout label in order: type and box, types consolidated, as JSON."""
+def elements(label: Column, size: tuple[Column, Column] | None = None) -> Column:
+    """The elements of a layout label in order: type and box, types consolidated, as JSON; boxes of shares in whole pixels of
+    size (width, height) if that is given. No JSON gives null."""
     from loomlake.functions.text import layout_type
 
     parsed = F.from_json(label, "struct<elements:array<struct<idx:int,type:string,value:string,bbox:array<double>>>>")["elements"]
-    return F.to_json(F.transform(F.array_sort(parsed), lambda e: F.struct(layout_type(e["type"]).alias("type"), e["bbox"].alias("bbox"))))
+    box = (lambda b: b) if size is None else lambda b: F.transform(F.slice(b, 1, 4), lambda x, i: F.bround(x * F.when(i % 2 == 0, size[0]).otherwise(size[1])).cast("long"))
+    return F.to_json(F.transform(F.array_sort(parsed), lambda e: F.struct(layout_type(e["type"]).alias("type"), box(e["bbox"]).alias("bbox"))))

@@ -32,13 +32,7 @@ def layout(df: DataFrame) -> DataFrame:
     """df (path, width, height, label): consolidated elements with boxes in pixels of the resized image."""
     size = smart_resize(F.col("width"), F.col("height"))
     text = F.when(F.coalesce(F.get_json_object("label", "$.reading_order").cast("boolean"), F.lit(False)), PROMPTS["base_layout_reading_order"]).otherwise(PROMPTS["base_layout_no_reading_order"])
-    answer = J.denormalize
-
-    @F.pandas_udf("string")
-    def pixels(label, w, h):
-        return label.combine(w.combine(h, lambda a, b: (a, b)), lambda t, s: None if t is None else answer(t, *s, key="bbox"))
-
-    return to_chat(df.select("path", text.alias("query"), pixels(J.elements(F.col("label")), size["width"], size["height"]).alias("label")))
+    return to_chat(df.select("path", text.alias("query"), J.elements(F.col("label"), (size["width"], size["height"])).alias("label")))
 
 
 def vqa(df: DataFrame, order: str) -> DataFrame:

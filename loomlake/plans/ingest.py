@@ -20,8 +20,10 @@ from loomlake.functions.text import shard_levels, shard_path, suffix
 from loomlake.operators.aggregates import integrity
 from loomlake.operators.joins import new_assets
 from loomlake.operators.search import append_constants, nested_to_json, rename_first, without_reserved
-from loomlake.sources.readers import load_source, read_assets, scan_catalog
-from loomlake.sources.sinks import write_catalog, write_staging
+from loomlake.plans.reshard import asset_paths, reshard
+from loomlake.sources.files import located, opened
+from loomlake.sources.readers import load_source, scan_catalog
+from loomlake.sources.sinks import write_catalog, write_report, write_staging
 
 # Column names and suffixes that tell what an upload holds.
 IMAGE_COLUMNS = ["image", "image_bytes"]
@@ -44,6 +46,25 @@ def detect(df: DataFrame) -> dict:
     return {"image": images, "file": files, "type": kind}
 
 
+def contents(paths: DataFrame) -> DataFrame:
+    """paths (one string column) with _content, the bytes of the file, read by the executors; null if there is none."""
+    name = paths.columns[0]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                try:
+                    with opened(path) as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    data = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([data], pa.binary())], names=[name, "_content"])
+
+    return paths.mapInArrow(run, f"`{name}` string, _content binary")
+
+
 class Ingest:
     def __init__(self, spark: SparkSession, root: str, schema, user: str = "user"):
         self.spark, self.root, self.schema, self.user = spark, Path(root), schema, user
@@ -123,8 +144,8 @@ class Ingest:
         if meta.get("has_images") and "image" in df.columns:
             df = self._store(df, "image", F.lit("jpg"), meta, "")
         if meta.get("has_files") and "file_path" in df.columns:
-            content = self.spark.read.format("binaryFile").load([r[0] for r in df.select("file_path").where("file_path is not null").distinct().collect()]).select(F.regexp_replace("path", "^file:/*", "/").alias("_source"), F.col("content").alias("_content"))
-            df = df.withColumnRenamed("file_path", "_source").join(content, "_source", "left")
+            df = df.withColumnRenamed("file_path", "_source")
+            df = df.join(contents(df.select("_source").where("_source is not null").distinct()), "_source", "left")
             df = self._store(df, "_content", F.regexp_replace(suffix(F.col("_source")), r"^\.", ""), meta, "file_" if meta.get("has_images") else "").drop("_source")
         return write_catalog(df, str(self.root / "catalog"), meta)
 
@@ -139,35 +160,37 @@ class Ingest:
         root = str(self.root / "assets")
 
         def write(parts):
+            files, base = located(root)
             for r in parts:
-                to = Path(root) / r.path
-                to.parent.mkdir(parents=True, exist_ok=True)
-                tmp = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
-                tmp.write_bytes(r.content)
-                tmp.replace(to)  # a task that is run again writes the same file
+                folder, name = f"{base.rstrip('/')}/{r.path}".rsplit("/", 1)
+                files.create_dir(folder, recursive=True)
+                tmp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(tmp) as out:
+                    out.write(r.content)
+                files.move(tmp, f"{folder}/{name}")  # a task that is run again writes the same file
 
         new_assets(rows, known).select("path", "content").foreachPartition(write)
         return out.drop(column)
 
     def stored(self) -> DataFrame:
         """(provider, dataset, hash, path) of the asset files."""
-        files = read_assets(self.spark, str(self.root / "assets")).select(F.regexp_extract("path", r"assets/(.*)$", 1).alias("path"))
+        files = asset_paths(self.spark, str(self.root / "assets"))
         part = lambda k: F.regexp_extract("path", f"{k}=([^/]+)", 1).alias(k)
         return files.select(part("provider"), part("dataset"), F.regexp_extract("path", r"([0-9a-f]{64})[^/]*$", 1).alias("hash"), "path")
 
-    def validate_assets(self, fraction: float = 1.0, df: DataFrame | None = None, keep: int = 100) -> dict:
-        """How many rows' files exist, and the first missing paths."""
+    def validate_assets(self, fraction: float = 1.0, df: DataFrame | None = None, keep: int = 100, report: str | None = None) -> dict:
+        """How many rows' files exist, and the first missing paths; written as a JSON file if ``report`` names one."""
         rows = df if df is not None else scan_catalog(self.spark, str(self.root / "catalog"))
         if fraction < 1:
             rows = rows.where(F.pmod(F.xxhash64("path", "hash"), F.lit(10_000)) < int(fraction * 10_000))
         listing = self.stored().select("path")
         out = integrity(rows, listing).first().asDict()
         missing = rows.where("path is not null and hash is not null").select("path").distinct().join(listing, "path", "left_anti").orderBy("path").limit(keep)
-        return {"timestamp": datetime.now().isoformat(), "summary": out, "missing_files": [r.path for r in missing.collect()]}
-
-    def reshard(self, df: DataFrame) -> DataFrame:
-        """df with the path its row count asks for; rows with neither the old nor the new file go, one row for each path."""
-        levels, digest = shard_levels(F.lit(df.count())), F.regexp_extract("path", r"([0-9a-f]{64})", 1)
-        new = df.withColumn("new_path", shard_path(F.regexp_extract("path", r"^(provider=[^/]*/dataset=[^/]*)", 1), digest, levels, F.regexp_extract("path", r"\.([^./]+)$", 1)))
-        listing = self.stored().select(F.col("path").alias("_p"))
-        return new.join(listing, (F.col("_p") == F.col("path")) | (F.col("_p") == F.col("new_path")), "left_semi").dropDuplicates(["new_path"]).withColumn("path", F.col("new_path")).drop("new_path")
+        found = {"timestamp": datetime.now().isoformat(), "summary": out, "missing_files": [r.path for r in missing.collect()]}
+        if report:
+            write_report(self.spark, report, out, found["missing_files"], found["timestamp"])
+        return found
+
+    def reshard(self, df: DataFrame, levels: int | None = None) -> DataFrame:
+        """df with the path its row count asks for, its files moved there; rows with neither file go, one row for each path."""
+        return reshard(self.spark, df, str(self.root / "assets"), levels).drop("outcome")

@@ -15,7 +15,8 @@ from loomlake.plans.ingest import Ingest
 from loomlake.plans.jobs import JobRegistry
 from loomlake.plans.schema import SchemaRegistry
 from loomlake.sources import sinks
-from loomlake.sources.readers import load_source, read_assets, scan_catalog
+from loomlake.sources.footers import Catalog, listing
+from loomlake.sources.readers import PARTITION_KEYS, load_source, read_assets
 
 
 class Lake:
@@ -43,8 +44,13 @@ class Lake:
     def wait_for_job(self, ident: str, timeout: float = 3600) -> dict:
         return self.jobs.wait(ident, timeout)
 
+    def _files(self):
+        """(newest change in seconds, bytes) of the catalogue's files, from Spark's listing."""
+        r = listing(self.spark, str(self.root / "catalog")).agg(F.unix_micros(F.max("modificationTime")).alias("newest"), F.sum("length").alias("size")).first()
+        return (r.newest or 0) / 1e6, r.size or 0
+
     def _newest(self) -> float:
-        return max((p.stat().st_mtime for p in (self.root / "catalog").rglob("*.parquet")), default=0.0)
+        return self._files()[0]
 
     def is_stale(self) -> bool:
         return self._built is None or self._newest() > self._built
@@ -52,7 +58,8 @@ class Lake:
     def build(self, view: str = "catalog") -> DataFrame:
         """Read the catalogue's present state and register it for SQL."""
         self._built = self._newest()
-        self._catalog = scan_catalog(self.spark, str(self.root / "catalog"))
+        self._footers = Catalog(self.spark, str(self.root / "catalog"), PARTITION_KEYS)
+        self._catalog = self._footers.frame
         self._catalog.createOrReplaceTempView(view)
         return self._catalog
 
@@ -68,10 +75,13 @@ class Lake:
         return aggregates.partitions(self.catalog)
 
     def info(self) -> dict:
-        return {"total_rows": self.catalog.count(), "partitions": self.partitions().count(), "stale": self.is_stale(), "built_at": datetime.fromtimestamp(self._built or 0).isoformat(), "size": sum(p.stat().st_size for p in (self.root / "catalog").rglob("*.parquet"))}
+        return {"total_rows": self.catalog.count(), "partitions": self.partitions().count(), "stale": self.is_stale(), "built_at": datetime.fromtimestamp(self._built or 0).isoformat(), "size": self._files()[1]}
 
     def search(self, providers=None, datasets=None, tasks=None, variants=None, text_search: dict | None = None, limit: int | None = None, partitions_too: bool = False) -> DataFrame:
-        return search.search(self.catalog, text_search, limit, partitions_too, provider=providers, dataset=datasets, task=tasks, variant=variants)
+        catalog = self.catalog
+        if not text_search:  # null columns are known from footers
+            return self._footers.search(limit, provider=providers, dataset=datasets, task=tasks, variant=variants)
+        return search.search(catalog, text_search, limit, partitions_too, provider=providers, dataset=datasets, task=tasks, variant=variants)
 
     def to_dataset(self, df: DataFrame, include_images: bool = False, check_paths: bool = False, absolute: bool = True) -> DataFrame:
         """Rows with absolute paths; with their files' contents if asked; without rows whose file is gone if checked."""
