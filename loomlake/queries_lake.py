@@ -148,19 +148,22 @@ def export_recognition(spark, sf):
     return out.select(F.col("images")[0].alias("image"), F.col("messages")[0]["content"].alias("query"), F.col("messages")[1]["content"].alias("answer"))
 
 
-@query("""select p_partkey || '.jpg' image, '[{"type":"table","bbox":[0,0,' || (p_size * 28) || ',28]}]' answer,
-  case when p_size % 2 = 0 then '<image>Extract all layout elements. Reading order must be preserved.' else '<image>Extract all layout elements. Reading order does not matter.' end query from part where p_size > 3""")
+_SIZED = "p as (select *, case when p_size = 1 then 56 else p_size * 28 end w, case when p_size = 1 then 84 else 56 end h from part)"  # 28 x 56 is too small and grows
+
+
+@query(f"""with {_SIZED} select p_partkey || '.jpg' image, '[{{"type":"table","bbox":[0,0,' || w || ',' || h // 2 || ']}}]' answer,
+  case when p_size % 2 = 0 then '<image>Extract all layout elements. Reading order must be preserved.' else '<image>Extract all layout elements. Reading order does not matter.' end query from p""")
 def export_layout(spark, sf):
     label = F.expr("""concat('{"page":1,"reading_order":', if(p_size % 2 = 0, 'true', 'false'), ',"elements":[{"idx":1,"type":"table","value":"v","bbox":[0,0,1,0.5]}]}')""")
-    d = read(spark, sf, "part").where("p_size > 3").select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
+    d = read(spark, sf, "part").select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
     out = E.layout(d)
     return out.select(F.col("images")[0].alias("image"), F.col("messages")[0]["content"].alias("query"), F.col("messages")[1]["content"].alias("answer"))
 
 
-@query("""select p_partkey || '.jpg' image, '{"nm":{"<|value|>":"' || p_name || '","<|bbox|>":[0,28,' || (p_size * 14) || ',56]}}' answer, true asks from part where p_size > 3""")
+@query(f"""with {_SIZED} select p_partkey || '.jpg' image, '{{"nm":{{"<|value|>":"' || p_name || '","<|bbox|>":[0,' || h // 2 || ',' || w // 2 || ',' || h || ']}}}}' answer, true asks from p""")
 def export_kie(spark, sf):
     label = F.concat(F.lit('{"nm":{"<|value|>":"'), "p_name", F.lit('","<|bbox|>":[0,0.5,0.5,1]},"none":null}'))
-    d = read(spark, sf, "part").where("p_size > 3").select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
+    d = read(spark, sf, "part").select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
     out = E.kie(d)
     return out.select(F.col("images")[0].alias("image"), F.col("messages")[1]["content"].alias("answer"), F.endswith(F.col("messages")[0]["content"], F.lit('\n{"nm":{"<|value|>":"","<|bbox|>":[]}}')).alias("asks"))
 
