@@ -74,19 +74,32 @@ def collapse_multi(df: DataFrame, group: str, column: str, multi: str = "multi")
     return df.groupBy(group).agg(F.when(F.countDistinct(column) > 1, F.lit(multi)).otherwise(F.max(column)).alias(column))
 
 
-def column_centres(df: DataFrame, group: str, x: str, k: int = 3, steps: int = 20) -> DataFrame:
-    """k-means of one coordinate in each group (a page), seeded evenly over its range; columns numbered left to right."""
+def column_centres(df: DataFrame, group: str, x: str, k: int = 3, steps: int = 300, least: int = 1) -> DataFrame:
+    """df with column: k-means of one coordinate in each group (a page), seeded evenly over its range, until no coordinate
+    changes its centre. Columns are numbered left to right; one of fewer than ``least`` rows goes to the one of most rows,
+    the nearest of those that tie. A group is clustered by its distinct coordinates and how often each occurs, so rows
+    are not gathered; null coordinates have no column."""
     import numpy as np
     import pandas as pd
 
+    kinds = dict(df.dtypes)
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[x].to_numpy(float)
-        c = np.unique(np.linspace(v.min(), v.max(), k))
+        pdf = pdf.sort_values("_x")
+        v, n = pdf["_x"].to_numpy(float), pdf["_n"].to_numpy(float)
+        c, at = np.unique(np.linspace(v[0], v[-1], k)), None
         for _ in range(steps):
-            at = np.abs(v[:, None] - c).argmin(1)
-            c = np.array([v[at == i].mean() if (at == i).any() else c[i] for i in range(len(c))])
-        filled = np.unique(at)
-        rank = {a: i for i, a in enumerate(sorted(filled, key=lambda a: c[a]))}
-        return pdf.assign(column=[rank[a] for a in at])
-
-    return df.groupBy(group).applyInPandas(cluster, df.withColumn("column", F.lit(0)).schema)
+            # ties go to the left centre, as coordinates and centres ascend
+            new = np.searchsorted((c[:-1] + c[1:]) / 2, v, side="left")
+            if at is not None and (new == at).all():
+                break
+            at, sums = new, np.bincount(new, n, len(c))
+            c = np.where(sums > 0, np.bincount(at, n * v, len(c)) / np.maximum(sums, 1), c)
+        filled, column = np.unique(at, return_inverse=True)
+        rows = np.bincount(column, n)
+        to = [i if r >= least else max(range(len(rows)), key=lambda j: (rows[j], -abs(j - i), -j)) for i, r in enumerate(rows)]
+        return pd.DataFrame({"_g": pdf["_g"], "_x": pdf["_x"], "column": np.array(to)[column]})
+
+    found = counts.groupBy("_g").applyInPandas(cluster, f"_g {kinds[group]}, _x {kinds[x]}, column int")
+    return df.join(found, F.col(group).eqNullSafe(F.col("_g")) & (F.col(x) == F.col("_x")), "left").drop("_g", "_x")

@@ -118,29 +118,117 @@ def cer(a: Column, b: Column) -> Column:
     return F.when(F.length(b) == 0, F.lit(float("inf"))).otherwise(F.levenshtein(a, b) / F.length(b))
 
 
-def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """refs (group, pos, ref) and texts (group, idx, text): in order of refs each takes the free text of least cer, the
-    lowest idx on ties. Groups whose sides differ in number get empty text. Scores are made by Spark, the greedy choice
-    by one small frame for each group."""
-    import pandas as pd
-
-    n = refs.groupBy(group).agg(F.count("*").alias("n_refs")).join(texts.groupBy(group).agg(F.count("*").alias("n_texts")), group, "left")
-    pairs = refs.join(texts, group).withColumn("score", cer(F.col("ref"), F.col("text"))).join(n.where("n_refs = n_texts"), group)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for pos, part in pdf.sort_values(["pos", "score", "idx"]).groupby("pos", sort=True):
-            for r in part.itertuples():
-                if r.idx not in used:
-                    used.add(r.idx)
-                    out.append((getattr(r, group), pos, r.ref, r.text))
+class _Free:
+    """The texts of a group that are not taken, found best first: equal ones by name, others by length and shared pairs of
+    letters, which bound the edit distance from below, so most are never compared."""
+
+    def __init__(self, texts: list[str], block: int = 128):
+        import numpy as np
+
+        self.np, self.texts, self.block = np, texts, block
+        self.taken = np.zeros(len(texts), bool)
+        self.equal: dict[str, list[int]] = {}
+        self.length: dict[int, list[int]] = {}
+        for i in range(len(texts) - 1, -1, -1):
+            self.equal.setdefault(texts[i], []).append(i)
+            self.length.setdefault(len(texts[i]), []).append(i)
+        self.left = {n: len(v) for n, v in self.length.items()}
+        self.index: dict[int, tuple] = {}
+
+    @staticmethod
+    def pairs(text: str) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for i in range(len(text) - 1):
+            out[text[i : i + 2]] = out.get(text[i : i + 2], 0) + 1
+        return out
+
+    def _bucket(self, n: int) -> tuple:
+        """(texts of a length, their letters, where each pair occurs and how often), made anew when half are taken."""
+        np = self.np
+        if n not in self.index or 2 * self.left[n] < len(self.index[n][0]):
+            own = [i for i in reversed(self.length[n]) if not self.taken[i]]
+            self.length[n] = own[::-1]
+            places: dict[str, tuple[list, list]] = {}
+            for k, i in enumerate(own):
+                for p, c in self.pairs(self.texts[i]).items():
+                    at = places.setdefault(p, ([], []))
+                    at[0].append(k)
+                    at[1].append(c)
+            letters = np.array([[ord(c) for c in self.texts[i]] for i in own], np.int32).reshape(len(own), n)
+            self.index[n] = (np.array(own, np.int64), letters, {p: (np.array(a), np.array(b)) for p, (a, b) in places.items()})
+        return self.index[n]
+
+    def distances(self, text: list[int], letters) -> object:
+        """The edit distances of a text to texts of one length."""
+        np = self.np
+        row = np.repeat(np.arange(letters.shape[1] + 1, dtype=np.int32)[:, None], len(letters), axis=1)
+        for i, c in enumerate(text, 1):
+            change = row[:-1] + (letters.T != c)
+            new = np.empty_like(row)
+            new[0] = i
+            np.minimum(change, row[1:] + 1, out=new[1:])
+            for k in range(1, len(new)):
+                np.minimum(new[k], new[k - 1] + 1, out=new[k])
+            row = new
+        return row[-1]
+
+    def take(self, ref: str) -> int:
+        """The free text of least cer, the first of those that tie."""
+        np = self.np
+        best = (float("inf"), len(self.texts))
+        same = self.equal.get(ref, []) if ref else []
+        while same and self.taken[same[-1]]:
+            same.pop()
+        if same:
+            best = (0.0, same[-1])
+        letters, own = [ord(c) for c in ref], self.pairs(ref)
+        for n in [] if same else sorted((n for n, k in self.left.items() if n and k), key=lambda n: abs(len(ref) - n) / n):
+            if abs(len(ref) - n) / n > best[0]:
+                break
+            ids, rows, places = self._bucket(n)
+            shared = np.zeros(len(ids), np.int64)
+            for p, c in own.items():
+                if p in places:
+                    shared[places[p][0]] += np.minimum(places[p][1], c)
+            low = np.maximum(abs(len(ref) - n), -(-(max(len(ref), n) - 1 - shared) // 2))
+            low[self.taken[ids]] = 1 << 40
+            order = np.argsort(low, kind="stable")
+            for k in range(0, len(order), self.block):
+                some = order[k : k + self.block]
+                some = some[low[some] / n <= best[0]]
+                some = some[low[some] < 1 << 40]
+                if not len(some):
                     break
-        return pd.DataFrame(out, columns=[group, "pos", "ref", "text"])
+                score = self.distances(letters, rows[some]) / n
+                at = np.lexsort((ids[some], score))[0]
+                best = min(best, (float(score[at]), int(ids[some][at])))
+        if best[1] == len(self.texts):  # only empty texts are left
+            best = (best[0], next(i for i in reversed(self.length[0]) if not self.taken[i]))
+        self.taken[best[1]] = True
+        self.left[len(self.texts[best[1]])] -= 1
+        return best[1]
 
+
+def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
+    """refs (group, pos, ref) and texts (group, idx, text): in order of refs each takes the free text of least cer, the
+    lowest idx on ties. Groups whose sides differ in number get empty text. The choice goes by turns, so a group is one
+    task; it holds the texts and an index of their letter pairs, and no table of all pairs is made."""
+    import pyarrow as pa
+
+    n = refs.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n_refs"))
+    m = texts.groupBy(F.col(group).alias("_h")).agg(F.count("*").alias("n_texts"))
+    sizes = n.join(m, F.col("_g").eqNullSafe(F.col("_h")), "left")
+    marked = refs.join(sizes.select("_g", F.coalesce(F.col("n_refs") == F.col("n_texts"), F.lit(False)).alias("_same")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
     kind = dict(refs.dtypes)
-    chosen = pairs.groupBy(group).applyInPandas(greedy, f"{group} {kind[group]}, pos {kind['pos']}, ref string, text string")
-    rest = refs.join(n.where("n_texts is null or n_refs <> n_texts").select(group), group, "left_semi").select(group, "pos", "ref", F.lit("").alias("text"))
-    return chosen.unionByName(rest)
+
+    def greedy(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.sort_by("idx").column("text").to_pylist() if right.num_rows else []
+        left, free = left.sort_by("pos"), _Free(names)
+        return left.append_column("text", pa.array([names[free.take(r)] for r in left.column("ref").to_pylist()], pa.string()))
+
+    cols = [group, "pos", "ref"]
+    chosen = marked.where("_same").select(*cols).groupBy(group).cogroup(texts.select(F.col(group).alias("_t"), "idx", "text").groupBy("_t")).applyInArrow(greedy, f"{group} {kind[group]}, pos {kind['pos']}, ref string, text string")
+    return chosen.unionByName(marked.where("not _same").select(*cols, F.lit("").alias("text")))
 
 
 def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
