@@ -154,6 +154,8 @@ def parse(data: bytes) -> Media:
 
 
 def _number(data: bytes) -> int:
+    if len(data) > 8:
+        raise ValueError(f"a number of {len(data)} bytes")
     return int.from_bytes(data, "big")
 
 
@@ -161,9 +163,13 @@ def _block(data: bytes, at: int, end: int, m: Media, state: dict, key: bool | No
     track, at, _ = read_vint(data, at)
     if at + 3 > end:
         raise ValueError(f"block cut off at {at}")
+    if track >= 1 << 31:
+        raise ValueError(f"track {track} at {at}")
     when = state.get("time", 0) + int.from_bytes(data[at : at + 2], "big", signed=True)
     flags = data[at + 2]
     step = next((t.get("default_duration", 0) for t in m.tracks if t.get("number") == track), 0)
+    if abs(when) * m.scale + 256 * step >= 1 << 63:
+        raise ValueError(f"time beyond 64 bits at {at}")
     for i, (a, n) in enumerate(unlace(data, at + 3, end, flags >> 1 & 3)):
         m.packets.append((track, when * m.scale + i * step, bool(flags & 0x80) if key is None else key, flags >> 1 & 3, i, len(m.clusters) - 1, a, n))
 
@@ -237,7 +243,8 @@ _CUE_NUMBERS = {CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each packet of each file of df, and one for each faulty file without packets."""
+    """One row for each packet of each file of df, and one for each faulty file without packets. A file whose numbers no
+    column holds (a track of 2^31 and more, times beyond 64 bits, a number of more than 8 bytes) is faulty from there on."""
     names = ["id", "track", "timestamp_ns", "key", "lacing", "lace_index", "cluster", "first_byte", "n_bytes", "error"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()])))
 

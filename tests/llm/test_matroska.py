@@ -63,3 +63,28 @@ def test_deep_nesting_and_faults_without_packets(spark):
     df = spark.createDataFrame([(1, b"\x00junk"), (2, bytearray(M.write_pcm(bytes(64)))), (3, None), (4, b"")], "id long, media binary")
     rows = {r.id: r for r in M.packet_table(df, "id", "media").collect()}
     assert rows.keys() == {1, 2} and rows[1].error and rows[1].track is None and rows[2].error is None
+
+
+def test_hostile_numbers_are_errors(spark):
+    """Numbers that no column holds, and files with bytes changed: rows with an error, and never a failure."""
+    import random
+
+    from loomlake.llm import matroska as M
+
+    block = lambda track, time: M.element(M.SEGMENT, M.element(M.CLUSTER, M.element(M.TIMESTAMP, time) + M.element(M.SIMPLE_BLOCK, M.vint(track) + b"\0\0\x80" + b"abc")))
+    head = M.element(M.EBML, M.element(M.DOC_TYPE, b"matroska"))
+    big = (2**63 - 1).to_bytes(8, "big")
+    files = [head + block(2**40, b"\1"), head + block(1, big), head + block(1, b"\1" * 9), head + block(1, b"\1")]
+    files += [head + M.element(M.SEGMENT, M.element(M.INFO, M.element(M.SCALE, big)) + block(1, b"\1" * 7)[5:])]
+    r, good = random.Random(0), M.write_pcm(bytes(range(256)) * 40)
+    for _ in range(300):
+        bad = bytearray(good)
+        for _ in range(4):
+            bad[r.randrange(len(bad)) if r.random() < 0.5 else r.randrange(200)] = r.randrange(256)
+        files.append(bytes(bad))
+    got = M.packet_table(spark.createDataFrame(list(enumerate(files)), "i long, media binary"), "i", "media").collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.id, []).append(x)
+    assert all(by[i][0].error for i in (0, 1, 2)) and by[3][0].error is None and by[3][0].timestamp_ns == 1_000_000
+    assert all(by[i][0].error == M.parse(f).error for i, f in enumerate(files) if i in by)
