@@ -67,6 +67,19 @@ def rename_key(obj, old: str = "nm", new: str = "name"):
     return fold(obj, on_dict=lambda _, d: {new if k == old else k: v for k, v in d.items()})
 
 
+def name_and_count(obj):
+    """nm becomes name, and the value of a cnt its first whole number, or empty."""
+
+    def member(_, d):
+        d = {"name" if k == "nm" else k: v for k, v in d.items()}
+        if isinstance(d.get("cnt"), dict) and VALUE in d["cnt"]:
+            found = re.search(r"\d+", str(d["cnt"][VALUE]))
+            d["cnt"] = d["cnt"] | {VALUE: found[0] if found else ""}
+        return d
+
+    return fold(obj, on_dict=member)
+
+
 def wrap_objects(obj, key: str):
     """An object under the key becomes a list of that object."""
     return fold(obj, on_dict=lambda _, d: {k: [v] if k == key and isinstance(v, dict) else v for k, v in d.items()})
@@ -245,6 +258,7 @@ json_target_schema = rewrite(target_schema)
 json_wrap_values = rewrite(wrap_values)
 json_remove_bbox = rewrite(remove_key)
 json_rename = rewrite(rename_key)
+json_name_and_count = rewrite(name_and_count)
 json_tree_schema = rewrite(tree_schema)
 json_parse = rewrite(lambda x: x, strict=False)
 json_wrap_items = rewrite(lambda x: wrap_objects(x, "item"))
@@ -284,6 +298,11 @@ def json_denormalize(label: pd.Series, width: pd.Series, height: pd.Series) -> p
     return pd.Series([one(*x) for x in zip(label, width, height)])
 
 
+def required(label: Column) -> Column:
+    """The label; a null or blank one is an error."""
+    return F.when(F.coalesce(F.trim(label), F.lit("")) == "", F.raise_error(F.lit("empty label")).cast("string")).otherwise(label)
+
+
 def pairs_of(text: Column) -> Column:
     """value_box_pairs() as an array of structs."""
     found = [F.regexp_extract_all(text, F.lit(_PAIR.pattern), F.lit(k)) for k in (1, 2)]
@@ -296,6 +315,23 @@ def lock_step(df, *columns: str):
     return df.select(*rest, F.explode(F.arrays_zip(*columns)).alias("_x")).select(*rest, *[F.col(f"_x.{c}").alias(c) for c in columns])
 
 
+def flattened(df, *arrays: str):
+    """One row for each innermost member of nested arrays of structs: each name is an array in the members of the one before.
+    What stands beside an array is repeated; a row whose array is empty or null goes."""
+    for name in arrays:
+        rest = [c for c in df.columns if c != name]
+        df = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(name).alias("_m")).select(*[F.col(f"`{c}`") for c in rest], "_m.*")
+    return df
+
+
+def invoice(label: Column) -> Column:
+    """A bank statement's JSON as items (amount, date, ref) and a total, values as text; no JSON gives null."""
+    parsed = F.from_json(label, "struct<`Closing Balance`:string,Transactions:array<struct<Amount:string,Date:string,Ref:string>>>")
+    items = F.coalesce(F.transform(parsed["Transactions"], lambda t: F.struct(t["Amount"].alias("amount"), t["Date"].alias("date"), t["Ref"].alias("ref"))), F.array())
+    out = F.to_json(F.struct(items.alias("items"), parsed["Closing Balance"].alias("total")), {"ignoreNullFields": "false"})
+    return F.when(F.get_json_object(label, "$").isNotNull(), out)
+
+
 def append_new(entries: Column, more: Column) -> Column:
     """Entries of a key with those added that differ in value or box."""
     return F.array_distinct(F.concat(entries, more))

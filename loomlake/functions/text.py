@@ -56,6 +56,11 @@ LAYOUT_TYPES = {
     "diagram_marking": "image",
 }
 
+# The raw types of office document codes, and of the placeholders and shapes of slides, by their names.
+OFFICE_TYPES = {"T01": "title", "T02": "title", "T03": "text_plain", "T04": "list_item", "V01": "table", "V02": "chart", "V03": "digram", "V04": "picture", "V05": "figure"}
+PLACEHOLDER_TYPES = {"TITLE": "title", "SUBTITLE": "subtitle", "SLIDE_NUMBER": "slide_number", "TABLE": "table", "HEADER": "header"}
+SHAPE_TYPES = {"AUTO_SHAPE": "text", "GROUP": "text", "PICTURE": "figure", "CHART": "chart", "TABLE": "table", "TEXT_BOX": "text"}
+
 # Prompts by task or class.
 PROMPTS = {
     "recognition": "Read text in the image.",
@@ -99,6 +104,16 @@ def document_class(c: Column) -> Column:
     return F.coalesce(mapping(DOCUMENT_CLASSES)[c], F.lit("other"))
 
 
+def office_type(c: Column) -> Column:
+    """The raw type of an office document code, null for others."""
+    return mapping(OFFICE_TYPES)[c]
+
+
+def slide_type(placeholder: Column, shape: Column) -> Column:
+    """The class of a slide's shape: by its placeholder, else by its kind; null for others."""
+    return F.coalesce(mapping(PLACEHOLDER_TYPES)[placeholder], mapping(SHAPE_TYPES)[shape])
+
+
 def prompt(c: Column) -> Column:
     return mapping(PROMPTS)[c]
 

@@ -74,6 +74,16 @@ def collapse_multi(df: DataFrame, group: str, column: str, multi: str = "multi")
     return df.groupBy(group).agg(F.when(F.countDistinct(column) > 1, F.lit(multi)).otherwise(F.max(column)).alias(column))
 
 
+def single_rows(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of the keys with one row; groups are counted, not gathered."""
+    return df.groupBy(key).agg(F.count("*").alias("_n"), F.min(value).alias(value)).where("_n = 1").drop("_n")
+
+
+def middles(df: DataFrame, by: str, column: str) -> DataFrame:
+    """Exact median and mean of a column in each group."""
+    return df.groupBy(by).agg(F.median(column).alias("median"), F.avg(column).alias("mean"))
+
+
 def column_centres(df: DataFrame, group: str, x: str, k: int = 3, steps: int = 300, least: int = 1) -> DataFrame:
     """df with column: k-means of one coordinate in each group (a page), seeded evenly over its range, until no coordinate
     changes its centre. Columns are numbered left to right; one of fewer than ``least`` rows goes to the one of most rows,

@@ -231,9 +231,21 @@ def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
     return chosen.unionByName(marked.where("not _same").select(*cols, F.lit("").alias("text")))
 
 
-def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on several keys, the last row of other for each of them having been chosen before."""
-    return df.join(other, keys)
+def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Inner join on several keys with the last row of other for each of them, in that order; without an order, other has
+    one row for each, which is checked."""
+    if order is None:
+        once = F.when(F.count("*") == 1, F.first(F.struct(*[F.col(f"`{c}`") for c in other.columns]))).otherwise(F.raise_error(F.lit(f"repeated {keys}: name an order")))
+        return df.join(other.groupBy(*keys).agg(once.alias("_r")).select("_r.*"), keys)
+    return df.join(last_by(other, keys, order), keys)
+
+
+def set_union(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, each once, by column name."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out.distinct()
 
 
 def new_assets(incoming: DataFrame, stored: DataFrame, keys=("provider", "dataset", "hash")) -> DataFrame:

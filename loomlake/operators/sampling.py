@@ -56,6 +56,16 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(key, seed), key)
 
 
+def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order, nulls last; each task keeps n."""
+    return df.orderBy(F.asc_nulls_last(order)).limit(n)
+
+
+def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The last n rows in order, the last one first, nulls last."""
+    return df.orderBy(F.desc_nulls_last(order)).limit(n)
+
+
 def natural_key(column: str) -> list[Column]:
     """ORDER BY expressions: the part before the first number, the number, the whole."""
     return [F.regexp_extract(column, r"^([^0-9]*)", 1), F.coalesce(F.expr(f"try_cast(nullif(regexp_extract({column}, '([0-9]+)', 1), '') as bigint)"), F.lit(-1)), F.col(column)]

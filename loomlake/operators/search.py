@@ -134,3 +134,28 @@ def not_blank(column: str) -> Column:
 def not_null_word(column: str) -> Column:
     """Not one of the words that stand for nothing."""
     return F.col(column).isNotNull() & ~F.lower(F.trim(column)).isin("none", "null", "")
+
+
+def bounds(column: str, least=None, most=None, above=None, below=None) -> Column:
+    """A number within bounds that are given; a null number is not."""
+    c, out = F.col(column), F.col(column).isNotNull()
+    for value, test in ((least, c.__ge__), (most, c.__le__), (above, c.__gt__), (below, c.__lt__)):
+        if value is not None:
+            out = out & test(value)
+    return F.coalesce(out, F.lit(False))
+
+
+def within(df: DataFrame, **ranges: tuple) -> DataFrame:
+    """Rows whose columns are within (least, most); None is no bound."""
+    return df.where(reduce(and_, [bounds(c, *r) for c, r in ranges.items()], F.lit(True)))
+
+
+def containing(df: DataFrame, column: str, has: Iterable[str] = (), lacks: Iterable[str] = ()) -> DataFrame:
+    """Rows whose text holds each of ``has`` and none of ``lacks``, as they stand."""
+    tests = [F.contains(F.col(column), F.lit(x)) for x in has] + [~F.contains(F.col(column), F.lit(x)) for x in lacks]
+    return df.where(reduce(and_, tests, F.col(column).isNotNull()))
+
+
+def constant_if_absent(df: DataFrame, name: str, value) -> DataFrame:
+    """A column that an upload has to have, with one value if df brings none."""
+    return df if name in df.columns else df.withColumn(name, F.lit(value))

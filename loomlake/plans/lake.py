@@ -35,6 +35,20 @@ class Lake:
     def upload_task(self, *args, **kw):
         return self.ingest.upload_task(*args, **kw)
 
+    def reupload(self, df: DataFrame, task: str, variant: str, meta: dict | None = None, order: str = "path") -> dict[str, str | None]:
+        """Each dataset of df staged as an upload of its own, under the provider, language and source of its first row in
+        order; what was pending of it is replaced. The rows are written once, by dataset, and each upload reads its own."""
+        from loomlake.sources.scratch import folder
+
+        first = df.groupBy("dataset").agg(F.min_by(F.struct("provider", "lang", "src"), F.struct(F.col(order), "provider", "lang", "src")).alias("r"))
+        path = folder(self.spark)
+        df.write.partitionBy("dataset").parquet(path)
+        rows, out = self.spark.read.schema(df.schema).parquet(path), {}
+        for name, r in first.orderBy("dataset").collect():
+            own = rows.where(F.col("dataset") == name).drop("dataset", "provider", "lang", "src", "task", "variant")
+            out[name] = self.upload_task(own, r.provider, name, task, variant, {"lang": r.lang, "src": r.src} | (meta or {}), overwrite=True)
+        return out
+
     def trigger_processing(self, background: bool = True) -> str:
         return self.jobs.start("process", self.ingest.process_pending, exclusive=True, background=background)
 

@@ -7,6 +7,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from loomlake.functions import jsontree as J
+from loomlake.functions import text as X
 from loomlake.functions.template import compiled
 from loomlake.operators import joins as JN
 from loomlake.operators.lines import CORNERS, line_walk
@@ -89,3 +91,32 @@ def crowded_pages(spark, sf):
     d = lines(spark, sf).selectExpr("l_returnflag as page", "l_orderkey * 10 + l_linenumber as word_id", "l_partkey % 1000 * 20 as x1", "l_orderkey % 5000 * 30 as y1", "l_partkey % 1000 * 20 + 15 as x2", "l_orderkey % 5000 * 30 + 20 as y2")
     s = read(spark, sf, "part").where("p_size % 7 = 0").selectExpr("explode(array('A', 'N', 'R')) as page", "p_partkey as shape_id", "p_partkey % 1000 * 20 - p_size as s_x1", "-100 as s_y1", "p_partkey % 1000 * 20 + 13 as s_x2", "200000 as s_y2")
     return JN.first_container(d, s).select("page", "word_id", "shape_id")
+
+
+@query("""select o_orderkey, to_json({'items': list({'amount': l_quantity::int::varchar, 'date': l_returnflag, 'ref': l_linenumber::varchar} order by l_linenumber, l_quantity, l_returnflag), 'total': o_orderpriority})::varchar label
+from lineitem join orders on l_orderkey = o_orderkey group by o_orderkey, o_orderpriority""")
+def invoice_items(spark, sf):
+    """Orders as bank statements, restructured."""
+    rows = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
+    g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(rows)).alias("r"))
+    t = F.transform("r", lambda x: F.struct(x["q"].alias("Amount"), x["l_returnflag"].alias("Date"), x["l_linenumber"].alias("Ref"), F.lit("x").alias("More")))
+    d = read(spark, sf, "orders").join(g, F.col("l_orderkey") == F.col("o_orderkey"))
+    return d.select("o_orderkey", J.invoice(F.to_json(F.struct(F.col("o_orderpriority").alias("Closing Balance"), t.alias("Transactions")))).alias("label"))
+
+
+@query("""select s_suppkey, case s_nationkey % 10 when 1 then 'title' when 2 then 'title' when 3 then 'text_plain' when 4 then 'list_item' when 5 then 'table' when 6 then 'chart' when 7 then 'digram' when 8 then 'picture' when 9 then 'figure' end office,
+  case s_suppkey % 4 when 0 then 'subtitle' when 1 then 'table' else case s_nationkey % 3 when 0 then 'text' when 1 then 'chart' end end slide from supplier""")
+def office_and_slide_types(spark, sf):
+    codes = F.array(*map(F.lit, ["none", "T01", "T02", "T03", "T04", "V01", "V02", "V03", "V04", "V05"]))
+    placeholder = F.element_at(F.array(*map(F.lit, ["SUBTITLE", "TABLE", "BODY", "none"])), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    shape = F.element_at(F.array(*map(F.lit, ["TEXT_BOX", "CHART", "LINE"])), F.col("s_nationkey") % 3 + 1)
+    d = read(spark, sf, "supplier")
+    return d.select("s_suppkey", X.office_type(codes[F.col("s_nationkey") % 10]).alias("office"), X.slide_type(placeholder, shape).alias("slide"))
+
+
+@query("""select p_partkey, '{"name":{"<|value|>":"' || p_name || '"},"sub":[{"name":null,"cnt":{"<|value|>":"' || case when p_size % 3 = 0 then '' else p_size::varchar end || '","<|bbox|>":[1]}}],"cnt":4}' label from part""")
+def json_counts(spark, sf):
+    """Receipt labels: short names written out, counts cut to their number."""
+    count = F.when(F.col("p_size") % 3 == 0, "some").otherwise(F.concat(F.lit("x "), "p_size", F.lit(" pcs 77")))
+    label = F.concat(F.lit('{"nm":{"<|value|>":"'), "p_name", F.lit('"},"sub":[{"nm":null,"cnt":{"<|value|>":"'), count, F.lit('","<|bbox|>":[1]}}],"cnt":4}'))
+    return read(spark, sf, "part").select("p_partkey", J.json_name_and_count(J.required(label)).alias("label"))
