@@ -61,9 +61,7 @@ def test_no_page_is_read(spark, tmp_path):
 
 
 def test_many_files(spark, tmp_path):
-    for k in range(10_000):
-        put(tmp_path, f"p{k % 4}", k % 40, **({"a": [k], f"c{k % 2}": [str(k)]} if k % 3 else {"a": pa.array([k], pa.int32())})) if k < 40 else None
-    src = [next((tmp_path / LEAF.format(f"p{k % 4}", k)).glob("*.parquet")) for k in range(40)]
+    src = [put(tmp_path, f"p{k % 4}", k, **({"a": [k], f"c{k % 2}": [str(k)]} if k % 3 else {"a": pa.array([k], pa.int32())})) for k in range(40)]
     for k in range(40, 10_000):
         at = src[k % 40]
         (at.parent / f"more{k}.parquet").write_bytes(at.read_bytes())
