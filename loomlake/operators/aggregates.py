@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.sources.readers import PARTITION_KEYS
@@ -84,32 +84,84 @@ def middles(df: DataFrame, by: str, column: str) -> DataFrame:
     return df.groupBy(by).agg(F.median(column).alias("median"), F.avg(column).alias("mean"))
 
 
+def _columns_of(group, v, n, k: int, steps: int, least: int):
+    """The column of each coordinate of many groups at once: group ascends from 0, v ascends in a group, n counts rows."""
+    import numpy as np
+
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    low, high = v[first], v[np.r_[first[1:], len(v)] - 1]
+    with np.errstate(invalid="ignore", over="ignore"):
+        wide = np.isfinite(high - low) & (high > low)
+    c = np.full((len(first), k), np.inf)
+    c[:, 0] = low
+    if wide.any():
+        c[wide] = np.linspace(low[wide], high[wide], k, axis=1)
+        c[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
+        c.sort(axis=1)
+    at = np.full(len(v), -1, np.int64)
+    rows, g, todo = np.arange(len(v)), group, np.arange(len(first))
+    for _ in range(steps):
+        # ties go to the left centre, as coordinates and centres ascend
+        mine, x, w = c[todo], v[rows], n[rows]
+        new = (x[:, None] > ((mine[:, :-1] + mine[:, 1:]) / 2)[g]).sum(axis=1)
+        moved = np.zeros(len(todo), bool)
+        moved[g[new != at[rows]]] = True
+        at[rows] = new
+        if not moved.any():
+            break
+        cell, size = g * k + new, len(todo) * k
+        sums = np.bincount(cell, w, size).reshape(-1, k)
+        mine = np.where(sums > 0, np.bincount(cell, w * x, size).reshape(-1, k) / np.maximum(sums, 1), mine)
+        c[todo[moved]] = mine[moved]
+        # groups whose coordinates stayed are done
+        stay = moved[g]
+        rows, g, todo = rows[stay], (np.cumsum(moved) - 1)[g[stay]], todo[moved]
+    sums = np.bincount(group * k + at, n, len(first) * k).reshape(-1, k)
+    filled = sums > 0
+    number = np.cumsum(filled, axis=1) - 1
+    to = number.copy()
+    for i in range(k) if least > 1 else []:
+        best, score = number[:, i].copy(), np.full((len(first), 2), -np.inf)
+        for j in range(k):
+            own = np.stack([sums[:, j], -np.abs(number[:, j] - number[:, i])], axis=1)
+            better = filled[:, j] & ((own[:, 0] > score[:, 0]) | (own[:, 0] == score[:, 0]) & (own[:, 1] > score[:, 1]))
+            best[better], score[better] = number[better, j], own[better]
+        to[:, i] = np.where(sums[:, i] < least, best, number[:, i])
+    return to[group, at]
+
+
 def column_centres(df: DataFrame, group: str, x: str, k: int = 3, steps: int = 300, least: int = 1) -> DataFrame:
     """df with column: k-means of one coordinate in each group (a page), seeded evenly over its range, until no coordinate
     changes its centre. Columns are numbered left to right; one of fewer than ``least`` rows goes to the one of most rows,
     the nearest of those that tie. A group is clustered by its distinct coordinates and how often each occurs, so rows
-    are not gathered; null coordinates have no column."""
+    are not gathered; null coordinates have no column. Groups follow each other in sorted partitions, and those of a batch
+    are clustered together, as most pages are small."""
     import numpy as np
-    import pandas as pd
-
-    kinds = dict(df.dtypes)
-    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_x")
-        v, n = pdf["_x"].to_numpy(float), pdf["_n"].to_numpy(float)
-        c, at = np.unique(np.linspace(v[0], v[-1], k)), None
-        for _ in range(steps):
-            # ties go to the left centre, as coordinates and centres ascend
-            new = np.searchsorted((c[:-1] + c[1:]) / 2, v, side="left")
-            if at is not None and (new == at).all():
-                break
-            at, sums = new, np.bincount(new, n, len(c))
-            c = np.where(sums > 0, np.bincount(at, n * v, len(c)) / np.maximum(sums, 1), c)
-        filled, column = np.unique(at, return_inverse=True)
-        rows = np.bincount(column, n)
-        to = [i if r >= least else max(range(len(rows)), key=lambda j: (rows[j], -abs(j - i), -j)) for i, r in enumerate(rows)]
-        return pd.DataFrame({"_g": pdf["_g"], "_x": pdf["_x"], "column": np.array(to)[column]})
-
-    found = counts.groupBy("_g").applyInPandas(cluster, f"_g {kinds[group]}, _x {kinds[x]}, column int")
+    import pyarrow as pa
+
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(x).alias("_x")).agg(F.count("*").cast("double").alias("_n"))
+    counts = counts.withColumn("_v", F.col("_x").cast("double")).withColumn("_k", F.row_number().over(Window.partitionBy("_g").orderBy("_x")) == 1)
+
+    def cluster(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        v, n, new = (t.column(c).to_numpy() for c in ("_v", "_n", "_k"))
+        found = _columns_of(np.cumsum(new) - 1, v, n, k, steps, least)
+        return t.select(["_g", "_x"]).append_column("column", pa.array(found, pa.int32()))
+
+    def run(batches):
+        held = []
+        for b in batches:
+            last = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False)) if b.num_rows else []
+            if len(last) and (held or last[-1]):  # the last group may go on in the next batch
+                ready = [*held, b.slice(0, last[-1])]
+                if sum(r.num_rows for r in ready):
+                    yield from cluster(ready).to_batches()
+                held = [b.slice(last[-1])]
+            elif b.num_rows:
+                held.append(b)
+        if held:
+            yield from cluster(held).to_batches()
+
+    schema = counts.select("_g", "_x").schema.add("column", "integer")
+    found = counts.select("_g", "_x", "_n", "_k", "_v").mapInArrow(run, schema)
     return df.join(found, F.col(group).eqNullSafe(F.col("_g")) & (F.col(x) == F.col("_x")), "left").drop("_g", "_x")
