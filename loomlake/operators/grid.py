@@ -15,13 +15,15 @@ Axis = tuple[str, str]
 
 
 def cell_sizes(sides: list[tuple[DataFrame, list[Axis]]], by: list[str]) -> DataFrame:
-    """The cell's extent along each axis for each group: the mean of what lies in it, but no more cells in the whole group
-    than it has rows. So a grid has about as many entries as rows, and an entry for each row that a large one overlaps."""
+    """The cell's extent along each axis for each group: the mean of the side whose rows are larger, but no more cells in the
+    whole group than it has rows. So a grid has about as many entries as rows, also where few large rows meet many small
+    ones, and an entry for each cell that a row of uncommon size overlaps."""
     n = len(sides[0][1])
-    rows = [df.select(*by, *[c for i, (lo, hi) in enumerate(axes) for c in (F.col(lo).cast("double").alias(f"_lo{i}"), F.col(hi).cast("double").alias(f"_hi{i}"))]) for df, axes in sides]
+    rows = [df.select(*by, F.lit(k).alias("_side"), *[c for i, (lo, hi) in enumerate(axes) for c in (F.col(lo).cast("double").alias(f"_lo{i}"), F.col(hi).cast("double").alias(f"_hi{i}"))]) for k, (df, axes) in enumerate(sides)]
     every = reduce(DataFrame.unionByName, rows).where(reduce(and_, [F.col(f"_lo{i}") <= F.col(f"_hi{i}") for i in range(n)]))
     side = F.least(F.ceil(F.pow(F.count("*"), F.lit(1.0 / n))), F.lit(MOST_CELLS))
-    size = lambda i: F.greatest(F.avg(F.col(f"_hi{i}") - F.col(f"_lo{i}")), (F.max(f"_hi{i}") - F.min(f"_lo{i}")) / side)
+    mean = lambda i: [F.avg(F.when(F.col("_side") == k, F.col(f"_hi{i}") - F.col(f"_lo{i}"))) for k in range(len(sides))]
+    size = lambda i: F.greatest(*mean(i), (F.max(f"_hi{i}") - F.min(f"_lo{i}")) / side)
     return every.groupBy(*by).agg(*[F.coalesce(F.nullif(size(i), F.lit(0.0)), F.lit(1.0)).alias(f"_w{i}") for i in range(n)])
 
 
@@ -45,6 +47,8 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_axes: li
     a = in_cells(left, sizes, by, left_axes)
     b = in_cells(right, sizes, by, right_axes).drop(*[f"_w{i}" for i in range(len(cells))])
     b = b.select(*[F.col(k).alias(f"_r_{k}") for k in [*by, *cells]], *[c for c in b.columns if c not in by and c not in cells])
+    # the size of exploded rows is not known to Spark, which would broadcast them
+    b = b.hint("merge")
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if k in by else F.col(k) == F.col(f"_r_{k}") for k in [*by, *cells]]
     meet = [(F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1)) for (l0, l1), (r0, r1) in zip(left_axes, right_axes)]
     if how == "inner":

@@ -56,18 +56,21 @@ def span_boxes(spans: DataFrame, tokens: DataFrame, doc: str = "doc_id") -> Data
 
 def first_container(words: DataFrame, shapes: DataFrame, least: float = 0.85, page: str = "page") -> DataFrame:
     """words (page, word_id, x1..y2) x shapes (page, shape_id, s_x1..s_y2): the first shape holding more than `least` of
-    a word's area, null if none does."""
+    a word's area, null if none does. Words of one place have one answer, and of shapes of one place only the first can
+    be one, so places are joined, each once."""
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     inter = F.greatest(F.lit(0), F.least("x2", "s_x2") - F.greatest("x1", "s_x1")) * F.greatest(F.lit(0), F.least("y2", "s_y2") - F.greatest("y1", "s_y1"))
-    own = words.select(page, "word_id", "x1", "y1", "x2", "y2").where(area > 0)
+    box, held = ["x1", "y1", "x2", "y2"], ["s_x1", "s_y1", "s_x2", "s_y2"]
+    own = words.select(page, *box).where(area > 0).distinct()
+    firsts = shapes.groupBy(page, *held).agg(F.min("shape_id").alias("shape_id"))
     if least >= 0.5:  # such a shape holds the word's middle, which is in one cell
         own = own.withColumns({"_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2})
         axes = [("_mx", "_mx"), ("_my", "_my")]
     else:
         axes = [("x1", "x2"), ("y1", "y2")]
-    hit = overlap_join(own, shapes.select(page, "shape_id", "s_x1", "s_y1", "s_x2", "s_y2"), [page], axes, [("s_x1", "s_x2"), ("s_y1", "s_y2")], inter > least * area)
-    first = hit.groupBy(page, "word_id").agg(F.min("shape_id").alias("shape_id"))
-    return words.join(first, [page, "word_id"], "left")
+    hit = overlap_join(own, firsts, [page], axes, [("s_x1", "s_x2"), ("s_y1", "s_y2")], inter > least * area)
+    first = hit.groupBy(page, *box).agg(F.min("shape_id").alias("shape_id"))
+    return words.join(first, [page, *box], "left").select(*words.columns, "shape_id")
 
 
 def y_overlaps(a1: Column, a2: Column, b1: Column, b2: Column, least: float = 0.2) -> Column:

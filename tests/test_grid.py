@@ -62,3 +62,12 @@ def test_a_document_of_many_tokens(spark):
     spans = spark.range(20_000).selectExpr("0 as doc_id", "id as span_id", "id * 25 as start", "id * 25 + 12 as end").unionByName(spark.createDataFrame([(0, 20_000, 0, 5 * n)], "doc_id int, span_id long, start long, end long"))
     got = J.span_boxes(spans, tokens)
     assert got.where(f"not (x1 = if(span_id = 20000, 0, span_id * 5) and x2 = if(span_id = 20000, {n}, span_id * 5 + 3))").count() == 0 and got.count() == 20_001
+
+
+def test_copies_of_words_and_shapes(spark):
+    """50,000 words and 50,000 shapes of one place: joined by place, as their pairs would be 2.5 billion."""
+    n = 50_000
+    words = spark.range(n).selectExpr("id % 1 as page", "id as word_id", "id % 1 as x1", "id % 1 as y1", "id % 1 + 10 as x2", "id % 1 + 10 as y2")
+    shapes = spark.range(n).selectExpr("id % 1 as page", "id + 7 as shape_id", "id % 1 as s_x1", "id % 1 as s_y1", "id % 1 + 10 as s_x2", "id % 1 + 10 as s_y2")
+    t = time.time()
+    assert J.first_container(words, shapes).where("shape_id = 7").count() == n and time.time() - t < 30
