@@ -123,20 +123,29 @@ def cer(a: Column, b: Column) -> Column:
 
 class _Free:
     """The texts of a group that are not taken, found best first: equal ones by name, others by length and shared pairs of
-    letters, which bound the edit distance from below, so most are never compared."""
+    letters, which bound the edit distance from below, so most are never compared. Copies of a text are one entry with a
+    stack of places, and the nearest entries of a reference are kept for its next copy: they stay the nearest until the
+    last of them is taken."""
+
+    #: Entries that tie, beyond which they are sought again and not kept.
+    KEPT = 64
 
     def __init__(self, texts: list[str], block: int = 128):
         import numpy as np
 
-        self.np, self.texts, self.block = np, texts, block
-        self.taken = np.zeros(len(texts), bool)
-        self.equal: dict[str, list[int]] = {}
+        self.np, self.block = np, block
+        places: dict[str, list[int]] = {}
+        for i, t in enumerate(texts):
+            places.setdefault(t, []).append(i)
+        self.texts, self.copies = list(places), [x[::-1] for x in places.values()]
+        self.equal = {t: i for i, t in enumerate(self.texts)}
+        self.taken = np.zeros(len(self.texts), bool)
         self.length: dict[int, list[int]] = {}
-        for i in range(len(texts) - 1, -1, -1):
-            self.equal.setdefault(texts[i], []).append(i)
-            self.length.setdefault(len(texts[i]), []).append(i)
+        for i in range(len(self.texts) - 1, -1, -1):
+            self.length.setdefault(len(self.texts[i]), []).append(i)
         self.left = {n: len(v) for n, v in self.length.items()}
         self.index: dict[int, tuple] = {}
+        self.known: dict[str, list[int]] = {}
 
     @staticmethod
     def pairs(text: str) -> dict[str, int]:
@@ -175,18 +184,15 @@ class _Free:
             row = new
         return row[-1]
 
-    def take(self, ref: str) -> int:
-        """The free text of least cer, the first of those that tie."""
+    def nearest(self, ref: str) -> list[int]:
+        """The entries of least cer that are free."""
         np = self.np
-        best = (float("inf"), len(self.texts))
-        same = self.equal.get(ref, []) if ref else []
-        while same and self.taken[same[-1]]:
-            same.pop()
-        if same:
-            best = (0.0, same[-1])
+        if ref and ref in self.equal and not self.taken[self.equal[ref]]:
+            return [self.equal[ref]]
+        best, tied = float("inf"), []
         letters, own = [ord(c) for c in ref], self.pairs(ref)
-        for n in [] if same else sorted((n for n, k in self.left.items() if n and k), key=lambda n: abs(len(ref) - n) / n):
-            if abs(len(ref) - n) / n > best[0]:
+        for n in sorted((n for n, k in self.left.items() if n and k), key=lambda n: abs(len(ref) - n) / n):
+            if abs(len(ref) - n) / n > best:
                 break
             ids, rows, places = self._bucket(n)
             shared = np.zeros(len(ids), np.int64)
@@ -198,18 +204,26 @@ class _Free:
             order = np.argsort(low, kind="stable")
             for k in range(0, len(order), self.block):
                 some = order[k : k + self.block]
-                some = some[low[some] / n <= best[0]]
+                some = some[low[some] / n <= best]
                 some = some[low[some] < 1 << 40]
                 if not len(some):
                     break
                 score = self.distances(letters, rows[some]) / n
-                at = np.lexsort((ids[some], score))[0]
-                best = min(best, (float(score[at]), int(ids[some][at])))
-        if best[1] == len(self.texts):  # only empty texts are left
-            best = (best[0], next(i for i in reversed(self.length[0]) if not self.taken[i]))
-        self.taken[best[1]] = True
-        self.left[len(self.texts[best[1]])] -= 1
-        return best[1]
+                if score.min() < best:
+                    best, tied = float(score.min()), []
+                tied += ids[some[score == best]].tolist()
+        return tied or [self.equal[""]]  # only empty texts are left
+
+    def take(self, ref: str) -> int:
+        """The free text of least cer, the first of those that tie."""
+        tied = [i for i in self.known.get(ref, ()) if not self.taken[i]] or self.nearest(ref)
+        self.known[ref] = tied if len(tied) <= self.KEPT else []
+        best = min(tied, key=lambda i: self.copies[i][-1])
+        place = self.copies[best].pop()
+        if not self.copies[best]:
+            self.taken[best] = True
+            self.left[len(self.texts[best])] -= 1
+        return place
 
 
 def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:

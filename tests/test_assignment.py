@@ -97,3 +97,15 @@ def test_columns_of_many_small_pages(spark):
     some = out.where("page % 2000 = 7").orderBy("page", "i").collect()
     for k in range(0, len(some), 4):
         assert [p.column for p in some[k : k + 4]] == lloyd([p.x for p in some[k : k + 4]], 3, 2)
+
+
+def test_copies_that_differ_from_all_texts():
+    """40,000 references of few kinds, none equal to a text: each kind is sought once, not each of its copies."""
+    names = [f"{a}{b}{c}" for a in ("large", "small", "hot", "old") for b in (" ring ", " bolt ", " plate ") for c in ("one", "two", "three")]
+    texts = [names[i % len(names)] for i in range(40_000)]
+    t, free = time.time(), _Free(texts)
+    got = [free.take(x[1:]) for x in texts]
+    assert sorted(got) == list(range(40_000)) and time.time() - t < 10
+    few = texts[:300]
+    free = _Free(few)
+    assert [free.take(x[1:]) for x in few] == plain([x[1:] for x in few], few)
