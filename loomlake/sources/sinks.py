@@ -21,8 +21,9 @@ def write_catalog(df: DataFrame, root: str, metadata: dict) -> str:
 
 
 def write_catalog_partitions(df: DataFrame, root: str) -> None:
-    """Overwrite just the partitions that df has rows of."""
-    df.repartition(*PARTITION_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(root)
+    """Overwrite just the partitions that df has rows of. Spark splits the large ones among tasks by their measured size, and
+    each of these writes a file of its own."""
+    df.hint("rebalance", *PARTITION_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_KEYS).parquet(root)
 
 
 def write_json(spark, path: str, value) -> None:

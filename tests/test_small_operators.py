@@ -63,3 +63,18 @@ def test_reupload(spark, tmp_path):
     assert sorted(map(tuple, lake.partitions().collect())) == [("test", f"d{k}", "ocr", "again", 10) for k in range(3)]
     found = lake.search(datasets="d1")
     assert sorted(r.label for r in found.collect()) == sorted(f"label {i}" for i in range(30) if i % 3 == 1)
+
+
+def test_catalogue_partition_in_several_tasks(spark, tmp_path):
+    """A partition that holds most rows is written by several tasks, each a file, and not by one that grows with it."""
+    from loomlake.sources.sinks import write_catalog_partitions
+
+    keys = {"provider": "'a'", "dataset": "if(id % 1000 = 0, 'few', 'many')", "task": "'t'", "variant": "'v'"}
+    d = spark.range(400_000).selectExpr("id", "sha2(cast(id as string), 256) as h", *[f"{v} as {k}" for k, v in keys.items()])
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        write_catalog_partitions(d, str(tmp_path / "c"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "c/provider=a/dataset=many").rglob("*.parquet"))) > 2
+    assert spark.read.parquet(str(tmp_path / "c")).selectExpr("count(*)", "count(distinct id)", "count_if(dataset = 'few')").first() == (400_000, 400_000, 400)
