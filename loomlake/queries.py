@@ -507,7 +507,7 @@ _LABEL = """'{"item":[{"nm":{"<|value|>":"' || p_name || '","<|bbox|>":[0.1,0.2,
 
 
 def _labels(spark, sf) -> DataFrame:
-    return read(spark, sf, "part").select("p_partkey", F.expr(_LABEL.replace("p_size ||", "cast(p_size as string) ||")).alias("label"))
+    return H.spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", F.expr(_LABEL.replace("p_size ||", "cast(p_size as string) ||")).alias("label"))
 
 
 _BOX = '{"<|value|>":"\' || p_name || \'","<|bbox|>":[0.1,0.2,0.3,0.4]}'

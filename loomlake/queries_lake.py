@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.functions.tables import spread
 from loomlake.operators import aggregates as A
 from loomlake.operators import search as SR
 from loomlake.plans import exporters as E
@@ -163,7 +164,7 @@ def export_layout(spark, sf):
 @query(f"""with {_SIZED} select p_partkey || '.jpg' image, '{{"nm":{{"<|value|>":"' || p_name || '","<|bbox|>":[0,' || h // 2 || ',' || w // 2 || ',' || h || ']}}}}' answer, true asks from p""")
 def export_kie(spark, sf):
     label = F.concat(F.lit('{"nm":{"<|value|>":"'), "p_name", F.lit('","<|bbox|>":[0,0.5,0.5,1]},"none":null}'))
-    d = read(spark, sf, "part").select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
+    d = spread(read(spark, sf, "part")).select(F.concat("p_partkey", F.lit(".jpg")).alias("path"), (F.col("p_size") * 28).alias("width"), F.lit(56).alias("height"), label.alias("label"))
     out = E.kie(d)
     return out.select(F.col("images")[0].alias("image"), F.col("messages")[1]["content"].alias("answer"), F.endswith(F.col("messages")[0]["content"], F.lit('\n{"nm":{"<|value|>":"","<|bbox|>":[]}}')).alias("asks"))
 

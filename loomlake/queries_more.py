@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import jsontree as J
 from loomlake.functions import text as X
+from loomlake.functions.tables import spread
 from loomlake.functions.template import compiled
 from loomlake.operators import joins as JN
 from loomlake.operators.lines import CORNERS, line_walk
@@ -119,4 +120,4 @@ def json_counts(spark, sf):
     """Receipt labels: short names written out, counts cut to their number."""
     count = F.when(F.col("p_size") % 3 == 0, "some").otherwise(F.concat(F.lit("x "), "p_size", F.lit(" pcs 77")))
     label = F.concat(F.lit('{"nm":{"<|value|>":"'), "p_name", F.lit('"},"sub":[{"nm":null,"cnt":{"<|value|>":"'), count, F.lit('","<|bbox|>":[1]}}],"cnt":4}'))
-    return read(spark, sf, "part").select("p_partkey", J.json_name_and_count(J.required(label)).alias("label"))
+    return spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", J.json_name_and_count(J.required(label)).alias("label"))

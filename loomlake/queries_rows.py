@@ -264,7 +264,7 @@ _TREE = f"""'{{"item":{{"nm":' || {_LEAF} || '}},"n":' || p_size || ',"none":nul
 
 
 def _trees(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.expr(_TREE.replace("|| p_size ||", "|| cast(p_size as string) ||")).alias("label"))
+    return H.spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", F.expr(_TREE.replace("|| p_size ||", "|| cast(p_size as string) ||")).alias("label"))
 
 
 @query("""select p_partkey, '{"item":{"nm":{"<|value|>":"' || p_name || '"}},"n":' || p_size || ',"none":null}' bare,
@@ -279,13 +279,13 @@ def json_keys(spark, sf):
 @query("""select p_partkey, '{"a":{"<|value|>":"' || p_name || '","<|bbox|>":""},"b":[{"<|value|>":' || p_size || ',"<|bbox|>":""}]}' label from part""")
 def json_wrap_values(spark, sf):
     plain = F.concat(F.lit('{"a":"'), "p_name", F.lit('","b":['), F.col("p_size").cast("string"), F.lit("]}"))
-    return read(spark, sf, "part").select("p_partkey", J.json_wrap_values(plain).alias("label"))
+    return H.spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", J.json_wrap_values(plain).alias("label"))
 
 
 @query("""select p_partkey, case p_size % 3 when 0 then '{"a":' || p_size || '}' when 1 then '{"a":["x",null]}' else '{}' end parsed from part""")
 def json_safe_parse(spark, sf):
     text = F.expr("case p_size % 3 when 0 then concat('{\"a\": ', cast(p_size as string), '}') when 1 then \"{'a': ('x', None)}\" else concat('{', p_name) end")
-    return read(spark, sf, "part").select("p_partkey", J.json_parse(text).alias("parsed"))
+    return H.spread(read(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", J.json_parse(text).alias("parsed"))
 
 
 @query("select p_partkey, p_name \"value\", '[1,' || p_size || ']' bbox from part union all select p_partkey, 'z', '' from part")

@@ -78,3 +78,16 @@ def test_catalogue_partition_in_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "c/provider=a/dataset=many").rglob("*.parquet"))) > 2
     assert spark.read.parquet(str(tmp_path / "c")).selectExpr("count(*)", "count(distinct id)", "count_if(dataset = 'few')").first() == (400_000, 400_000, 400)
+
+
+def test_slow_work_is_spread(spark, tmp_path):
+    """A file of one row group is dealt to tasks that all have rows, though Spark sees several splits."""
+    from loomlake.functions.tables import spread
+
+    spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        parts = spread(spark.read.parquet(str(tmp_path / "p"))).selectExpr("spark_partition_id() p").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) >= 4 and max(p["count"] for p in parts) < 20_000
