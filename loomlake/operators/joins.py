@@ -248,12 +248,16 @@ def assign_by_cer(refs: DataFrame, texts: DataFrame, group: str) -> DataFrame:
     return chosen.unionByName(marked.where("not _same").select(*cols, F.lit("").alias("text")))
 
 
-def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+def composite_lookup(df: DataFrame, other: DataFrame, keys: list[str], order: str | None = None, per_task: int = 250_000) -> DataFrame:
     """Inner join on several keys with the last row of other for each of them, in that order; without an order, other has
-    one row for each, which is checked."""
+    one row for each, which is checked. Rows are sorted by key, so both sides are dealt to a task for each ``per_task`` rows
+    of other, where these are more than the session's number of tasks, which does not grow with the table."""
     if order is None:
         once = F.when(F.count("*") == 1, F.first(F.struct(*[F.col(f"`{c}`") for c in other.columns]))).otherwise(F.raise_error(F.lit(f"repeated {keys}: name an order")))
         return df.join(other.groupBy(*keys).agg(once.alias("_r")).select("_r.*"), keys)
+    tasks = -(-other.count() // per_task)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df, other = df.repartition(tasks, *keys), other.repartition(tasks, *keys)
     return df.join(last_by(other, keys, order), keys)
 
 

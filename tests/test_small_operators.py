@@ -91,3 +91,14 @@ def test_slow_work_is_spread(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(parts) >= 4 and max(p["count"] for p in parts) < 20_000
+
+
+def test_composite_lookup_deals_large_tables(spark):
+    """More rows than the session's tasks are to sort: tasks by the number of rows, and the same rows."""
+    from loomlake.operators.joins import composite_lookup
+
+    left = spark.range(20_000).selectExpr("id div 10 as a", "id % 10 as b")
+    other = left.selectExpr("a", "b", "concat('v', a) as v", "1 as at").union(left.selectExpr("a", "b", "'last'", "2"))
+    got = composite_lookup(left, other, ["a", "b"], "at", per_task=1_000)
+    assert got.rdd.getNumPartitions() == 40
+    assert got.selectExpr("count(*)", "count_if(v = 'last')").first() == (20_000, 20_000)
