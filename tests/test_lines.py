@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 
@@ -95,3 +96,19 @@ def test_pages_that_are_turned(spark):
     assert {(r.page, round(r.angle, 6)) for r in got if r.page < 9} == {(0, 0.0), (1, 7.0), (2, -12.0), (3, 33.0), (4, 85.0)}
     plain = L.line_walk(df.where("page = 4"), auto_rotate=False)
     assert {(4, r.word_id): (r.line, r.place) for r in plain.collect()} != {k: v for k, v in want.items() if k[0] == 4}
+
+
+def test_small_pages_walk_together(spark):
+    """Pages of all sizes in one call, each as when it walks alone over pixels; and 60,000 small ones within seconds."""
+    r, pages = random.Random(3), []
+    for k in range(120):
+        quads = np.array([turn(q, r.uniform(-20, 20) * (k % 2), 150, 100) for q in words(r, rows=r.randrange(1, 6), columns=r.randrange(1, 5), jitter=12)] or [[(9, 9)] * 4]).astype(int)
+        quads = quads + np.maximum(0, -quads.reshape(-1, 2).min(axis=0))
+        pages.append(quads[np.argsort(quads[:, :, 1].mean(axis=1), kind="stable")])
+    n = np.array([len(p) for p in pages])
+    got = L.walk_together(np.concatenate(pages), np.cumsum(n) - n)
+    assert [x.tolist() for x in np.split(got, np.cumsum(n)[:-1])] == [by_pixels(p) for p in pages]
+    x, y = "(id * 37 % 8 * 60 + 100)", "(id * 11 % 6 * 40 + 100)"
+    df = spark.range(240_000).selectExpr("id div 4 as page", "id % 4 as word_id", *[f"cast({e} as double) as {c}" for c, e in zip(L.CORNERS, [x, y, f"{x} + 50", y, f"{x} + 50", f"{y} + 20", x, f"{y} + 20"])], "800 as width", "600 as height")
+    t = time.time()
+    assert L.line_walk(df).where("line between 1 and 4 and place between 1 and 4").count() == 240_000 and time.time() - t < 40
