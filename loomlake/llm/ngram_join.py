@@ -44,6 +44,8 @@ WORDS = 5
 CELL_BITS, SLICE_BITS = 22, 16
 NODE_BITS = 24
 BUCKETS = 512
+#: Sets of a task whose copies are known, at most.
+NOTED = 200_000
 #: Keys of more vertices are compared in blocks; keys that a vertex brings along there, and what stands for none.
 FEW = 16
 LOWEST, _LAST = 16, (1 << 63) - 1
@@ -149,8 +151,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 lo.append(sig[0])
                 hi.append(sig[1])
-                if sig[0] not in seen and len(seen) < 200_000:
-                    seen.add(sig[0])
+                if sig[0] not in seen:
+                    if len(seen) < NOTED:  # copies of what is not noted are counted again, as of other texts
+                        seen.add(sig[0])
                     held.append(s & U((1 << CELL_BITS) - 1))
                     total += len(s)
             if sum(map(len, held)) > 1_000_000:
@@ -225,7 +228,7 @@ def index_keys(docs: DataFrame, frequent, percent: int, k: int) -> DataFrame:
                 n = len(s)
                 if not n or (sig := signature(s)) in seen:
                     continue
-                if len(seen) < 200_000:  # what is not noted goes through twice, to no harm
+                if len(seen) < NOTED:  # what is not noted goes through twice, to no harm
                     seen.add(sig)
                 rare = s[~has(bits, (s & U((1 << CELL_BITS) - 1)).astype(np.int64))]
                 p = n - -(-percent * n // 100) + 1

@@ -92,3 +92,15 @@ def test_edge_tables(spark):
     got = sorted(map(tuple, J.join_components(df).collect()), key=str)
     assert got == sorted([(None, 1, None), (4, 1, 4), (4, 1, 4), (9, 1, 4)], key=str)
     assert sorted(r.doc_id or 0 for r in J.first_of_each(df).collect()) == [0, 4, 4]
+
+
+def test_all_sets_are_counted_and_linked_beyond_those_noted(spark, monkeypatch):
+    """A task notes a few sets only: the others are still counted, and links are the same."""
+    monkeypatch.setattr(J, "NOTED", 5)
+    words = lambda i: " ".join(f"w{i // 2}x{j}" for j in range(60))
+    rows = [(i, words(i) + (" end" if i % 2 else "")) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    total = J.sketch(df).where("total is not null").selectExpr("sum(total)").first()[0]
+    assert total == sum(len(J.shingle_sets([t.encode()])[0]) for _, t in rows)
+    got = {r.doc_id: r.component_id for r in J.join_components(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
