@@ -37,8 +37,8 @@ from loomlake.llm.common import batches, cut, drop_cut, mix64, ragged, release,
 from loomlake.llm.token_fst import encoder, groups
 
 K1, B = 1.2, 0.75
-_LOW = (1 << 32) - 1
 U = np.uint64
+_LAST = U((1 << 64) - 1)
 _ODD = mix64(np.arange(1, 4, dtype=U)) | U(1)
 _SALTS = mix64(np.arange(11, 19, dtype=U))
 
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             e = encoder(path)
             kind = np.uint32 if max(max(e.bytes_of), end_id) >= 1 << 16 else np.uint16
             texts = texts_of(b.column(1))
-            for i, j in groups(texts, 500_000):
+            for i, j in groups(texts):
                 ids = [np.append(x, end_id).astype(kind) for x in e.encode(texts[i:j])]
                 k = j - i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array(part << 33 | np.arange(row, row + k)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], schema=_TOKENS)
@@ -76,18 +76,27 @@ def read_ids(ids: bytes, n: int) -> np.ndarray:
 
 
 def _some(column: pa.Array, n: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The ids of documents, about a million at a time."""
+    """The ids of documents, about 150,000 at a time: their arrays stay in a core's cache."""
     held, size = [], 0
     for x, k in zip(column, n.to_pylist()):
         held.append(read_ids(x.as_buffer(), k))
         size += k
-        if size > 500_000:
+        if size > 150_000:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
+def _pairs(ids: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """The number of each document and its ids in one number each, and the bits of an id: 32 bits where both fit."""
+    size = [len(x) for x in ids]
+    flat = np.concatenate(ids)
+    if flat.dtype == np.uint16 and len(ids) < 1 << 16:
+        return np.repeat(np.arange(len(ids), dtype=np.uint32) << np.uint32(16), size) | flat, 16
+    return np.repeat(np.arange(len(ids)) << 32, size) | flat.astype(np.int64), 32
+
+
 def inverse_frequencies(tokens: DataFrame) -> tuple[np.ndarray, float]:
     """The weight of each vocabulary id and the mean number of ids of a document."""
 
@@ -95,8 +104,8 @@ def inverse_frequencies(tokens: DataFrame) -> tuple[np.ndarray, float]:
         seen = np.zeros(0, np.int64)
         for b in batches(rows):
             for ids in _some(b.column(1), b.column(0)):
-                doc, flat = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids).astype(np.int64)
-                n = np.bincount(np.unique(doc << 32 | flat) & _LOW)
+                pair, bits = _pairs(ids)
+                n = np.bincount(np.unique(pair) & pair.dtype.type((1 << bits) - 1))
                 if len(n) > len(seen):
                     seen = np.concatenate([seen, np.zeros(len(n) - len(seen), np.int64)])
                 seen[: len(n)] += n
@@ -122,17 +131,23 @@ def describe(ids: list[np.ndarray], idf: np.ndarray, mean: float, terms: int):
     size = np.array([len(x) for x in ids], np.int64)
     first = np.cumsum(size) - size
     flat = np.concatenate(ids).astype(np.int64)
-    doc = np.repeat(np.arange(len(ids)), size)
-    left = (first + size)[doc] - np.arange(len(flat))
-    h = (flat + 1).astype(U) * _ODD[0]
-    for k in (1, 2):
-        after = np.zeros(len(flat), np.int64)
-        after[:-k] = flat[k:] + 1
-        h += np.where(left > k, after, 0).astype(U) * _ODD[k]
-    whole = (left >= 3) | (np.arange(len(flat)) == first[doc])
-    keys = [np.minimum.reduceat(np.where(whole, mix64(h ^ _SALTS[k]), U((1 << 64) - 1)), first).view(np.int64) for k in range(2)]
-    pair, tf = np.unique(doc << 32 | flat, return_counts=True)
-    doc, term = pair >> 32, pair & _LOW
+    h, after = (flat + 1).astype(U), (flat[1:] + 1).astype(U)
+    h *= _ODD[0]
+    h[:-1] += after * _ODD[1]
+    h[:-2] += after[1:] * _ODD[2]
+    # of a document's last two places none is the start of a trigram; a document of fewer ids is one by itself
+    last, small = first + size - 1, size < 3
+    no = np.concatenate([last, last[~small] - 1])
+    own = np.array([sum((int(i) + 1) * int(o) for i, o in zip(x, _ODD)) % (1 << 64) for x in map(ids.__getitem__, np.flatnonzero(small))], U)
+    keys = []
+    for k in range(2):
+        m = mix64(h ^ _SALTS[k])
+        m[no] = _LAST
+        m[first[small]] = mix64(own ^ _SALTS[k])
+        keys.append(np.minimum.reduceat(m, first).view(np.int64))
+    pair, bits = _pairs(ids)
+    pair, tf = np.unique(pair, return_counts=True)
+    doc, term = (pair >> pair.dtype.type(bits)).astype(np.int64), (pair & pair.dtype.type((1 << bits) - 1)).astype(np.int64)
     count = np.bincount(doc, minlength=len(ids))
     first = np.cumsum(count) - count
     weight = bm25(idf, term, tf, size[doc], mean)
@@ -143,7 +158,9 @@ def describe(ids: list[np.ndarray], idf: np.ndarray, mean: float, terms: int):
         least = np.flatnonzero(race == np.repeat(np.minimum.reduceat(race, first), count))
         _, one = np.unique(doc[least], return_index=True)
         topic = topic << 31 | term[least[one]] & (1 << 31) - 1
-    order = np.lexsort((term, -weight, doc))
+    # by document and weight; ids are in order before
+    order = np.argsort(-weight, kind="stable")
+    order = order[np.argsort(doc[order].astype(np.min_scalar_type(len(ids))), kind="stable")]
     keep = np.sort(order[np.arange(len(order)) - first[doc] < terms])
     edge = np.searchsorted(doc[keep], np.arange(len(ids) + 1)).tolist()
     both = np.stack([term[keep], tf[keep]], 1).astype("<u4")
@@ -186,7 +203,10 @@ class Index:
         term = bag[:, 0].astype(np.int64)
         k = np.minimum(np.searchsorted(self.words, term), len(self.words) - 1)
         k = k[self.words[k] == term]
-        at = ragged(self.at[k], self.size[k])
+        n = self.size[k]
+        end = np.cumsum(n)
+        at = np.repeat(self.at[k] + n - end, n)
+        at += np.arange(len(at))
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
@@ -271,6 +291,16 @@ def binary_tail(pieces: list[tuple], total: int, sequence: int) -> list[tuple]:
     return out
 
 
+def best_first(at: np.ndarray, cost: np.ndarray, most: int = 64) -> Iterator[int]:
+    """Places by least cost, equal ones in order. What lies behind the first ones is sorted only when it is asked for."""
+    if len(at) > 2 * most:
+        limit = np.partition(cost, most)[most]
+        near = cost <= limit
+        yield from at[near][np.argsort(cost[near], kind="stable")].tolist()
+        at, cost = at[~near], cost[~near]
+    yield from at[np.argsort(cost, kind="stable")].tolist()
+
+
 class Packer:
     """Windows filled shard by shard; what is open at the end of a shard goes on in the next."""
 
@@ -317,7 +347,7 @@ class Packer:
                 self.lay(members[first], bags[first], "seed")
                 continue
             at = np.flatnonzero(free)
-            for i in at[np.argsort(-index.scores(self.seed)[at], kind="stable")].tolist():
+            for i in best_first(at, -index.scores(self.seed)[at]):
                 free[i] = False
                 if self.lay(members[i], bags[i], "neighbour"):
                     break
@@ -360,22 +390,12 @@ def checked(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
 
     def run(rows):
         for b in batches(rows):
-            for i in range(b.num_rows):
-                doc, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                ids = read_ids(b.column(2)[i].as_buffer(), n)
-                out = [(doc, p["start"], p["length"], zlib.crc32(ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()), n, p["sequence_id"], p["offset"], p["role"]) for p in b.column(3)[i].as_py()]
-                held.extend(out)
-                if len(held) > 4096:
-                    yield emit()
-        if held:
-            yield emit()
-
-    held: list[tuple] = []
-
-    def emit():
-        rows = held[:]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE_SCHEMA)], schema=PIECE_SCHEMA)
+            of = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+            start, length, *where = b.column(3).flatten().flatten()
+            size = b.column(1).to_pylist()
+            ids = [read_ids(x.as_buffer(), n) for x, n in zip(b.column(2), size)]
+            crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(of.tolist(), start.to_pylist(), length.to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), start, length, pa.array(crc, pa.int64()), b.column(1).take(pa.array(of)), *where], schema=PIECE_SCHEMA)
 
     return tokens.join(lists, "pos").select("doc_id", "n", "ids", "pieces").mapInArrow(run, _PIECES)
 

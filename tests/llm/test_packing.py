@@ -134,3 +134,26 @@ def test_hot_copies_are_spread(spark):
     rows = P.pack(df, PATH, shard_docs=50).collect()
     assert sum(r.length == r.doc_tokens or r.length < r.doc_tokens for r in rows) == len(rows)
     assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+
+
+def test_best_first_is_a_stable_sort():
+    r = np.random.default_rng(11)
+    for n in (0, 1, 5, 8, 9, 300):
+        at, cost = np.sort(r.permutation(1000)[:n]), r.integers(0, 9, n).astype(float)
+        assert list(P.best_first(at, cost, 4)) == at[np.argsort(cost, kind="stable")].tolist()
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_keys_and_bags_by_definition(kind):
+    r = np.random.default_rng(12)
+    ids = [r.integers(0, 300, n).astype(kind) for n in (1, 2, 3, 4, 90, 1, 700, 2)]
+    idf = np.round(r.random(300), 1)
+    key0, key1, _, bags = P.describe(ids, idf, 50.0, 8)
+    for x, *keys, got in zip(ids, key0, key1, bags):
+        grams = [x[i : i + 3] for i in range(max(len(x) - 2, 1))]
+        h = np.array([sum((int(v) + 1) * int(o) for v, o in zip(g, P._ODD)) % 2**64 for g in grams], np.uint64)
+        assert [int(np.uint64(k.astype(np.uint64))) for k in keys] == [int(P.mix64(h ^ P._SALTS[k]).min()) for k in range(2)]
+        term, tf = np.unique(x, return_counts=True)
+        weight = P.bm25(idf, term.astype(int), tf, len(x), 50.0)
+        best = sorted(sorted(range(len(term)), key=lambda i: (-weight[i], term[i]))[:8])
+        assert P.read_bag(got).tolist() == [[term[i], tf[i]] for i in best]

@@ -73,3 +73,23 @@ def test_long_words_by_chunk_maps():
     t0 = time.time()
     assert own.count([b"x" * 2_000_000])[0] == len(lib.encode("x" * 2_000_000, add_special_tokens=False).ids)
     assert time.time() - t0 < 30
+
+
+def test_words_met_before_are_looked_up():
+    """Short words are merged together without a compiled transition, those met before not again, and forgetting changes nothing."""
+    r = random.Random(9)
+    alphabet = "abcdefgh etaoin'  éß漢字0123456789.,-\n\U0001f600"
+    texts = ["".join(r.choices(alphabet, k=r.randrange(200))) for _ in range(300)]
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    raw = [t.encode() for t in texts]
+    e = F.Encoder(PATH)
+    assert [x.tolist() for x in e.encode(raw)] == want
+    assert len(e.states) == 1
+    merged, e.merged = e.merged, None
+    assert [x.tolist() for x in e.encode(raw)] == want
+    e.merged, e.max_words = merged, 5
+    for t, ids in zip(raw, want):
+        assert e.encode([t])[0].tolist() == ids
+        assert e.known.n <= 5 + 200
+    long = ["x" * n + " " + "yz" * n for n in (7, 8, 9, 31, 32, 33, 34, 1023, 1025, 3000)]
+    assert [x.tolist() for x in e.encode([t.encode() for t in long])] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in long]
