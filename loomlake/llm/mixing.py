@@ -195,10 +195,15 @@ def calibrate(cells: DataFrame, targets: dict, power: dict, rate: float, margins
         return calibrate_distributed(cells, targets, power, rate, margins, allowed, steps, tolerance), False
     got = got.sort_by([(k, "ascending") for k in keys])  # sums in one order, whatever the partitions
     mass = got.column("mass").to_numpy().astype(float)
-    out = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double, rate double, deviation double"
     values = [got.column(k).to_pylist() for k in keys]
+
+    def table(weight: np.ndarray, probability: np.ndarray, rate: float, off: float) -> DataFrame:
+        """From Arrow: rows of Python objects would be read by workers that stay on beside the next stage's."""
+        columns = {"weight": weight, "probability": probability, "rate": np.full(len(mass), float(rate)), "deviation": np.full(len(mass), float(off))}
+        return spark.createDataFrame(pa.table({k: pa.array(v, pa.string()) for k, v in zip(keys, values)} | columns))
+
     if not mass.sum():
-        return spark.createDataFrame([(*v, 1.0, float(rate), float(rate), 0.0) for v in zip(*values)], out), True
+        return table(np.ones(len(mass)), np.full(len(mass), float(rate)), rate, 0.0), True
     numbers, goals = [], []
     for v, m in zip(values, margins):
         names = sorted(set(v))
@@ -210,7 +215,7 @@ def calibrate(cells: DataFrame, targets: dict, power: dict, rate: float, margins
     rate, (p, off) = lowered(lambda r: rake(numbers, mass, goals, r, steps, tolerance), rate, allowed)
     weight = np.where(mass > 0, p / rate, 1.0)
     p = np.where(mass > 0, p, rate)
-    return spark.createDataFrame([(*v, float(w), float(q), float(rate), float(off)) for *v, w, q in zip(*values, weight, p)], out), True
+    return table(weight, p, rate, off), True
 
 
 def calibrate_distributed(cells: DataFrame, targets: dict, power: dict, rate: float, margins, allowed: float, steps: int, tolerance: float) -> DataFrame:

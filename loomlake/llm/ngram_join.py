@@ -453,7 +453,7 @@ def join_components(df: DataFrame, percent: int = 80, k: int = 4, rounds: int =
     needed = spark.sparkContext.broadcast(node_filter(open_.select("rep").distinct()))
     nodes = cut(vertices(known, needed))
     release(spark)
-    links = cut(spark.createDataFrame([], _PAIRS))
+    links = cut(spark.range(0).selectExpr("id as a", "id as b"))
     tested = links
     fits = f"least(n, n2) * 100 >= greatest(n, n2) * {percent}"
     enough = 2 * nodes.count()

@@ -49,6 +49,8 @@ _PLACED = pa.schema([("pos", pa.int64()), ("start", pa.int64()), ("length", pa.i
 _PLACED_ROWS = "pos long, start long, length long, sequence_id long, offset long, role string"
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("role", pa.string())])
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, role string"
+#: Bytes of text that a worker encodes at a time.
+GROUP = 500_000
 #: The content keys of the rounds that make bundles.
 KEYS = ("key0", "key1")
 
@@ -62,7 +64,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             e = encoder(path)
             kind = np.uint32 if max(max(e.bytes_of), end_id) >= 1 << 16 else np.uint16
             texts = texts_of(b.column(1))
-            for i, j in groups(texts):
+            for i, j in groups(texts, GROUP):  # encoding takes some 100 bytes for each of theirs
                 ids = [np.append(x, end_id).astype(kind) for x in e.encode(texts[i:j])]
                 k = j - i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, k), pa.array(part << 33 | np.arange(row, row + k)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], schema=_TOKENS)

@@ -1,10 +1,12 @@
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline as C
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loomlake.llm import ngram_join, queries
+from loomlake.llm import common, ngram_join, queries
 
 from .test_ngram_join import brute
 
@@ -55,3 +57,24 @@ def test_stages_take_anything(spark):
 def test_queries_are_the_ten():
     assert [int(q.split("_")[0][2:]) for q in queries.QUERIES] == list(range(1, 11))
     assert [n for n, _ in C.STAGES] == ["language_id", "ngram_jaccard", "mixing", "packing"] and ngram_join.WORDS == 5
+
+
+def test_weights_need_no_worker(spark):
+    """A table of Python objects would be read by workers of their own, which stay on beside those of packing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for now in (docs, docs.selectExpr("doc_id", "'' as text", "lang", "source")):
+        plan = C.mix_sources(spark, now, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
+def test_hashes_take_one_array():
+    data = np.random.default_rng(3).integers(0, 256, 1_000_000).astype(np.uint8)
+    starts, ends = np.arange(0, 999_000, 5), np.arange(0, 999_000, 5) + 7
+    common.span_hashes(data, starts[:1], ends[:1])  # the powers are kept
+    tracemalloc.start()
+    try:
+        got = common.span_hashes(data, starts, ends)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+    assert (got[:50] == common.span_hashes(data[:300], starts[:50], ends[:50])).all()
