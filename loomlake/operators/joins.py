@@ -1,6 +1,7 @@
 """Relational cores of label building: lookups, interval and spatial matches, link graphs, greedy assignment.
 
-Overlap joins go by the cells of a grid, so a document or page of any size is an equi-join with a residual condition.
+Overlap joins go by page, and on large pages by the cells of a grid, so a document or page of any size is an equi-join with
+a residual condition.
 """
 
 from __future__ import annotations
@@ -8,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlake.operators.grid import overlap_join
+from loomlake.operators.grid import Large, cell_join, overlap_join
 from loomlake.operators.windows import numbered
+from loomlake.sources.scratch import written
 
 
 def with_annotations(images: DataFrame, annotations: DataFrame, id_col: str = "image_id", order: str = "annotation_id") -> DataFrame:
@@ -54,21 +56,53 @@ def span_boxes(spans: DataFrame, tokens: DataFrame, doc: str = "doc_id") -> Data
     return spans.join(boxes, [doc, "span_id"], "left").na.fill(0, ["x1", "y1", "x2", "y2"])
 
 
-def first_container(words: DataFrame, shapes: DataFrame, least: float = 0.85, page: str = "page") -> DataFrame:
+def first_container(words: DataFrame, shapes: DataFrame, least: float = 0.85, page: str = "page", few: int = 64, most: int = 100_000) -> DataFrame:
     """words (page, word_id, x1..y2) x shapes (page, shape_id, s_x1..s_y2): the first shape holding more than `least` of
-    a word's area, null if none does. Words of one place have one answer, and of shapes of one place only the first can
-    be one, so places are joined, each once."""
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    inter = F.greatest(F.lit(0), F.least("x2", "s_x2") - F.greatest("x1", "s_x1")) * F.greatest(F.lit(0), F.least("y2", "s_y2") - F.greatest("y1", "s_y1"))
+    a word's area, null if none does.
+
+    Most pages are small: their shapes are a list that meets the words by page, so each side is shuffled once, or not at
+    all if it is dealt by page already. Pages of more than `few` shapes or `most` words go by the grid."""
+    large = Large([(words, most), (shapes, few)], [page])
+    if not large.number:
+        return _container_listed(words, shapes, least, page)
+    if not large.rest:
+        return _container_by_place(words, shapes, least, page, large)
+    (own, many_words), (held, many_shapes) = large.split(words), large.split(shapes)
+    return _container_listed(own, held, least, page).unionByName(_container_by_place(many_words, many_shapes, least, page, large))
+
+
+def _held(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The area that a word shares with a shape."""
+    return F.greatest(F.lit(0), F.least("x2", x2) - F.greatest("x1", x1)) * F.greatest(F.lit(0), F.least("y2", y2) - F.greatest("y1", y1))
+
+
+_AREA = "(x2 - x1) * (y2 - y1)"
+
+
+def _container_listed(words: DataFrame, shapes: DataFrame, least: float, page: str) -> DataFrame:
+    """first_container where a page has few shapes, which are one list."""
+    good = shapes.where("s_x1 <= s_x2 and s_y1 <= s_y2")
+    lists = good.groupBy(page).agg(F.collect_list(F.struct("shape_id", "s_x1", "s_y1", "s_x2", "s_y2")).alias("_shapes"))
+    area = F.expr(_AREA)
+    holds = lambda s: (area > 0) & (_held(s["s_x1"], s["s_y1"], s["s_x2"], s["s_y2"]) > least * area)
+    first = F.array_min(F.transform(F.filter("_shapes", holds), lambda s: s["shape_id"]))
+    return words.join(lists.hint("merge"), page, "left").select(*words.columns, first.alias("shape_id"))
+
+
+def _container_by_place(words: DataFrame, shapes: DataFrame, least: float, page: str, large: Large) -> DataFrame:
+    """first_container on large pages. Words of one place have one answer, and of shapes of one place only the first
+    can be one, so places are joined, each once; they are written, as both the grid and its rows are made of them."""
+    area = F.expr(_AREA)
+    inter = _held(*[F.col(c) for c in ("s_x1", "s_y1", "s_x2", "s_y2")])
     box, held = ["x1", "y1", "x2", "y2"], ["s_x1", "s_y1", "s_x2", "s_y2"]
-    own = words.select(page, *box).where(area > 0).distinct()
-    firsts = shapes.groupBy(page, *held).agg(F.min("shape_id").alias("shape_id"))
+    own = written(words.select(page, *box).where(area > 0).distinct())
+    firsts = written(shapes.groupBy(page, *held).agg(F.min("shape_id").alias("shape_id")))
     if least >= 0.5:  # such a shape holds the word's middle, which is in one cell
         own = own.withColumns({"_mx": (F.col("x1") + F.col("x2")) / 2, "_my": (F.col("y1") + F.col("y2")) / 2})
         axes = [("_mx", "_mx"), ("_my", "_my")]
     else:
         axes = [("x1", "x2"), ("y1", "y2")]
-    hit = overlap_join(own, firsts, [page], axes, [("s_x1", "s_x2"), ("s_y1", "s_y2")], inter > least * area)
+    hit = cell_join(own, firsts, [page], axes, [("s_x1", "s_x2"), ("s_y1", "s_y2")], inter > least * area, "inner", large)
     first = hit.groupBy(page, *box).agg(F.min("shape_id").alias("shape_id"))
     return words.join(first, [page, *box], "left").select(*words.columns, "shape_id")
 

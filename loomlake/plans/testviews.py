@@ -56,10 +56,14 @@ spotter as (select row_id, hash, path, dataset,
   from catalog where provider = 'docs')"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with one row for each order and line number."""
+def lines(spark: SparkSession, sf_dir: str, per_task: int = 500_000) -> DataFrame:
+    """Line items with one row for each order and line number. They are dealt by order, which is what most queries go by
+    next, to a task for each ``per_task`` of them where these are more than the session's number of tasks."""
     own = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in own])
+    items = read(spark, sf_dir, "lineitem")
+    tasks = -(-items.count() // per_task)
+    dealt = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    return items.repartition(*dealt, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in own])
 
 
 LINES_SQL = """lines as (select l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey, min(l_quantity) l_quantity,

@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from loomlake import queries
 from loomlake.operators import joins as J
 from loomlake.operators.grid import overlap_join
 
@@ -71,3 +72,54 @@ def test_copies_of_words_and_shapes(spark):
     shapes = spark.range(n).selectExpr("id % 1 as page", "id + 7 as shape_id", "id % 1 as s_x1", "id % 1 as s_y1", "id % 1 + 10 as s_x2", "id % 1 + 10 as s_y2")
     t = time.time()
     assert J.first_container(words, shapes).where("shape_id = 7").count() == n and time.time() - t < 30
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def _random_boxes(r, n, ids):
+    out = []
+    for i in range(n):
+        x, y, w, h = r.randrange(12), r.randrange(12), r.choice([0, 1, 4, 9, -2]), r.choice([1, 2, 8])
+        out.append((None if i % 23 == 0 else r.choice([1, 1, 1, 1, 2, 3, 4]) if i % 9 else i, ids + i // 2, None if i % 19 == 0 else x, y, x + w, y + h))
+    return out
+
+
+@pytest.mark.parametrize("few, most", [(64, 100_000), (4, 6), (4, 100_000), (0, 0)])
+def test_first_container_on_pages_of_all_sizes(spark, few, most):
+    """Small pages by lists and large ones by the grid: against all pairs; nulls, inverted boxes and repeated rows."""
+    r = random.Random(7)
+    words, shapes = _random_boxes(r, 150, 0), _random_boxes(r, 120, 50)
+    held = lambda w, s: max(0, min(w[4], s[4]) - max(w[2], s[2])) * max(0, min(w[5], s[5]) - max(w[3], s[3]))
+    own = lambda w, s: w[0] is not None and w[0] == s[0] and None not in (w[2], s[2]) and (a := (w[4] - w[2]) * (w[5] - w[3])) > 0 and held(w, s) > 0.85 * a
+    want = sorted((repr(w), min((s[1] for s in shapes if own(w, s)), default=None)) for w in words)
+    a = spark.createDataFrame(words, "page long, word_id int, x1 int, y1 int, x2 int, y2 int")
+    b = spark.createDataFrame(shapes, "page long, shape_id int, s_x1 int, s_y1 int, s_x2 int, s_y2 int")
+    got = J.first_container(a, b, few=few, most=most)
+    assert got.columns == [*a.columns, "shape_id"]
+    assert sorted((repr(tuple(x)[:-1]), x.shape_id) for x in got.collect()) == want and any(s is not None for _, s in want)
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_overlaps_of_groups_of_all_sizes(spark, few):
+    r = random.Random(8)
+    a, b = _random_boxes(r, 150, 0), _random_boxes(r, 120, 0)
+    good = lambda x: x[2] is not None and x[2] <= x[4]
+    want = sorted((p[1], q[1]) for p in a for q in b if p[0] is not None and p[0] == q[0] and good(p) and good(q) and p[2] <= q[4] and q[2] <= p[4] and p[3] <= q[5] and q[3] <= p[5])
+    left = spark.createDataFrame(a, "g long, i int, x1 int, y1 int, x2 int, y2 int")
+    right = spark.createDataFrame(b, "g long, j int, u1 int, v1 int, u2 int, v2 int")
+    axes = [("x1", "x2"), ("y1", "y2")], [("u1", "u2"), ("v1", "v2")]
+    assert sorted((x.i, x.j) for x in overlap_join(left, right, ["g"], *axes, few=few).collect()) == want
+    assert {x.i for x in overlap_join(left, right, ["g"], *axes, how="left_semi", few=few).collect()} == {i for i, _ in want}
+
+
+def test_small_pages_are_shuffled_once(spark):
+    """What is dealt by page is not shuffled again, and other words and shapes once: the disk of a run is theirs."""
+    words = spark.range(20_000).selectExpr("id div 4 as page", "id as word_id", "id % 7 as x1", "id % 5 as y1", "id % 7 + 8 as x2", "id % 5 + 4 as y2")
+    shapes = spark.range(20_000).selectExpr("id div 4 as page", "id as shape_id", "id % 7 as s_x1", "id % 5 as s_y1", "id % 7 + 8 as s_x2", "id % 5 + 4 as s_y2")
+    assert _exchanges(J.first_container(words, shapes)) == 2
+    query = queries.QUERIES["containment_first_match"](spark, "/root/testdata/sf0.001")
+    assert _exchanges(query) == 2
+    near = J.overlap_join(words.repartition(4, "page"), shapes.repartition(4, "page"), ["page"], [("x1", "x2")], [("s_x1", "s_x2")])
+    assert _exchanges(near) == 2
